@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from marlstone.functions.spelling import digest_bytes, digest_hex, digest_sql, encoding_key, encoding_sql
 from marlstone.llm.frequent import frequent_values
+from marlstone.llm.leaks import leaks
 from marlstone.llm.quantiles import answers, merge_summaries, rank_summaries
 from marlstone.llm.seen import derived_wrong, measured_wrong, seen_before
 from marlstone.session import cut_lineage
@@ -75,7 +76,18 @@ def p3_day_extremes(spark: SparkSession, folder: str) -> DataFrame:
     return p3_day_percentiles(spark, folder).select("encoding", "day", "metric", "n", "smallest", "largest")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_top_outputs, p2_found, p2_error_rate, p3_percentiles, p3_day_percentiles, p3_day_extremes)}
+def p7_found(spark: SparkSession, folder: str) -> DataFrame:
+    return leaks(table(spark, folder, "eval_item"), table(spark, folder, "documents"))
+
+
+def p7_leaked_items(spark: SparkSession, folder: str) -> DataFrame:
+    """Each item that leaked, with the number of documents and sources it leaked into."""
+    documents = table(spark, folder, "documents").select("doc_id", "source")
+    found = p7_found(spark, folder).join(documents, "doc_id")
+    return found.groupBy("item_id").agg(F.countDistinct("doc_id").alias("n_documents"), F.countDistinct("source").alias("n_sources"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_top_outputs, p2_found, p2_error_rate, p3_percentiles, p3_day_percentiles, p3_day_extremes, p7_found, p7_leaked_items)}
 
 _DIGEST = digest_sql("digest")
 
