@@ -10,6 +10,7 @@ from marlstone.llm.frequent import frequent_values
 from marlstone.llm.leaks import leaks
 from marlstone.llm.quantiles import answers, merge_summaries, rank_summaries
 from marlstone.llm.seen import derived_wrong, measured_wrong, seen_before
+from marlstone.llm.structure import COMMON, statistics, structure
 from marlstone.session import cut_lineage
 from marlstone.sources.tables import table
 
@@ -20,6 +21,8 @@ TOP = 100
 MEASURED_WIDTHS = (1, 2, 4)
 PERCENTILES = {"p01": 10, "p05": 50, "p25": 250, "p50": 500, "p75": 750, "p95": 950, "p99": 990}
 DAY = 86_400
+#: A text with a smaller share of prose is none.
+PROSE_LEAST = 0.5
 
 
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -87,9 +90,31 @@ def p7_leaked_items(spark: SparkSession, folder: str) -> DataFrame:
     return found.groupBy("item_id").agg(F.countDistinct("doc_id").alias("n_documents"), F.countDistinct("source").alias("n_sources"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_top_outputs, p2_found, p2_error_rate, p3_percentiles, p3_day_percentiles, p3_day_extremes, p7_found, p7_leaked_items)}
+def _quality(spark: SparkSession, folder: str) -> DataFrame:
+    texts = table(spark, folder, "documents").select("doc_id", "text")
+    return texts.select("doc_id", *(c.alias(n) for n, c in statistics(F.col("text")).items()), structure("text").alias("shape"))
+
+
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    return _quality(spark, folder).filter(F.col("shape.prose_share") < PROSE_LEAST).select("doc_id")
+
+
+def p8_quality(spark: SparkSession, folder: str) -> DataFrame:
+    """Basic counts, the nearest profile and the share of prose of every document."""
+    return _quality(spark, folder).select("doc_id", *statistics(F.lit("")), "shape.*")
+
+
+def p8_statistics(spark: SparkSession, folder: str) -> DataFrame:
+    """The basic counts alone."""
+    texts = table(spark, folder, "documents").select("doc_id", "text")
+    rounded = {"n_words": F.col("n_words")} | {n: F.round(F.col(n), 9).alias(n) for n in statistics(F.lit("")) if n != "n_words"}
+    return texts.select("doc_id", *(c.alias(n) for n, c in statistics(F.col("text")).items())).select("doc_id", *rounded.values())
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_top_outputs, p2_found, p2_error_rate, p3_percentiles, p3_day_percentiles, p3_day_extremes, p7_found, p7_leaked_items, p8_found, p8_quality, p8_statistics)}
 
 _DIGEST = digest_sql("digest")
+_JAVA_SPACE = " \\t\\n\\x0b\\f\\r"
 
 SQL = {
     "p1_found": f"""SELECT output FROM (SELECT {digest_sql("output")} AS output FROM manifest_entry) WHERE output IS NOT NULL GROUP BY output
@@ -104,4 +129,18 @@ SQL = {
           SELECT {encoding_sql("encoding")} AS encoding, CAST(floor(created_at / {DAY}.0) AS BIGINT) AS day, 'content_len' AS metric, content_len AS v FROM artifact_metadata
           UNION ALL SELECT {encoding_sql("encoding")}, CAST(floor(created_at / {DAY}.0) AS BIGINT), 'stored_len', stored_len FROM artifact_metadata)
         SELECT encoding, day, metric, CAST(count(*) AS BIGINT) AS n, min(v) AS smallest, max(v) AS largest FROM long WHERE v >= 0 GROUP BY ALL""",
+    "p8_statistics": f"""WITH t AS (
+          SELECT doc_id, text, regexp_replace(text, '^[{_JAVA_SPACE}]+|[{_JAVA_SPACE}]+$', '', 'g') AS bare FROM documents
+        ), w AS (
+          SELECT *, CASE WHEN bare IS NULL THEN NULL WHEN bare = '' THEN CAST([] AS VARCHAR[]) ELSE regexp_split_to_array(bare, '[{_JAVA_SPACE}]+') END AS words,
+            length(regexp_replace(text, '[{_JAVA_SPACE}]+', '', 'g')) AS letters, length(regexp_replace(text, '[\\p{{L}}\\p{{N}}\\p{{M}}{_JAVA_SPACE}]+', '', 'g')) AS symbols,
+            list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^{_JAVA_SPACE}]')) AS lines FROM t
+        )
+        SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words,
+          CASE WHEN len(words) > 0 THEN round(letters / CAST(len(words) AS DOUBLE), 9) END AS mean_word_length,
+          CASE WHEN letters > 0 THEN round(symbols / CAST(letters AS DOUBLE), 9) END AS symbol_share,
+          CASE WHEN len(lines) > 0 THEN round(len(list_filter(lines, lambda x: regexp_matches(x, '[.!?:;…]["''”’»)\\]]*[{_JAVA_SPACE}]*$'))) / CAST(len(lines) AS DOUBLE), 9) END AS ended_line_share,
+          CASE WHEN len(words) > 0 THEN round(len(list_filter(words, lambda x: list_contains([{", ".join(f"'{w}'" for w in COMMON)}],
+            lower(regexp_replace(x, '^[^\\p{{L}}\\p{{N}}]+|[^\\p{{L}}\\p{{N}}]+$', '', 'g'))))) / CAST(len(words) AS DOUBLE), 9) END AS common_word_share
+        FROM w""",
 }
