@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marlstone.functions.spelling import digest_bytes, digest_hex, digest_sql, encoding_key, encoding_sql
 from marlstone.llm.frequent import frequent_values
 from marlstone.llm.leaks import leaks
+from marlstone.llm.packing import fill, pack, token_lengths
 from marlstone.llm.quantiles import answers, merge_summaries, rank_summaries
 from marlstone.llm.seen import derived_wrong, measured_wrong, seen_before
 from marlstone.llm.structure import COMMON, statistics, structure
@@ -21,6 +24,8 @@ TOP = 100
 MEASURED_WIDTHS = (1, 2, 4)
 PERCENTILES = {"p01": 10, "p05": 50, "p25": 250, "p50": 500, "p75": 750, "p95": 950, "p99": 990}
 DAY = 86_400
+#: The public vocabulary that measures texts; executors read it from the same place.
+VOCABULARY = os.environ.get("MARLSTONE_VOCABULARY", "/opt/tokenizers/byte_bpe_50k.tiktoken")
 #: A text with a smaller share of prose is none.
 PROSE_LEAST = 0.5
 
@@ -79,6 +84,23 @@ def p3_day_extremes(spark: SparkSession, folder: str) -> DataFrame:
     return p3_day_percentiles(spark, folder).select("encoding", "day", "metric", "n", "smallest", "largest")
 
 
+def _packed(spark: SparkSession, folder: str) -> DataFrame:
+    # Written once: the plan and the items it places must agree, and texts are counted only once.
+    lengths = cut_lineage(token_lengths(table(spark, folder, "documents"), VOCABULARY))
+    return pack(lengths, table(spark, folder, "container_spec"))
+
+
+def p6_packing(spark: SparkSession, folder: str) -> DataFrame:
+    """Each piece of each document with its container, for every capacity."""
+    return _packed(spark, folder)
+
+
+def p6_fill(spark: SparkSession, folder: str) -> DataFrame:
+    """How full the containers are, and how many are needed at the very least."""
+    filled = fill(_packed(spark, folder))
+    return filled.withColumn("n_at_least", F.expr("(n_tokens + capacity_tokens - 1) div capacity_tokens"))
+
+
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     return leaks(table(spark, folder, "eval_item"), table(spark, folder, "documents"))
 
@@ -111,7 +133,7 @@ def p8_statistics(spark: SparkSession, folder: str) -> DataFrame:
     return texts.select("doc_id", *(c.alias(n) for n, c in statistics(F.col("text")).items())).select("doc_id", *rounded.values())
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_top_outputs, p2_found, p2_error_rate, p3_percentiles, p3_day_percentiles, p3_day_extremes, p7_found, p7_leaked_items, p8_found, p8_quality, p8_statistics)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_top_outputs, p2_found, p2_error_rate, p3_percentiles, p3_day_percentiles, p3_day_extremes, p6_packing, p6_fill, p7_found, p7_leaked_items, p8_found, p8_quality, p8_statistics)}
 
 _DIGEST = digest_sql("digest")
 _JAVA_SPACE = " \\t\\n\\x0b\\f\\r"
