@@ -102,3 +102,9 @@ def candidates(queue: DataFrame, limit: int) -> DataFrame:
     """The first `limit` queue rows of each channel, by deadline and digest."""
     ordered = Window.partitionBy("channel_id").orderBy("eligible_at", "digest")
     return queue.withColumn("rank", F.row_number().over(ordered)).filter(F.col("rank") <= limit)
+
+
+def pressure_outcome(route: Column, admitted: Column) -> Column:
+    """stored where space was found; else durable routes fail, build caches report success without storing, proxies stream through."""
+    durable, cache = route.isin("raw", "bazel-cas"), route.isin("http-cache", "bazel-ac")
+    return F.when(admitted, "stored").when(durable, "insufficient_storage").when(cache, "bypassed").otherwise("streamed")

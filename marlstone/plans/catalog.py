@@ -382,3 +382,21 @@ def proj_p16_put_validation(spark: SparkSession, folder: str) -> DataFrame:
     size = F.col("content_len")
     verdict = F.when(size.isNull() | (size < 0), "bad_size").when(digest_hex(F.col("digest")).isNull(), "bad_digest").otherwise("ok")
     return table(spark, folder, "put_record").groupBy(verdict.alias("verdict")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@R.add(f"""SELECT admitted, outcome, CAST(count(*) AS BIGINT) AS n FROM (SELECT u.pub_seq % 9 <> 0 AS admitted, CASE WHEN u.pub_seq % 9 = 0 THEN CASE WHEN route IN ('raw', 'bazel-cas') THEN 'insufficient_storage' WHEN route = 'http-cache' THEN 'bypassed' ELSE 'streamed' END ELSE 'stored' END AS outcome FROM {UPLOADS} u) GROUP BY 1, 2""")
+def w5_publish_or_reject(spark: SparkSession, folder: str) -> DataFrame:
+    """What an upload that finds no space comes to, by the contract of its route."""
+    rows = uploads(spark, folder).withColumn("admitted", F.col("pub_seq") % 9 != 0)
+    return rows.groupBy("admitted", B.pressure_outcome(F.col("route"), F.col("admitted")).alias("outcome")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@R.add(f"""WITH n AS (SELECT channel_id, CASE WHEN state = 'active' AND channel_id IN (SELECT channel_id FROM {_REMOVED}) AND channel_id <> '{DEFAULT_CHANNEL}' THEN 'deleting' WHEN state = 'active' THEN 'active' END AS state FROM channel_record)
+  SELECT coalesce(state, 'absent') AS state, CAST(count(*) AS BIGINT) AS n FROM n GROUP BY 1""")
+def t8_channel_lifecycle(spark: SparkSession, folder: str) -> DataFrame:
+    """One step: asked deletions begin, those under way end; the default channel can't be deleted."""
+    asked = removed(spark, folder).select("channel_id").distinct().withColumn("_asked", F.lit(True))
+    joined = channels(spark, folder).join(asked, "channel_id", "left")
+    begins = F.coalesce("_asked", F.lit(False)) & (F.col("channel_id") != DEFAULT_CHANNEL)
+    state = F.when(F.col("state") == "deleting", "absent").when(begins, "deleting").otherwise("active")
+    return joined.groupBy(state.alias("state")).agg(F.count(F.lit(1)).alias("n"))
