@@ -241,6 +241,8 @@ def has_stretch(item: np.ndarray, document: np.ndarray, runs: list[tuple[int, in
 
 def leaks_of(index: ItemIndex, texts: list[str | None]) -> list[tuple[int, int]]:
     """(place of the text, item id) of every leak."""
+    if not index.item_ids:
+        return []
     number = index.vocabulary.get
     documents = []
     for text in texts:
