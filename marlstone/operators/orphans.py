@@ -90,7 +90,7 @@ def orphan_rows(refs: DataFrame, live: DataFrame, rows: int | None = None, share
     keyed = F.col("_channel").isNotNull() & F.col("_eligible").isNotNull()
     parts, light, there = [refs.filter(~keyed)], refs.filter(keyed), live_keys(live)
     if heavy := heavy_keys(light, refs.count() if rows is None else rows, share, least):
-        schema = "_channel string, _digest binary, _timed boolean, _eligible bigint"
+        schema = light.select(*_KEY).schema
         hot = F.broadcast(spark.createDataFrame(heavy, schema))  # at most 1 / share rows
         found = {tuple(bytes(v) if isinstance(v, bytearray) else v for v in r) for r in there.join(hot, list(_KEY), "left_semi").distinct().collect()}
         if gone := [k for k in heavy if k not in found]:
