@@ -47,3 +47,12 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 def slots(spark: SparkSession) -> int:
     """How many partitions a shuffle has under the session's settings."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """df in at least as many partitions as there are cores, by a hash of `key`.
+
+    Only an input of few files is moved, which is small; one that already keeps all cores busy stays where it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
