@@ -14,7 +14,7 @@ from marlstone.llm.packing import fill, pack, token_lengths
 from marlstone.llm.quantiles import answers, merge_summaries, rank_summaries
 from marlstone.llm.seen import derived_wrong, measured_wrong, seen_before
 from marlstone.llm.structure import COMMON, statistics, structure
-from marlstone.session import cut_lineage
+from marlstone.session import cut_lineage, spread
 from marlstone.sources.tables import table
 
 #: An output is frequent from one in so many manifest entries on.
@@ -84,9 +84,13 @@ def p3_day_extremes(spark: SparkSession, folder: str) -> DataFrame:
     return p3_day_percentiles(spark, folder).select("encoding", "day", "metric", "n", "smallest", "largest")
 
 
+def _texts(spark: SparkSession, folder: str) -> DataFrame:
+    return spread(table(spark, folder, "documents").select("doc_id", "text"), "doc_id")
+
+
 def _packed(spark: SparkSession, folder: str) -> DataFrame:
     # Written once: the plan and the items it places must agree, and texts are counted only once.
-    lengths = cut_lineage(token_lengths(table(spark, folder, "documents"), VOCABULARY))
+    lengths = cut_lineage(token_lengths(_texts(spark, folder), VOCABULARY))
     return pack(lengths, table(spark, folder, "container_spec"))
 
 
@@ -102,7 +106,7 @@ def p6_fill(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
-    return leaks(table(spark, folder, "eval_item"), table(spark, folder, "documents"))
+    return leaks(table(spark, folder, "eval_item"), _texts(spark, folder))
 
 
 def p7_leaked_items(spark: SparkSession, folder: str) -> DataFrame:
@@ -113,7 +117,7 @@ def p7_leaked_items(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _quality(spark: SparkSession, folder: str) -> DataFrame:
-    texts = table(spark, folder, "documents").select("doc_id", "text")
+    texts = _texts(spark, folder)
     return texts.select("doc_id", *(c.alias(n) for n, c in statistics(F.col("text")).items()), structure("text").alias("shape"))
 
 
@@ -128,7 +132,7 @@ def p8_quality(spark: SparkSession, folder: str) -> DataFrame:
 
 def p8_statistics(spark: SparkSession, folder: str) -> DataFrame:
     """The basic counts alone."""
-    texts = table(spark, folder, "documents").select("doc_id", "text")
+    texts = _texts(spark, folder)
     rounded = {"n_words": F.col("n_words")} | {n: F.round(F.col(n), 9).alias(n) for n in statistics(F.lit("")) if n != "n_words"}
     return texts.select("doc_id", *(c.alias(n) for n, c in statistics(F.col("text")).items())).select("doc_id", *rounded.values())
 

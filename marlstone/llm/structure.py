@@ -287,15 +287,16 @@ def statistics(text: Column) -> dict[str, Column]:
     symbols = F.length(F.regexp_replace(text, r"[\p{L}\p{N}\p{M}\s]+", ""))
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"\S"))
     ended = F.filter(lines, lambda x: x.rlike(r"[.!?:;…][\"'”’»)\]]*\s*$"))
-    common = F.array(*(F.lit(w) for w in COMMON))
-    plain = F.transform(words, lambda w: F.lower(F.regexp_replace(w, r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", "")))
+    # Signs around words go in one pass over the text; each run of signs is looked at once.
+    sign = r"[^\p{L}\p{N}\s]"
+    plain = F.split(F.lower(F.regexp_replace(bare, rf"(?<!\S){sign}++|(?<!{sign}){sign}++(?!\S)", "")), r"\s+")
     share = lambda a, b: F.when(b > 0, a / b)
     return {
         "n_words": n_words,
         "mean_word_length": share(letters, n_words),
         "symbol_share": share(symbols, letters),
         "ended_line_share": share(F.size(ended), F.size(lines)),
-        "common_word_share": share(F.size(F.filter(plain, lambda w: F.array_contains(common, w))), n_words),
+        "common_word_share": share(F.size(F.filter(plain, lambda w: w.isin(*COMMON))), n_words),
     }
 
 
