@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from marlstone.functions.identity import VIRTUAL_NODES, member_point
+from marlstone.operators.running import running_last, running_sums
 
 #: Keys are matched with arcs by the first hex digits of a position: 16^3 buckets.
 BUCKET_DIGITS = 3
@@ -95,9 +96,8 @@ def retry_summary(health: DataFrame, now: int) -> DataFrame:
     return health.agg(F.count(F.lit(1)).alias("members"), F.count_if(out).alias("ejected"), F.min(F.when(out, F.col("next_retry"))).alias("next_retry"))
 
 
-def failure_streaks(events: DataFrame, by: str, order: list[str]) -> DataFrame:
+def failure_streaks(events: DataFrame, by: str, order: str) -> DataFrame:
     """events with `streak`: failures in a row up to and including this one; a success sets it to 0."""
-    ordered = Window.partitionBy(by).orderBy(*order)
-    island = F.sum(F.when(F.col("failed"), 0).otherwise(1)).over(ordered.rowsBetween(Window.unboundedPreceding, 0))
-    within = Window.partitionBy(by, "_island").orderBy(*order)
-    return events.withColumn("_island", island).withColumn("streak", F.sum(F.col("failed").cast("bigint")).over(within.rowsBetween(Window.unboundedPreceding, 0))).drop("_island")
+    failures = running_sums(events, [by], order, {"_failures": F.col("failed").cast("bigint")})
+    marked = running_last(failures, [by], order, {"_at_success": F.when(~F.col("failed"), F.col("_failures"))})
+    return marked.withColumn("streak", F.col("_failures") - F.coalesce("_at_success", F.lit(0))).drop("_failures", "_at_success")

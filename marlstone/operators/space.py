@@ -5,37 +5,37 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from marlstone.operators.running import running_last, running_sums
+
 
 def available(free: Column, reserved: Column, committed: Column, headroom: Column) -> Column:
     """What may still be reserved; never below 0."""
     return F.greatest(free - reserved - committed - headroom, F.lit(0).cast("bigint"))
 
 
-def running_ledger(ops: DataFrame, by: str, order: list[str]) -> DataFrame:
-    """ops with reserved and committed_since as unconditional sums: reserve, release and commit move bytes, observe sets free.
+def running_ledger(ops: DataFrame, by: str, order: str) -> DataFrame:
+    """ops with reserved, committed_since and free as unconditional sums: reserve, release and commit move bytes, observe sets free.
 
     For logs whose operations have all succeeded; what depends on earlier outcomes is ledger().
     """
-    ordered = Window.partitionBy(by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    op, size = F.col("op"), F.col("bytes")
-    epoch = F.sum(F.when(op == "observe", 1).otherwise(0)).over(ordered)
-    within = Window.partitionBy(by, "_epoch").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    moved = F.when(op == "reserve", size).when(op.isin("release", "commit"), -size).otherwise(F.lit(0))
-    staged = ops.withColumn("_epoch", epoch).withColumn("reserved", F.sum(moved).over(ordered))
-    spent = F.sum(F.when(op == "commit", size).otherwise(F.lit(0))).over(within)
-    return staged.withColumn("committed_since", spent).withColumn("free", F.last(F.when(op == "observe", size), ignorenulls=True).over(ordered)).drop("_epoch")
+    op, size = F.col("op"), F.col("bytes").cast("bigint")
+    moved = F.when(op == "reserve", size).when(op.isin("release", "commit"), -size).otherwise(F.lit(0).cast("bigint"))
+    spent = F.when(op == "commit", size).otherwise(F.lit(0).cast("bigint"))
+    summed = running_sums(ops, [by], order, {"reserved": moved, "_spent": spent})
+    seen = op == "observe"
+    marked = running_last(summed, [by], order, {"free": F.when(seen, size), "_at_observe": F.when(seen, F.col("_spent"))})
+    return marked.withColumn("committed_since", F.col("_spent") - F.coalesce("_at_observe", F.lit(0))).drop("_spent", "_at_observe")
 
 
-def hysteresis(rows: DataFrame, by: str, order: list[str], low: int, high: int, value: str = "available") -> DataFrame:
+def hysteresis(rows: DataFrame, by: str, order: str, low: int, high: int, value: str = "available") -> DataFrame:
     """rows with `mode`: reclaiming once the value is below low, normal again from high on, else as before."""
     if high < low:
         raise ValueError("the upper threshold is below the lower one")
     signal = F.when(F.col(value) < low, "reclaiming").when(F.col(value) >= high, "normal")
-    ordered = Window.partitionBy(by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumn("mode", F.coalesce(F.last(signal, ignorenulls=True).over(ordered), F.lit("normal")))
+    return running_last(rows, [by], order, {"mode": signal}).withColumn("mode", F.coalesce("mode", F.lit("normal")))
 
 
 class Ledger:
@@ -109,8 +109,7 @@ def concurrency(spans: DataFrame, by: str, start: str, end: str) -> DataFrame:
     """by, peak, spans: the greatest number of spans [start, end) of a group that are open at once."""
     edges = spans.select(by, F.explode(F.array(F.struct(F.col(start).alias("at"), F.lit(1).alias("step")), F.struct(F.col(end).alias("at"), F.lit(-1).alias("step")))).alias("_e")).select(by, "_e.*")
     steps = edges.groupBy(by, "at").agg(F.sum("step").alias("step"), F.count_if(F.col("step") > 0).alias("_opened"))
-    ordered = Window.partitionBy(by).orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
-    running = steps.withColumn("_open", F.sum("step").over(ordered))
+    running = running_sums(steps, [by], "at", {"_open": F.col("step")})
     return running.groupBy(by).agg(F.max("_open").alias("peak"), F.sum("_opened").alias("spans"))
 
 

@@ -46,13 +46,16 @@ def references(spark: SparkSession, folder: str) -> DataFrame:
     return T.last_wins(rows, ["channel_id", "name"], "ref_row").drop("ref_row")
 
 
-def queue(spark: SparkSession, folder: str) -> DataFrame:
-    return _canonical(table(spark, folder, "eviction_queue")).filter("digest is not null and channel_id is not null").distinct()
+def queue(spark: SparkSession, folder: str, once: bool = True) -> DataFrame:
+    """Queue rows; what groups them by key anyway needn't have each of them only once."""
+    rows = _canonical(table(spark, folder, "eviction_queue")).filter("digest is not null and channel_id is not null")
+    return rows.distinct() if once else rows
 
 
-def uploads(spark: SparkSession, folder: str) -> DataFrame:
+def uploads(spark: SparkSession, folder: str, once: bool = True) -> DataFrame:
     rows = _canonical(table(spark, folder, "put_record")).filter("digest is not null").withColumn("channel_id", F.coalesce("channel_id", F.lit(DEFAULT_CHANNEL)))
-    return rows.select("pub_seq", "channel_id", "route", "digest", "content_len", F.unix_timestamp(F.col("arrived_at").cast("timestamp")).alias("created_at")).distinct()
+    rows = rows.select("pub_seq", "channel_id", "route", "digest", "content_len", F.unix_timestamp(F.col("arrived_at").cast("timestamp")).alias("created_at"))
+    return rows.distinct() if once else rows
 
 
 def channels(spark: SparkSession, folder: str) -> DataFrame:
@@ -111,7 +114,7 @@ _FILES_SQL = f"(SELECT DISTINCT channel_id, digest FROM {UPLOADS})"
 
 def files(spark: SparkSession, folder: str) -> DataFrame:
     """Bodies on disk: those of the upload log, by the path that each has."""
-    listed = uploads(spark, folder).select(body_path(F.col("channel_id"), F.col("digest")).alias("path")).distinct()
+    listed = uploads(spark, folder, once=False).select(body_path(F.col("channel_id"), F.col("digest")).alias("path")).distinct()
     return listed.select(*(c.alias(n) for n, c in B.parse_body_path(F.col("path")).items()))
 
 
@@ -209,7 +212,7 @@ _COMMITTED = f"""SELECT u.channel_id, u.digest, u.content_len, u.created_at, u.c
 
 
 def committed(spark: SparkSession, folder: str) -> DataFrame:
-    return B.commit_artifacts(artifacts(spark, folder), uploads(spark, folder).withColumn("order", F.col("pub_seq")), channels(spark, folder), DEFAULT_EXPIRY)
+    return B.commit_artifacts(artifacts(spark, folder), uploads(spark, folder, once=False).withColumn("order", F.col("pub_seq")), channels(spark, folder), DEFAULT_EXPIRY)
 
 
 @R.add(_COMMITTED)

@@ -28,7 +28,7 @@ _RECENT = f"(SELECT DISTINCT channel_id, digest FROM {_MARKS} WHERE {NOW // 8640
 
 def marks(spark: SparkSession, folder: str) -> DataFrame:
     """Uses by channel and digest, a rotation a day."""
-    return C.uploads(spark, folder).select("channel_id", "digest", F.expr("created_at div 86400").alias("rotation"))
+    return C.uploads(spark, folder, once=False).select("channel_id", "digest", F.expr("created_at div 86400").alias("rotation"))
 
 
 def recent(spark: SparkSession, folder: str) -> DataFrame:
@@ -37,7 +37,7 @@ def recent(spark: SparkSession, folder: str) -> DataFrame:
 
 def distinct_queue(spark: SparkSession, folder: str) -> DataFrame:
     """A queue has one row for each channel, deadline and digest."""
-    rows = C.queue(spark, folder).filter("eligible_at is not null")
+    rows = C.queue(spark, folder, once=False).filter("eligible_at is not null")
     return rows.groupBy("channel_id", "eligible_at", "digest").agg(F.max("stored_len").alias("stored_len"))
 
 
@@ -159,7 +159,7 @@ _HEALTH = "SELECT user_id AS member, event_id, event_type = 'error' AS failed FR
 @R.add(f"""WITH h AS (SELECT *, sum(CASE WHEN failed THEN 0 ELSE 1 END) OVER (PARTITION BY member ORDER BY event_id) AS island FROM ({plain(_HEALTH)}))
   SELECT event_id, CAST(sum(CASE WHEN failed THEN 1 ELSE 0 END) OVER (PARTITION BY member, island ORDER BY event_id) AS BIGINT) AS streak FROM h""")
 def o10_failure_streaks(spark: SparkSession, folder: str) -> DataFrame:
-    return G.failure_streaks(portable(spark, folder, _HEALTH), "member", ["event_id"]).select("event_id", "streak")
+    return G.failure_streaks(portable(spark, folder, _HEALTH), "member", "event_id").select("event_id", "streak")
 
 
 _SNAPSHOT = "SELECT DISTINCT user_id AS member, event_type || ':' || CAST(user_id AS STRING) AS address, event_id AS ordinal FROM {events} WHERE user_id % 3 <> 0"
@@ -207,7 +207,7 @@ _OPS = "SELECT user_id AS replica, event_id AS seq, CASE event_type WHEN 'view'
   SELECT seq, CAST(sum(CASE op WHEN 'reserve' THEN bytes WHEN 'release' THEN -bytes WHEN 'commit' THEN -bytes ELSE 0 END) OVER (PARTITION BY replica ORDER BY seq) AS BIGINT) AS reserved,
     CAST(sum(CASE WHEN op = 'commit' THEN bytes ELSE 0 END) OVER (PARTITION BY replica, epoch ORDER BY seq) AS BIGINT) AS committed_since, CAST(last_value(CASE WHEN op = 'observe' THEN bytes END IGNORE NULLS) OVER (PARTITION BY replica ORDER BY seq) AS BIGINT) AS free FROM o""")
 def t1_running_ledger(spark: SparkSession, folder: str) -> DataFrame:
-    return S.running_ledger(portable(spark, folder, _OPS), "replica", ["seq"]).select("seq", "reserved", "committed_since", F.col("free").cast("bigint").alias("free"))
+    return S.running_ledger(portable(spark, folder, _OPS), "replica", "seq").select("seq", "reserved", "committed_since", F.col("free").cast("bigint").alias("free"))
 
 
 @R.add()
@@ -222,7 +222,7 @@ _AVAILABLE = "SELECT user_id AS replica, event_id AS seq, CAST(event_id * 7919 %
 
 @R.add(f"SELECT seq, coalesce(last_value(CASE WHEN available < 10 THEN 'reclaiming' WHEN available >= 20 THEN 'normal' END IGNORE NULLS) OVER (PARTITION BY replica ORDER BY seq), 'normal') AS mode FROM ({plain(_AVAILABLE)})")
 def o11_hysteresis(spark: SparkSession, folder: str) -> DataFrame:
-    return S.hysteresis(portable(spark, folder, _AVAILABLE), "replica", ["seq"], 10, 20).select("seq", "mode")
+    return S.hysteresis(portable(spark, folder, _AVAILABLE), "replica", "seq", 10, 20).select("seq", "mode")
 
 
 _SPACE = "SELECT event_id, CAST(event_id % 1000 AS BIGINT) AS free, CAST(user_id AS BIGINT) AS reserved, CAST(event_id % 77 AS BIGINT) AS committed FROM {events}"

@@ -11,6 +11,7 @@ from marlstone.operators import manifest as N
 from marlstone.operators import metrics as X
 from marlstone.operators import proxy as Y
 from marlstone.operators.health import ejections
+from marlstone.operators.running import running_last
 from marlstone.plans.registry import Registry, plain, portable
 from marlstone.sources import protocol as P
 from marlstone.sources.tables import table
@@ -200,12 +201,8 @@ _WAITS = "SELECT user_id AS object, event_id AS id, event_id AS at, event_type F
 @R.add("SELECT CAST(count(*) FILTER (waited) AS BIGINT) AS waited, CAST(count(*) AS BIGINT) AS asked FROM (SELECT r.event_id, EXISTS (SELECT 1 FROM events d WHERE d.event_type = 'purchase' AND d.user_id = r.user_id AND d.event_id <= r.event_id AND r.event_id < d.event_id + 400) AS waited FROM events r WHERE r.event_type = 'view')")
 def t6_download_waits(spark: SparkSession, folder: str) -> DataFrame:
     """Requests that find a download of their object under way: the last download before them decides, so one ordered pass does."""
-    from pyspark.sql import Window
-
-    rows = portable(spark, folder, _WAITS)
-    ordered = Window.partitionBy("object").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
-    last = F.last(F.when(F.col("event_type") == "purchase", F.col("at")), ignorenulls=True).over(ordered)
-    asked = rows.withColumn("_last", last).filter("event_type = 'view'")
+    rows = running_last(portable(spark, folder, _WAITS), ["object"], "at", {"_last": F.when(F.col("event_type") == "purchase", F.col("at"))})
+    asked = rows.filter("event_type = 'view'")
     return asked.agg(F.count_if(F.coalesce(F.col("at") < F.col("_last") + 400, F.lit(False))).alias("waited"), F.count(F.lit(1)).alias("asked"))
 
 
@@ -315,10 +312,8 @@ _SNAPSHOTS = "SELECT event_id, user_id % 10 AS service, CASE WHEN event_type <>
 
 @R.add(f"SELECT event_id, last_value(snapshot IGNORE NULLS) OVER (PARTITION BY service ORDER BY event_id) AS snapshot FROM ({plain(_SNAPSHOTS)})")
 def t12_last_good_snapshot(spark: SparkSession, folder: str) -> DataFrame:
-    from pyspark.sql import Window
-
-    ordered = Window.partitionBy("service").orderBy("event_id").rowsBetween(Window.unboundedPreceding, 0)
-    return portable(spark, folder, _SNAPSHOTS).select("event_id", F.last("snapshot", ignorenulls=True).over(ordered).alias("snapshot"))
+    rows = portable(spark, folder, _SNAPSHOTS)
+    return running_last(rows, ["service"], "event_id", {"snapshot": F.col("snapshot")}).select("event_id", "snapshot")
 
 
 # --- metrics -----------------------------------------------------------------------------------------------------------------

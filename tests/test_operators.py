@@ -91,9 +91,27 @@ def test_ledger_cases(spark):
 
 def test_hysteresis(spark):
     rows = spark.createDataFrame([(1, i, v) for i, v in enumerate([100, 5, 15, 25, 15, 9])], "r bigint, seq bigint, available bigint")
-    assert [r["mode"] for r in S.hysteresis(rows, "r", ["seq"], 10, 20).orderBy("seq").collect()] == ["normal", "reclaiming", "reclaiming", "normal", "normal", "reclaiming"]
+    assert [r["mode"] for r in S.hysteresis(rows, "r", "seq", 10, 20).orderBy("seq").collect()] == ["normal", "reclaiming", "reclaiming", "normal", "normal", "reclaiming"]
     with pytest.raises(ValueError):
-        S.hysteresis(rows, "r", ["seq"], 20, 10)
+        S.hysteresis(rows, "r", "seq", 20, 10)
+
+
+@pytest.mark.parametrize("slices", [1, 3, 1_024])
+def test_running_aggregates(spark, slices):
+    from marlstone.operators.running import running_last, running_sums
+
+    rng = random.Random(slices)
+    rows = [(rng.choice(["hot", "hot", "hot", "b", None]), i * 7 - 300, rng.choice([None, 1, 5, -2]), "x") for i in range(200)]
+    df = spark.createDataFrame(rows, "k string, seq bigint, v bigint, _slice_of string")
+    total, last, expected = {}, {}, {}
+    for k, seq, v, _ in rows:
+        total[k] = total.get(k, 0) + (v or 0)
+        last[k] = v if v is not None else last.get(k)
+        expected[seq] = (total[k], last[k])
+    sums = {r["seq"]: r["t"] for r in running_sums(df, ["k"], "seq", {"t": F.col("v")}, slices).collect()}
+    lasts = {r["seq"]: r["v"] for r in running_last(df, ["k"], "seq", {"v": F.col("v")}, slices).collect()}
+    assert {s: (sums[s], lasts[s]) for s in sums} == expected
+    assert running_sums(df.limit(0), ["k"], "seq", {"t": F.col("v")}).count() == 0
 
 
 def test_staging_extents(spark):
