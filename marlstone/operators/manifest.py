@@ -42,6 +42,14 @@ def merge_manifests(stored: DataFrame, used: DataFrame, now: int, by: list[str],
     return top_by_recency(kept.unionByName(fresh), by, limit).select(*columns)
 
 
+def finalize_manifests(stored: DataFrame, used: DataFrame, now: int, by: list[str], max_age: int = MAX_AGE, limit: int = MAX_ENTRIES) -> DataFrame:
+    """The manifests after their sessions: merged where anything was used, else untouched, so that nothing ages there."""
+    touched = used.select(*by).distinct()
+    columns = [*by, "action", "output", "size", "last_seen"]
+    idle = stored.join(touched, by, "left_anti").select(*columns)
+    return idle.unionByName(merge_manifests(stored.join(touched, by, "left_semi"), used, now, by, max_age, limit))
+
+
 def prefetch_plan(entries: DataFrame, local: DataFrame, empty_digest: str) -> DataFrame:
     """output, size, action, state of each distinct output: local, wanted or dropped.
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marlstone.functions import http as H
+from marlstone.operators.dictionary import through_distinct
 from marlstone.plans.registry import Registry, plain, portable
 from marlstone.sources.tables import table
 
@@ -111,12 +112,12 @@ def _negotiation_sql(first: tuple[str, ...], second: tuple[str, ...], names: tup
 
 @R.add(_negotiation_sql(tuple(t for t, r in H.PYTHON_TYPES.items() if r == "html"), tuple(t for t, r in H.PYTHON_TYPES.items() if r == "json"), ("html", "json"), "html", True, True))
 def f18_negotiate_python(spark: SparkSession, folder: str) -> DataFrame:
-    return portable(spark, folder, _ACCEPTS).select("pub_seq", H.negotiate_python(F.col("accept")).alias("representation"))
+    return through_distinct(portable(spark, folder, _ACCEPTS), "accept", "representation", H.negotiate_python).select("pub_seq", "representation")
 
 
 @R.add(_negotiation_sql(("application/json",), ("application/vnd.npm.install-v1+json",), ("full", "install-v1"), "full", False, False))
 def f19_negotiate_npm(spark: SparkSession, folder: str) -> DataFrame:
-    return portable(spark, folder, _ACCEPTS).select("pub_seq", H.negotiate_npm(F.col("accept")).alias("representation"))
+    return through_distinct(portable(spark, folder, _ACCEPTS), "accept", "representation", H.negotiate_npm).select("pub_seq", "representation")
 
 
 @R.add(f"""SELECT representation AS variant, CASE representation WHEN 'html' THEN '{H.UPSTREAM_ACCEPT["html"]}' WHEN 'json' THEN '{H.UPSTREAM_ACCEPT["json"]}' END AS upstream_accept, CAST(count(*) AS BIGINT) AS n

@@ -10,6 +10,7 @@ from marlstone.functions.spelling import digest_hex
 from marlstone.operators import maintenance as M
 from marlstone.operators import ring as G
 from marlstone.operators import space as S
+from marlstone.operators.running import running_last
 from marlstone.plans import catalog as C
 from marlstone.plans.identity import position_sql
 from marlstone.plans.registry import Registry, plain, portable
@@ -217,6 +218,26 @@ def t1_conditional_ledger(spark: SparkSession, folder: str) -> DataFrame:
     return S.ledger(ops, headroom=50)
 
 
+_OBSERVED = "SELECT user_id AS replica, event_id AS seq, CASE WHEN event_type <> 'error' THEN CAST(event_id % 500 AS BIGINT) END AS free_bytes FROM {events}"
+
+
+@R.add(f"SELECT seq, coalesce(last_value(free_bytes IGNORE NULLS) OVER (PARTITION BY replica ORDER BY seq), 0) AS free, free_bytes IS NULL AS degraded FROM ({plain(_OBSERVED)})")
+def s20_free_space(spark: SparkSession, folder: str) -> DataFrame:
+    """A failed observation keeps the last value and marks the replica degraded; before the first there is none."""
+    rows = portable(spark, folder, _OBSERVED).withColumn("degraded", F.col("free_bytes").isNull())
+    return running_last(rows, ["replica"], "seq", {"free": F.col("free_bytes")}).select("seq", F.coalesce("free", F.lit(0).cast("bigint")).alias("free"), "degraded")
+
+
+_LIFETIMES = "SELECT event_id, event_id % 700 AS ttl FROM {events}"
+
+
+@R.add(f"SELECT event_id, 700 * least(greatest(ttl, 5), 300) AS earliest_ms, 900 * least(greatest(ttl, 5), 300) AS latest_ms, least(ttl * 2, 60) AS backoff FROM ({plain(_LIFETIMES)})")
+def f36_refresh_bounds(spark: SparkSession, folder: str) -> DataFrame:
+    """Between which a refresh is due, in milliseconds, and how long a failed one waits."""
+    kept = F.least(F.greatest(F.col("ttl"), F.lit(5)), F.lit(300))
+    return portable(spark, folder, _LIFETIMES).select("event_id", (kept * 700).alias("earliest_ms"), (kept * 900).alias("latest_ms"), F.least(F.col("ttl") * 2, F.lit(60)).alias("backoff"))
+
+
 _AVAILABLE = "SELECT user_id AS replica, event_id AS seq, CAST(event_id * 7919 % 40 AS BIGINT) AS available FROM {events}"
 
 

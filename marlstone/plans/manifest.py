@@ -54,6 +54,23 @@ def o4_manifest_cap(spark: SparkSession, folder: str) -> DataFrame:
     return capped.groupBy("label").agg(F.count(F.lit(1)).alias("kept"), F.min("last_seen").alias("oldest"))
 
 
+@R.add(f"""WITH used AS (SELECT * FROM {_USED} WHERE label LIKE '%arm64'), touched AS (SELECT DISTINCT label FROM used) SELECT label, action, output, size, last_seen FROM {_STORED} WHERE label NOT IN (SELECT label FROM touched)
+  UNION ALL SELECT label, action, output, size, last_seen FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY last_seen DESC, action DESC) AS rk FROM (SELECT label, action, output, size, last_seen FROM {_STORED} s
+    WHERE label IN (SELECT label FROM touched) AND greatest({NOW} - last_seen, 0) <= {N.MAX_AGE} AND NOT EXISTS (SELECT 1 FROM used u WHERE u.label = s.label AND u.action = s.action) UNION ALL SELECT label, action, output, size, CAST({NOW} AS BIGINT) FROM used)) WHERE rk <= {N.MAX_ENTRIES}""")
+def w24_manifest_finalize(spark: SparkSession, folder: str) -> DataFrame:
+    """Sessions on arm64 used something; the manifests of others stay as they are."""
+    used = _entries(spark, folder, True).filter("label like '%arm64'")
+    return N.finalize_manifests(_entries(spark, folder, False), used, NOW, ["label"])
+
+
+@R.add("""SELECT event_id, '{"timestamp":"' || strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') || 'Z","level":"' || CASE WHEN event_type = 'error' THEN 'WARN' ELSE 'INFO' END || '","message":"' || event_type || '","fields":{"user":' || CAST(user_id AS VARCHAR) || '}}' AS line FROM events""")
+def w23_log_lines(spark: SparkSession, folder: str) -> DataFrame:
+    fields = F.struct(F.col("user_id").alias("user"))
+    stamp = F.date_format(F.col("ts").cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
+    level = F.when(F.col("event_type") == "error", "WARN").otherwise("INFO")
+    return table(spark, folder, "events").select("event_id", F.to_json(F.struct(stamp.alias("timestamp"), level.alias("level"), F.col("event_type").alias("message"), fields.alias("fields"))).alias("line"))
+
+
 @R.add(f"SELECT greatest({NOW} - last_seen, 0) <= {N.MAX_AGE} AS kept, last_seen > {NOW} AS future, CAST(count(*) AS BIGINT) AS n FROM manifest_entry GROUP BY 1, 2")
 def proj_p4_manifest_age(spark: SparkSession, folder: str) -> DataFrame:
     age = F.greatest(F.lit(NOW) - F.col("last_seen"), F.lit(0).cast("bigint"))

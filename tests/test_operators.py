@@ -273,6 +273,22 @@ def test_metrics(spark):
     assert X.exposition(spark.createDataFrame([("n", 3)], "name string, value bigint")).first()["value"] == "# TYPE n counter\nn 3"
 
 
+def test_through_distinct(spark):
+    from marlstone.operators.dictionary import through_distinct
+
+    df = spark.createDataFrame([("a", 1), (None, 2), ("a", 3), ("b", 4)], "v string, _value bigint").withColumnRenamed("_value", "n")
+    for most in (100, 1):
+        found = {r["n"]: r["x"] for r in through_distinct(df, "v", "x", lambda c: F.coalesce(F.upper(c), F.lit("none")), most).collect()}
+        assert found == {1: "A", 2: "none", 3: "A", 4: "B"}
+
+
+def test_idle_manifests_do_not_age(spark):
+    now = 3 * N.MAX_AGE
+    stored = spark.createDataFrame([("idle", "a", "o", 1, 0), ("busy", "a", "o", 1, 0)], "label string, action string, output string, size bigint, last_seen bigint")
+    used = spark.createDataFrame([("busy", "b", "p", 2)], "label string, action string, output string, size bigint")
+    assert {tuple(r) for r in N.finalize_manifests(stored, used, now, ["label"]).collect()} == {("idle", "a", "o", 1, 0), ("busy", "b", "p", 2, now)}
+
+
 def test_body_paths(spark):
     found = B.parse_body_path(F.lit("/data/" + "0" * 26 + "/sha256/aa/bb/" + "a" * 64))
     assert spark.range(1).select(*found.values()).first() == ("0" * 26, "a" * 64)
