@@ -72,7 +72,8 @@ def refine(df: DataFrame, value: Column, k: int | None = None, one_in: int | Non
         bound = probe[-1]["n"] if len(probe) == k else 1
     retained: DataFrame | list[int] = [p for p, n in counts.items() if n >= bound]
     if len(retained) > SET_LIMIT:
-        retained = df.sparkSession.createDataFrame([(p,) for p in retained], "_prefix bigint")  # at most 2^bits
+        # At most 2^16 numbers, whatever the data.
+        retained = F.broadcast(df.sparkSession.createDataFrame([(p,) for p in retained], "_prefix bigint"))
     left = _within(usable, bits, retained)
     for bits in levels[1:]:
         counted = left.groupBy(_prefix(bits).alias("_prefix")).agg(F.count(F.lit(1)).alias("_n"))
