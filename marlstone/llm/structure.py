@@ -9,6 +9,7 @@ nearest to a language's prose profile; words inside passages that the text keeps
 from __future__ import annotations
 
 import re
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -158,7 +159,7 @@ def divergence(p: np.ndarray, q: np.ndarray) -> np.ndarray:
 
 
 class WordTable:
-    """Remembers what _kind gives; starts anew when it has grown large."""
+    """Remembers what _kind gives, a row of an array for each word; starts anew when it has grown large."""
 
     def __init__(self, limit: int = 300_000) -> None:
         self.limit = limit
@@ -166,20 +167,19 @@ class WordTable:
 
     def reset(self) -> None:
         self.numbers: dict[str, int] = {}
-        self.rows: list[tuple[float, ...]] = []
+        self.rows = np.empty((1_024, len(KINDS) + len(CLASSES) - 1), np.float32)
 
     def lookup(self, words: list[str]) -> np.ndarray:
-        get, numbers = self.numbers.get, self.numbers
-        out = [get(w, -1) for w in words]
-        if -1 in out:
-            for i, n in enumerate(out):
-                if n < 0:
-                    w = words[i]
-                    n = numbers.get(w, -1)
-                    if n < 0:
-                        n = numbers[w] = len(self.rows)
-                        self.rows.append(_kind(w))
-                    out[i] = n
+        if len(self.numbers) > self.limit:
+            self.reset()
+        numbers = self.numbers
+        known = len(numbers)
+        out = [numbers.setdefault(w, len(numbers)) for w in words]
+        new = list(islice(numbers, known, None))
+        while len(numbers) > len(self.rows):
+            self.rows = np.concatenate([self.rows, np.empty_like(self.rows)])
+        if new:
+            self.rows[known : len(numbers)] = [_kind(w) for w in new]
         return np.array(out, np.int64)
 
 
@@ -188,8 +188,6 @@ _TABLE = WordTable()
 
 def shape(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """For each text the share of its characters by place in NAMES (zeros for a null or blank text)."""
-    if len(_TABLE.rows) > _TABLE.limit:
-        _TABLE.reset()
     words: list[str] = []
     line_words, line_chars, line_text, gap, ends = [], [], [], [], []
     for t, text in enumerate(texts):
@@ -211,10 +209,9 @@ def shape(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     if not words:
         return shares, np.zeros(len(texts), np.int64)
     numbers = _TABLE.lookup(words)
-    table = np.array(_TABLE.rows, np.float32)
     n_words, chars, owner, gap = np.array(line_words), np.array(line_chars, np.float64), np.array(line_text), np.array(gap)
     starts = np.concatenate([[0], np.cumsum(n_words)[:-1]])
-    sums = np.add.reduceat(table[numbers], starts, axis=0)
+    sums = np.add.reduceat(_TABLE.rows[numbers], starts, axis=0)
     k = len(KINDS)
     kinds = sums[:, :k] / sums[:, :k].sum(1, keepdims=True)
     counts = np.insert(sums[:, k:], 3, n_words, axis=1)  # one space a word
