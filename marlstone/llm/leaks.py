@@ -3,8 +3,8 @@
 The items form a BM25 index over word trigrams, its postings cut into blocks of items with the greatest impact of each
 term in each block. Every passage of every document is a query. Block maxima bound what a passage can score in a block;
 only blocks that reach their threshold are scored in full, and every item that reaches its own threshold is retrieved.
-An item's threshold is the least that any of its leaks can score, so retrieval loses none. What is retrieved is verified
-word by word: a stretch of the item with few edits must be there.
+An item's thresholds are the least that any of its leaks can score, so retrieval loses none. What is retrieved is verified
+word by word, exactly: a stretch of the item within its edit distance must be there.
 """
 
 from __future__ import annotations
@@ -22,7 +22,13 @@ from marlstone.llm.words import words
 
 #: Consecutive words of the item that a leak has at least, and of how many words one may be edited.
 STRETCH, ONE_EDIT_IN = 25, 8
-#: Words of a passage, and from one passage's start to the next: any STEP words lie within one passage.
+#: Words of the longest leak that holds no shorter one: of two parts of STRETCH words or more, one has no more than its
+#: share of the edits.
+LONGEST = 2 * STRETCH - 1
+#: Words in a row that a leak has unedited at the least: its edits can't part the other words into shorter runs.
+ANCHOR = min(-(-(n - n // ONE_EDIT_IN) // (n // ONE_EDIT_IN + 1)) for n in range(STRETCH, LONGEST + 1))
+#: Words of a passage, and from one passage's start to the next: any STEP words lie within one passage. A wide passage
+#: has STEP more, and any leak of at most LONGEST words lies within one.
 PASSAGE, STEP = 64, 32
 GRAM = 3
 #: BM25 parameters.
@@ -44,7 +50,9 @@ class ItemIndex:
     term_of: np.ndarray
     item_of: np.ndarray
     impact: np.ndarray
+    #: The least score of a leak of fewer words than bear another edit, in a passage, and of a longer one, in a wide passage.
     thresholds: np.ndarray
+    wide_thresholds: np.ndarray
     #: Built where it is used: greatest impact by (term, block), and the block's impacts by row.
     ceilings: np.ndarray | None = field(default=None, repr=False)
     row_of: np.ndarray | None = field(default=None, repr=False)
@@ -64,7 +72,7 @@ class ItemIndex:
         terms, frequency = np.unique(np.concatenate([np.unique(g) for g in grams]) if grams else np.empty(0, np.int64), return_counts=True)
         idf = np.log1p((len(ids) - frequency + 0.5) / (frequency + 0.5))
         mean = np.mean([len(g) for g in grams]) if grams else 1.0
-        term_of, item_of, impact, thresholds = [], [], [], []
+        term_of, item_of, impact, thresholds, wide = [], [], [], [], []
         for i, g in enumerate(grams):
             at, inverse, tf = np.unique(np.searchsorted(terms, g), return_inverse=True, return_counts=True)
             gain = idf[at] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(g) / mean))
@@ -72,8 +80,11 @@ class ItemIndex:
             item_of.append(np.full(len(at), i))
             impact.append(gain)
             thresholds.append(least_score(gain[inverse]))
+            # With each further edit a leak may be longer; the shortest with as many edits scores least.
+            longer = range((STRETCH // ONE_EDIT_IN + 1) * ONE_EDIT_IN, min(LONGEST, len(sequences[i])) + 1, ONE_EDIT_IN)
+            wide.append(min((least_score(gain[inverse], n) for n in longer), default=np.inf))
         join = lambda parts, kind: np.concatenate(parts).astype(kind) if parts else np.empty(0, kind)
-        return cls(ids, sequences, vocabulary, terms, join(term_of, np.int32), join(item_of, np.int32), join(impact, np.float32), np.array(thresholds, np.float32))
+        return cls(ids, sequences, vocabulary, terms, join(term_of, np.int32), join(item_of, np.int32), join(impact, np.float32), np.array(thresholds, np.float32), np.array(wide, np.float32))
 
     def ready(self) -> ItemIndex:
         if self.ceilings is None:
@@ -98,9 +109,9 @@ def codes(sequence: np.ndarray, base: int) -> np.ndarray:
     return np.where((a > 0) & (b > 0) & (c > 0), (a * base + b) * base + c, -1)
 
 
-def least_score(impacts: np.ndarray) -> float:
-    """The least score of a leak of the shortest allowed stretch: each edit spoils GRAM trigrams in a row, the dearest ones."""
-    width, edits = STRETCH - GRAM + 1, STRETCH // ONE_EDIT_IN
+def least_score(impacts: np.ndarray, stretch: int = STRETCH) -> float:
+    """The least score of a leak of `stretch` words: each edit spoils GRAM trigrams in a row, the dearest ones."""
+    width, edits = stretch - GRAM + 1, stretch // ONE_EDIT_IN
     windows = np.lib.stride_tricks.sliding_window_view(impacts, min(width, len(impacts)))
     spoilt = np.zeros((edits + 1, windows.shape[1] + 1, windows.shape[0]))
     for k in range(1, edits + 1):
@@ -112,7 +123,7 @@ def least_score(impacts: np.ndarray) -> float:
 
 
 def retrieve(index: ItemIndex, documents: list[np.ndarray]) -> tuple[list[np.ndarray], set[tuple[int, int]]]:
-    """Each document's term numbers, and (document, item) of every passage that reaches the item's threshold."""
+    """Each document's term numbers, and (document, item) of every passage that reaches one of the item's thresholds."""
     index.ready()
     none = len(index.terms)
     base = len(index.vocabulary) + 1
@@ -125,7 +136,7 @@ def retrieve(index: ItemIndex, documents: list[np.ndarray]) -> tuple[list[np.nda
     keep = np.flatnonzero(lengths)
     if not len(keep):
         return found, set()
-    # Half passages of STEP positions, each within one document; a passage is two in a row.
+    # Half passages of STEP positions, each within one document; a passage is two in a row, a wide one three.
     halves = -(-lengths[keep] // STEP)
     padded = np.full(int(halves.sum()) * STEP, none, np.int64)
     start = np.concatenate([[0], np.cumsum(halves)[:-1]])
@@ -139,38 +150,43 @@ def retrieve(index: ItemIndex, documents: list[np.ndarray]) -> tuple[list[np.nda
     hits = known[full].sum(1)
     if len(full):
         sums[full] = np.add.reduceat(index.ceilings[grid[full][known[full]]], np.concatenate([[0], np.cumsum(hits)[:-1]]), axis=0)
-    follows = np.append(owner[1:] == owner[:-1], False)
+    follows = [np.append(owner[k:] == owner[:-k], np.zeros(k, bool))[-len(grid) :] for k in (1, 2)]
     bound = sums.copy()
-    bound[:-1][follows[:-1]] += sums[1:][follows[:-1]]
-    floor = np.array([index.thresholds[b * BLOCK : (b + 1) * BLOCK].min() for b in range(bound.shape[1])], np.float32)
-    limits = np.full(bound.shape[1] * BLOCK, np.inf, np.float32)
-    limits[: len(index.thresholds)] = index.thresholds
+    bound[:-1][follows[0][:-1]] += sums[1:][follows[0][:-1]]
+    wide_bound = bound.copy()
+    wide_bound[:-2][follows[1][:-2]] += sums[2:][follows[1][:-2]]
+    limits, wide_limits = (np.full((bound.shape[1], BLOCK), np.inf, np.float32) for _ in range(2))
+    limits.reshape(-1)[: len(index.thresholds)] = index.thresholds
+    wide_limits.reshape(-1)[: len(index.wide_thresholds)] = index.wide_thresholds
     pairs: set[tuple[int, int]] = set()
-    passage, block = np.nonzero(bound >= floor)
+    passage, block = np.nonzero((bound >= limits.min(1)) | (wide_bound >= wide_limits.min(1)))
     for at in range(0, len(passage), 4_000):
         p, b = passage[at : at + 4_000], block[at : at + 4_000]
-        second = np.where(follows[p], np.minimum(p + 1, len(grid) - 1), p)
-        terms = np.concatenate([grid[p], np.where(follows[p][:, None], grid[second], none)], 1)
-        scores = index.rows[index.row_of[terms, b[:, None]]].sum(1)
-        row, item = np.nonzero(scores >= limits.reshape(-1, BLOCK)[b])
+        parts = [grid[p], *(np.where(f[p][:, None], grid[np.minimum(p + k, len(grid) - 1)], none) for k, f in enumerate(follows, 1))]
+        first, second, third = (index.rows[index.row_of[terms, b[:, None]]].sum(1) for terms in parts)
+        scores = first + second
+        row, item = np.nonzero((scores >= limits[b]) | (scores + third >= wide_limits[b]))
         pairs.update(zip(owner[p[row]].tolist(), (b[row] * BLOCK + item).tolist(), strict=True))
     return found, pairs
 
 
-def _edits(a: list[int], b: list[int]) -> list[list[int]]:
-    """Edit distances of all prefixes of a (rows) and b (columns)."""
-    rows = [list(range(len(b) + 1))]
+def _tails(a: list[int], b: list[int], most: int) -> list[int]:
+    """For 0, 1, ... words of a, the fewest edits against any beginning of b, while they are at most `most`."""
+    above, out = list(range(min(most, len(b)) + 1)), [0]  # above[j]: edits against j words of b
     for i, x in enumerate(a, 1):
-        above, row = rows[-1], [i]
-        for j, y in enumerate(b, 1):
-            row.append(above[j - 1] if x == y else 1 + min(above[j - 1], above[j], row[j - 1]))
-        rows.append(row)
-    return rows
-
-
-def _tails(a: list[int], b: list[int]) -> list[int]:
-    """For 0, 1, ... words of a, the fewest edits against any beginning of b."""
-    return [min(row) for row in _edits(a, b)]
+        row = [most + 1] * (min(i + most, len(b)) + 1)
+        if i <= most:
+            row[0] = i
+        for j in range(max(1, i - most), len(row)):  # farther from the diagonal there are more edits
+            if x == b[j - 1]:
+                row[j] = above[j - 1]
+            else:
+                row[j] = 1 + min(above[j - 1], row[j - 1], above[j] if j < len(above) else most)
+        if (least := min(row)) > most:
+            break
+        out.append(least)
+        above = row
+    return out
 
 
 def _runs(item: np.ndarray, document: np.ndarray, terms: np.ndarray, wanted: dict[int, list[int]]) -> list[tuple[int, int, int]]:
@@ -190,52 +206,26 @@ def _runs(item: np.ndarray, document: np.ndarray, terms: np.ndarray, wanted: dic
     return sorted(runs)
 
 
-def has_stretch(item: np.ndarray, document: np.ndarray, runs: list[tuple[int, int, int]], least: int = STRETCH, one_in: int = ONE_EDIT_IN) -> bool:
-    """Whether some stretch of at least `least` words of the item is in the document with at most one edit in `one_in` words."""
-    if any(n >= least for _, _, n in runs):
-        return True
-    reach = len(item) // one_in + 1
-    chains: list[list[tuple[int, int, int]]] = []  # for each run: (words of the item, edits, first run) of chains that end with it
-    for k, (p, i, n) in enumerate(runs):
-        here = [(n, 0, k)]
-        for j in range(k - 1, -1, -1):
-            q, h, m = runs[j]
-            if p - (q + m) > reach:
-                if p - q > len(item) + reach:
-                    break
-                continue
-            cut = max(0, h + m - i, q + m - p)  # words that both runs claim
-            gap_i, gap_p = i + cut - (h + m), p + cut - (q + m)
-            if cut >= n or h >= i or q >= p or gap_i > reach or gap_p > reach:
-                continue
-            cost = max(gap_i, gap_p)
-            if min(gap_i, gap_p) > 1:
-                cost = _edits(item[h + m : i + cut].tolist(), document[q + m : p + cut].tolist())[-1][-1]
-            here += [(length + gap_i + n - cut, e + cost, first) for length, e, first in chains[j] if e + cost <= reach]
-        best: dict[tuple[int, int], int] = {}
-        for length, e, first in sorted(here, key=lambda c: (c[1], -c[0])):
-            if all(length > other for other, _ in best):  # more words, or nothing for more edits
-                best[(length, e)] = first
-        chains.append([(length, e, first) for (length, e), first in best.items()])
-    # Beyond a chain's ends no GRAM words in a row match, so each edit there brings at most GRAM words: it only pays
-    # for a chain that is too short, and only while the edits of the shortest stretch last.
-    allowed = least // one_in
-    budget = GRAM * allowed
-    for k, ends in enumerate(chains):
-        p, i, n = runs[k]
-        for length, e, first in ends:
-            if one_in * e <= length and length >= least:
-                return True
-            if length >= least or e + -(-(least - length) // GRAM) > allowed:
-                continue
-            q, h, _ = runs[first]
-            width = 2 * budget
-            right = _tails(item[i + n : i + n + budget].tolist(), document[p + n : p + n + width].tolist())
-            left = _tails(item[max(0, h - budget) : h][::-1].tolist(), document[max(0, q - width) : q][::-1].tolist())
-            for x, ex in enumerate(left):
-                for y, ey in enumerate(right):
-                    if length + x + y >= least and one_in * (e + ex + ey) <= length + x + y:
-                        return True
+def has_stretch(item: np.ndarray, document: np.ndarray, runs: list[tuple[int, int, int]]) -> bool:
+    """Whether some stretch of at least STRETCH words of the item is in the document with at most one edit in ONE_EDIT_IN words.
+
+    Some such stretch has at most LONGEST words and a run of ANCHOR unedited ones. To edit nothing where the words agree
+    is never dearer, so the stretch may take in that run as far as it goes, and what lies before and after it is
+    compared apart.
+    """
+    edits = LONGEST // ONE_EDIT_IN
+    beyond = LONGEST - ANCHOR
+    for p, i, n in runs:
+        if n < ANCHOR:
+            continue
+        if n >= STRETCH:
+            return True
+        right = _tails(item[i + n : i + n + beyond].tolist(), document[p + n : p + n + beyond + edits].tolist(), edits)
+        left = _tails(item[max(0, i - beyond) : i][::-1].tolist(), document[max(0, p - beyond - edits) : p][::-1].tolist(), edits)
+        for x, ex in enumerate(left):
+            for y, ey in enumerate(right):
+                if n + x + y >= STRETCH and ONE_EDIT_IN * (ex + ey) <= n + x + y:
+                    return True
     return False
 
 

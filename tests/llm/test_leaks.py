@@ -125,3 +125,47 @@ def test_frames(spark):
 @pytest.mark.parametrize("n", [0, 1, 2])
 def test_short_sequences(n):
     assert len(L.codes(np.ones(n, np.int64), 5)) == 0
+
+
+def test_edits_around_a_kept_word():
+    own = [f"w{i}" for i in range(60)]
+    part = [*own[:7], "zz", "w7", "zz", *own[8:21], "zz", *own[22:25]]
+    dropped = [w for i, w in enumerate(own[:25]) if i not in (7, 9, 21)]
+    index = L.ItemIndex.build([(1, " ".join(own))])
+    for body in (part, dropped):
+        assert brute(own, body)
+        assert L.leaks_of(index, [" ".join(body)]) == [(0, 1)]
+    assert L.leaks_of(index, [" ".join([*part[:12], "zz", *part[12:]])]) == []
+
+
+def test_equals_brute_force_with_close_edits():
+    rng = random.Random(11)
+    items = [(i, " ".join(text(rng, rng.randrange(25, 100)))) for i in range(6)]
+    index = L.ItemIndex.build(items)
+    documents, expected = [], set()
+    for _ in range(60):
+        i, own = rng.choice(items)
+        own = own.split()
+        n = min(len(own), rng.choice([25, 26, 31, 32, 40, 41, 48]))
+        at = rng.randrange(len(own) - n + 1)
+        part = own[at : at + n]
+        close = rng.randrange(1, n - 10)
+        for _ in range(n // 8 + rng.choice([0, 0, 1])):
+            place = rng.randrange(close, close + 7)
+            part[place : place + rng.randrange(2)] = ["zz"] * rng.randrange(2)
+        body = [*text(rng, rng.randrange(90)), *part, *text(rng, rng.randrange(60))]
+        documents.append(" ".join(body))
+        expected |= {(len(documents) - 1, j) for j, t in items if brute(t.split(), body)}
+    assert set(L.leaks_of(index, documents)) == expected
+    assert len(expected) > 25
+
+
+def test_retrieval_of_edits_at_the_dearest_words():
+    start, end = ([f"{x}{i}" for i in range(10)] for x in "ab")
+    items = [[*start, *(f"m{k}x{i}" for i in range(12)), *end] for k in range(40)]
+    index = L.ItemIndex.build([(k, " ".join(own)) for k, own in enumerate(items)])
+    body = list(items[3])
+    for at in (11, 14, 17, 20):  # four edits in 32 words, and in each 25 of them
+        body[at] = "zz"
+    assert brute(items[3], body)
+    assert (0, 3) in L.leaks_of(index, [" ".join(body)])
