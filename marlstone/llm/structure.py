@@ -67,6 +67,8 @@ PROFILES = {
 PROSE = tuple(f"prose {x}" for x in LANGUAGES)
 NAMES = (*PROSE, *PROFILES, "filler")
 
+#: The profile of lines that hold nothing but tags.
+MARKUP = "code"
 #: Words in a row that a text must repeat so many times to count as filler.
 FILLER_WORDS, FILLER_TIMES = 8, 3
 #: How much two neighbouring lines of a paragraph weigh against the line itself: where the first leaves its sentence
@@ -190,6 +192,7 @@ def shape(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """For each text the share of its characters by place in NAMES (zeros for a null or blank text)."""
     words: list[str] = []
     line_words, line_chars, line_text, gap, ends = [], [], [], [], []
+    tagged = [0] * len(texts)
     for t, text in enumerate(texts):
         blank = True
         for line in visible(text).splitlines() if text else ():
@@ -197,6 +200,8 @@ def shape(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
             found = (bare.lstrip("> \t|") if bare[:1] in "> |" else bare).split()
             if not found:
                 blank = True
+                if bare != line:  # nothing but tags
+                    tagged[t] += len(line.strip()) + 1
                 continue
             words += found
             line_words.append(len(found))
@@ -206,8 +211,9 @@ def shape(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
             ends.append(found[-1].endswith((".", "!", "?")))
             blank = False
     shares = np.zeros((len(texts), len(NAMES)), np.float64)
+    shares[:, NAMES.index(MARKUP)] = tagged
     if not words:
-        return shares, np.zeros(len(texts), np.int64)
+        return np.sign(shares), np.zeros(len(texts), np.int64)
     numbers = _TABLE.lookup(words)
     n_words, chars, owner, gap = np.array(line_words), np.array(line_chars, np.float64), np.array(line_text), np.array(gap)
     starts = np.concatenate([[0], np.cumsum(n_words)[:-1]])

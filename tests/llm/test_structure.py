@@ -86,3 +86,12 @@ def test_statistics(spark):
     assert got[1]["common_word_share"] == 4 / 8
     assert got[2]["n_words"] is None
     assert (got[3]["n_words"], got[3]["mean_word_length"], got[4]["n_words"], got[4]["ended_line_share"]) == (0, None, 0, None)
+
+
+def test_lines_of_tags():
+    entries = "\n".join(f'<entry key="a{i}" value="{i}"/>' for i in range(40))
+    shares, n = shape([entries, "> <b>\n</b>", PROSE_TEXTS[0] + "\n\n" + entries, "<p>\n" + PROSE_TEXTS[0] + "\n</p>", " \n>\n"])
+    assert shares[:, : len(PROSE)].sum(1)[:3] == pytest.approx([0, 0, len(PROSE_TEXTS[0] + "\n") / len(PROSE_TEXTS[0] + "\n" + entries + "\n")])
+    assert shares.sum(1) == pytest.approx([1, 1, 1, 1, 0])
+    assert shares[3, : len(PROSE)].sum() > 0.9
+    assert n[0] == n[1] == 0
