@@ -188,6 +188,15 @@ def a8_a10_retry_summary(spark: SparkSession, folder: str) -> DataFrame:
     return G.retry_summary(portable(spark, folder, _OLD_HEALTH), 5_000)
 
 
+_ALL_HEALTH = "SELECT user_id AS member, count(*) AS failures, max(CASE WHEN event_type = 'error' THEN event_id END) AS next_retry FROM {events} GROUP BY user_id"
+
+
+@R.add(f"SELECT CAST(count(*) AS BIGINT) AS members, CAST(count(*) FILTER (next_retry > 5000) AS BIGINT) AS ejected, min(CASE WHEN next_retry > 5000 THEN next_retry END) AS next_retry FROM ({plain(_ALL_HEALTH)})")
+def a8_a10_retry_summary_of_all(spark: SparkSession, folder: str) -> DataFrame:
+    """Every user of events; a8_a10_retry_summary has those with even ids."""
+    return G.retry_summary(portable(spark, folder, _ALL_HEALTH), 5_000)
+
+
 _CALLS = "SELECT event_id, user_id AS member, CASE event_type WHEN 'error' THEN 'timeout' WHEN 'click' THEN 'body' WHEN 'view' THEN 'connect' ELSE 'none' END AS failure FROM {events}"
 
 

@@ -293,3 +293,12 @@ def test_body_paths(spark):
     found = B.parse_body_path(F.lit("/data/" + "0" * 26 + "/sha256/aa/bb/" + "a" * 64))
     assert spark.range(1).select(*found.values()).first() == ("0" * 26, "a" * 64)
     assert spark.range(1).select(*B.parse_body_path(F.lit("x/y")).values()).first() == (None, None)
+
+
+def test_retry_summary_has_every_user(spark):
+    from oracle import SMALL
+
+    from marlstone.plans.maintenance import QUERIES
+
+    users = spark.read.parquet(f"{SMALL}/events.parquet").select("user_id").distinct().count()
+    assert QUERIES["a8_a10_retry_summary_of_all"](spark, SMALL).first()["members"] == users
