@@ -58,6 +58,13 @@ def verify_store_format(df: DataFrame, expected: str) -> str:
     return expected
 
 
+def encode_records(df: DataFrame, version: int, column: str = "schema_version") -> DataFrame:
+    """df with the version of its layout in `column`, as decode_records reads it; a `column` that is there already is an error."""
+    if column.lower() in (c.lower() for c in df.columns):
+        raise ValueError(f"records have a column {column!r} already")
+    return df.withColumn(column, F.lit(version))
+
+
 def decode_records(df: DataFrame, version: int, column: str = "schema_version") -> DataFrame:
     """df with `record_error`: null, `empty` or `version` for records that can't be read."""
     v = F.col(column)

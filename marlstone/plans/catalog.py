@@ -10,6 +10,7 @@ from marlstone.functions.spelling import channel_key, channel_sql, digest_hex, d
 from marlstone.operators import bodies as B
 from marlstone.operators import tables as T
 from marlstone.plans.registry import Registry, plain, portable
+from marlstone.session import cut_lineage
 from marlstone.sources.tables import table
 
 R = Registry()
@@ -331,6 +332,12 @@ def s10_record_versions(spark: SparkSession, folder: str) -> DataFrame:
     return T.decode_records(channels(spark, folder).withColumn("schema_version", version), 1).groupBy("record_error").agg(F.count(F.lit(1)).alias("n"))
 
 
+@R.add("SELECT channel_id, protected, token_digest, expiry_seconds, state, created_at, 1 AS schema_version, CAST(NULL AS VARCHAR) AS record_error FROM channel_record")
+def w19_encode_records(spark: SparkSession, folder: str) -> DataFrame:
+    """Channel records encoded, written, and read again."""
+    return T.decode_records(cut_lineage(T.encode_records(channels(spark, folder), 1)), 1)
+
+
 # --- access ------------------------------------------------------------------------------------------------------------
 
 _CALLS = "SELECT DISTINCT p.pub_seq, p.channel_id, CASE WHEN p.pub_seq % 3 = 0 THEN p.channel_id ELSE 'wrong' END AS token FROM {put_record} p"

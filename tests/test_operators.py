@@ -302,3 +302,13 @@ def test_retry_summary_has_every_user(spark):
 
     users = spark.read.parquet(f"{SMALL}/events.parquet").select("user_id").distinct().count()
     assert QUERIES["a8_a10_retry_summary_of_all"](spark, SMALL).first()["members"] == users
+
+
+def test_encoded_records(spark, tmp_path):
+    rows = spark.createDataFrame([("a", 1), (None, None)], "k string, v bigint")
+    T.encode_records(rows, 2).write.parquet(str(tmp_path / "records"))
+    stored = spark.read.parquet(str(tmp_path / "records"))
+    assert {tuple(r) for r in T.decode_records(stored, 2).collect()} == {("a", 1, 2, None), (None, None, 2, None)}
+    assert {r["record_error"] for r in T.decode_records(stored, 1).collect()} == {"version"}
+    with pytest.raises(ValueError, match="schema_version"):
+        T.encode_records(stored, 2)
