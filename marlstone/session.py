@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -25,13 +26,17 @@ def build_session(app: str = "marlstone", master: str | None = None, **conf: str
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir, which all executors share; a temporary one only where none is set."""
+    """The folder of spark.checkpoint.dir, which all executors share, or the one set on the context.
+
+    Without either a session in one process gets a temporary folder; on a cluster that is an error.
+    """
     sc = spark.sparkContext
-    named = sc.getConf().get("spark.checkpoint.dir")
+    named = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if named:
         return named
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="marlstone-"))
+    if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    sc.setCheckpointDir(tempfile.mkdtemp(prefix="marlstone-"))
     return sc.getCheckpointDir()
 
 
