@@ -2,14 +2,21 @@
 
 Rows are compressed to (key, value, weight) before anything is brought together by key: a map-side
 combined count, in which a key with a third of all rows weighs no more than its distinct values.
-Ranks then come from prefix sums over log-linear value slices, so no task holds a whole key.
+Ranks then come from prefix sums over slices of the order by key and value, which are cut so that each has about the
+same number of distinct pairs; so no task holds a whole key, whatever its values are.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from marlstone.session import cut_lineage, slots
+
+#: What key_statistics can tell besides percentiles.
+STATISTICS = ("n_rows", "n_valued", "n_distinct", "total", "smallest", "largest", "mode")
 #: Percentiles in thousandths, by the suffix of their column.
 PERCENTILES = {"p10": 100, "p25": 250, "p50": 500, "p75": 750, "p90": 900, "p95": 950, "p99": 990}
 
@@ -23,15 +30,8 @@ def value_frequencies(df: DataFrame, key: Column, value: Column) -> DataFrame:
     return df.select(key.alias("_key"), kept.alias("_value")).groupBy("_key", "_value").agg(F.count(F.lit(1)).alias("_weight"))
 
 
-def value_slice(value: Column, mantissa_bits: int = 6) -> Column:
-    """A non-decreasing slice number: the binary exponent and the next mantissa_bits bits of a value >= 0."""
-    exponent = F.length(F.bin(value)).cast("int") - 1
-    shift = F.greatest(exponent - mantissa_bits, F.lit(0))
-    return (shift * (1 << (mantissa_bits + 1))).cast("bigint") + F.call_function("shiftright", value, shift)
-
-
-def key_statistics(df: DataFrame, key: Column, value: Column, percentiles: dict[str, int] = PERCENTILES) -> DataFrame:
-    """One row for each key: n_rows, n_valued, n_distinct, total, smallest, largest, mode and exact percentiles.
+def key_statistics(df: DataFrame, key: Column, value: Column, percentiles: dict[str, int] = PERCENTILES, wanted: Sequence[str] = STATISTICS) -> DataFrame:
+    """key and for each one the `wanted` statistics (of STATISTICS) and exact percentiles.
 
     * Null keys form one key of their own (`key` null).
     * Null and negative values count in n_rows only; a key with no other values has null statistics.
@@ -42,32 +42,43 @@ def key_statistics(df: DataFrame, key: Column, value: Column, percentiles: dict[
     * total is a decimal of 38 digits, so that it can't overflow.
     """
     freq = value_frequencies(df, key, value)
+    if percentiles:
+        freq = sliced(freq)
     valued = F.col("_value").isNotNull()
-    totals = freq.groupBy("_key").agg(
-        F.sum("_weight").alias("n_rows"),
-        F.sum(F.when(valued, F.col("_weight")).otherwise(F.lit(0))).alias("n_valued"),
-        F.count("_value").alias("n_distinct"),
-        F.sum(F.col("_value").cast("decimal(20,0)") * F.col("_weight").cast("decimal(18,0)")).cast("decimal(38,0)").alias("total"),
-        F.min("_value").alias("smallest"),
-        F.max("_value").alias("largest"),
-        F.max(F.when(valued, F.struct("_weight", (-F.col("_value")).alias("_minus")))).alias("_mode"),
-    )
+    known = {
+        "n_rows": F.sum("_weight"),
+        "n_valued": F.sum(F.when(valued, F.col("_weight")).otherwise(F.lit(0))),
+        "n_distinct": F.count("_value"),
+        "total": F.sum(F.col("_value").cast("decimal(20,0)") * F.col("_weight").cast("decimal(18,0)")).cast("decimal(38,0)"),
+        "smallest": F.min("_value"),
+        "largest": F.max("_value"),
+        "mode": -F.max(F.when(valued, F.struct("_weight", (-F.col("_value")).alias("_minus"))))["_minus"],
+    }
+    totals = freq.groupBy(F.col("_key").alias("key")).agg(*(known[n].alias(n) for n in wanted))
+    if not percentiles:
+        return totals
     ranked = _ranks(freq.filter(valued), percentiles)
     picked = ranked.groupBy(F.col("_key").alias("_rank_key")).agg(*(F.max(F.when(F.col("_name") == n, F.col("_value"))).alias(n) for n in percentiles))
-    joined = totals.join(picked, totals["_key"].eqNullSafe(picked["_rank_key"]), "left")
-    return joined.select(
-        F.col("_key").alias("key"), "n_rows", "n_valued", "n_distinct", "total", "smallest", "largest",
-        (-F.col("_mode._minus")).alias("mode"), *percentiles,
-    )
+    return totals.join(picked, totals["key"].eqNullSafe(picked["_rank_key"]), "left").select("key", *wanted, *percentiles)
+
+
+def sliced(freq: DataFrame, slices: int | None = None) -> DataFrame:
+    """freq with `_slice`, a number that doesn't fall as (_key, _value) rises; slices have about as many rows each.
+
+    The cuts come from a sample of the pairs, of which there are no two alike, so they can be anywhere. They are made
+    once and written down: whatever reads the slices must see the same ones.
+    """
+    spark = freq.sparkSession
+    n = slices or max(slots(spark), spark.sparkContext.defaultParallelism)
+    return cut_lineage(freq.repartitionByRange(n, "_key", "_value").withColumn("_slice", F.spark_partition_id()))
 
 
 def _ranks(freq: DataFrame, percentiles: dict[str, int]) -> DataFrame:
     """_key, _name, _value of each percentile: find its slice by sums over slices, then its value inside the slice."""
-    sliced = freq.withColumn("_slice", value_slice(F.col("_value")))
-    slices = sliced.groupBy("_key", "_slice").agg(F.sum("_weight").alias("_in_slice"))
-    by_key = Window.partitionBy("_key")  # at most 64 * 2^7 slices a key, whatever its rows
+    sums = freq.groupBy("_key", "_slice").agg(F.sum("_weight").alias("_in_slice"))
+    by_key = Window.partitionBy("_key")  # as many rows as slices at most, whatever the rows of the key
     upto = by_key.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    placed = slices.select(
+    placed = sums.select(
         F.col("_key").alias("_k"), F.col("_slice").alias("_s"), "_in_slice",
         F.coalesce(F.sum("_in_slice").over(upto), F.lit(0)).alias("_before"), F.sum("_in_slice").over(by_key).alias("_n"),
     )
@@ -78,9 +89,9 @@ def _ranks(freq: DataFrame, percentiles: dict[str, int]) -> DataFrame:
         .filter((F.col("_rank") > F.col("_before")) & (F.col("_rank") <= F.col("_before") + F.col("_in_slice")))
         .select("_k", "_s", F.col("_w._name").alias("_name"), (F.col("_rank") - F.col("_before")).alias("_offset"))
     )
-    # Only slices that hold an asked rank are looked into.
+    # Only slices that hold an asked rank are looked into, a key's part of a slice at a time.
     hit = asked.groupBy("_k", "_s").agg(F.collect_list(F.struct("_name", "_offset")).alias("_asked"))
-    inside = sliced.join(hit, sliced["_key"].eqNullSafe(hit["_k"]) & (sliced["_slice"] == hit["_s"]))
+    inside = freq.join(hit, freq["_key"].eqNullSafe(hit["_k"]) & (freq["_slice"] == hit["_s"]))
     running = Window.partitionBy("_key", "_slice").orderBy("_value")
     cumulated = inside.withColumn("_upto", F.sum("_weight").over(running.rowsBetween(Window.unboundedPreceding, 0)))
     return (

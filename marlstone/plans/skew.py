@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marlstone.functions.spelling import channel_key, channel_sql, digest_bytes, digest_sql
-from marlstone.operators.orphans import live_artifacts, orphan_counts, orphan_rows, reference_rows
+from marlstone.operators.orphans import live_artifacts, orphan_counts, orphan_groups, orphan_rows, reference_rows
 from marlstone.operators.weighted import PERCENTILES, key_statistics, keys_above_share, value_histogram
 from marlstone.sources.tables import table
 
@@ -15,16 +15,15 @@ DOMINANT_ONE_IN = 50
 
 
 def _orphans(spark: SparkSession, folder: str) -> DataFrame:
-    references, queue = table(spark, folder, "reference_record"), table(spark, folder, "eviction_queue")
     live = live_artifacts(table(spark, folder, "artifact_metadata"), table(spark, folder, "artifact_removal"), channel_key, digest_bytes)
-    refs = reference_rows(references, "reference_record", "ref_row", "updated_at", channel_key, digest_bytes).unionByName(
-        reference_rows(queue, "eviction_queue", "queue_row", "eligible_at", channel_key, digest_bytes, eligible="eligible_at")
+    refs = reference_rows(table(spark, folder, "reference_record"), "reference_record", "ref_row", "updated_at", channel_key, digest_bytes).unionByName(
+        reference_rows(table(spark, folder, "eviction_queue"), "eviction_queue", "queue_row", "eligible_at", channel_key, digest_bytes, eligible="eligible_at")
     )
-    return orphan_rows(refs, live, rows=references.count() + queue.count())
+    return orphan_groups(refs, live)
 
 
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
-    return _orphans(spark, folder).select("src", "row_id")
+    return orphan_rows(_orphans(spark, folder)).select("src", "row_id")
 
 
 def p4_orphan_counts(spark: SparkSession, folder: str) -> DataFrame:
@@ -37,7 +36,7 @@ def _channels(spark: SparkSession, folder: str) -> DataFrame:
 
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     rows = _channels(spark, folder)
-    stats = key_statistics(rows, channel_key(F.col("channel_id")), F.col("content_len"))
+    stats = key_statistics(rows, channel_key(F.col("channel_id")), F.col("content_len"), percentiles={}, wanted=("n_rows",))
     return keys_above_share(stats, rows.count(), DOMINANT_ONE_IN).select(F.col("key").alias("channel_id"))
 
 

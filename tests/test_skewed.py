@@ -6,8 +6,8 @@ from collections import Counter, defaultdict
 from pyspark.sql import functions as F
 
 from marlstone.functions.spelling import channel_key, digest_hex
-from marlstone.operators.orphans import heavy_keys, live_artifacts, orphan_counts, orphan_rows, reference_rows
-from marlstone.operators.weighted import PERCENTILES, key_statistics, keys_above_share, value_histogram, value_slice
+from marlstone.operators.orphans import heavy_keys, live_artifacts, orphan_counts, orphan_groups, orphan_rows, reference_rows
+from marlstone.operators.weighted import PERCENTILES, key_statistics, keys_above_share, sliced, value_frequencies, value_histogram
 
 ARTIFACTS = "channel_id string, digest string, eligible_at bigint, created_at bigint, _digest string"
 REMOVALS = "channel_id string, digest string, removed_at bigint"
@@ -21,7 +21,7 @@ def digest(n):
 def orphans(spark, refs, artifacts, removals, timed=False, **options):
     live = live_artifacts(spark.createDataFrame(artifacts, ARTIFACTS), spark.createDataFrame(removals, REMOVALS), channel_key, digest_hex)
     rows = reference_rows(spark.createDataFrame(refs, REFS), "t", "ref_row", "updated_at", channel_key, digest_hex, eligible="eligible_at" if timed else None)
-    return orphan_rows(rows, live, **options)
+    return orphan_groups(rows, live, **options)
 
 
 def test_orphans_against_brute_force(spark):
@@ -44,25 +44,28 @@ def test_orphans_against_brute_force(spark):
             there = (c, d, e) in live if timed and e is not None else (not timed and any(x[:2] == (c, d) for x in live))
             if not there:
                 expected.add(row)
-        for options in ({}, {"least": 5, "share": 1 / 100}):  # the second one with heavy keys
-            found = orphans(spark, refs, artifacts, removals, timed, **options).collect()
+        for share in (1 / 1000, 1 / 50, 1):  # nearly all keys heavy, some, and none
+            groups = orphans(spark, refs, artifacts, removals, timed, share=share)
+            found = orphan_rows(groups).collect()
             assert len(found) == len(expected)
             assert {r["row_id"] for r in found} == expected
+            assert sum(r["n_orphans"] for r in orphan_counts(groups).collect()) == len(expected)
 
 
 def test_heavy_keys_are_found(spark):
     refs = spark.createDataFrame([(i, "A", digest(1 if i < 50 else i), 0, 0, "") for i in range(100)], REFS)
     rows = reference_rows(refs, "t", "ref_row", "updated_at", channel_key, digest_hex)
-    assert [k[1] for k in heavy_keys(rows, 100, share=0.1, least=5)] == [digest(1)]
+    assert [k[1] for k in heavy_keys(rows, share=0.1)] == [digest(1)]
+    assert heavy_keys(rows, share=0.9) == []
 
 
 def test_orphan_edge_cases(spark):
-    assert orphans(spark, [], [], []).count() == 0
-    found = orphans(spark, [(1, "A", digest(1), 86_400, 0, ""), (None, "A", digest(1), -1, 0, ""), (None, "A", digest(1), -1, 0, ""), (2, "A", "?", 0, 0, ""), (3, "A", digest(2), 2**62, 0, "")], [], [])
-    rows = {(r["row_id"], str(r["period"])) for r in found.collect()}
+    assert orphan_rows(orphans(spark, [], [], [])).count() == orphan_counts(orphans(spark, [], [], [])).count() == 0
+    groups = orphans(spark, [(1, "A", digest(1), 86_400, 0, ""), (None, "A", digest(1), -1, 0, ""), (None, "A", digest(1), -1, 0, ""), (2, "A", "?", 0, 0, ""), (3, "A", digest(2), 2**62, 0, "")], [], [])
+    rows = {(r["row_id"], str(r["period"])) for r in orphan_rows(groups).collect()}
     assert rows == {(1, "1970-01-02"), (None, "1969-12-31"), (3, "None")}
-    assert sum(r["n_orphans"] for r in orphan_counts(found).collect()) == 3
-    assert orphans(spark, [(1, "A", digest(1), 0, 0, "")], [("a", digest(1), 5, 5, "")], []).count() == 0
+    assert sum(r["n_orphans"] for r in orphan_counts(groups).collect()) == 3
+    assert orphan_rows(orphans(spark, [(1, "A", digest(1), 0, 0, "")], [("a", digest(1), 5, 5, "")], [])).count() == 0
 
 
 def expected_statistics(rows):
@@ -97,11 +100,15 @@ def test_statistics_of_nothing(spark):
     assert value_histogram(df, F.col("k"), F.col("v")).count() == 0
 
 
-def test_slices_keep_the_order(spark):
-    values = sorted({0, 1, 2, 127, 128, 129, 255, 256, 2**40, 2**40 + 1, 2**62, 2**63 - 1} | {random.Random(1).randrange(2**k) for k in range(1, 63)})
-    df = spark.createDataFrame([(v,) for v in values], "v bigint").select("v", value_slice(F.col("v")).alias("s")).orderBy("v")
-    slices = [r["s"] for r in df.collect()]
-    assert slices == sorted(slices)
+def test_slices_cut_close_values_of_a_hot_key(spark):
+    rows = [("hot", 10**15 + i) for i in range(3_000)] + [("b", 1), (None, 5), (None, None)]
+    freq = value_frequencies(spark.createDataFrame(rows, "k string, v bigint"), F.col("k"), F.col("v"))
+    found = sliced(freq, 12).orderBy("_key", "_value").collect()
+    numbers = [r["_slice"] for r in found]
+    assert numbers == sorted(numbers)
+    assert max(Counter(numbers).values()) < 1_000
+    only = key_statistics(spark.createDataFrame(rows, "k string, v bigint"), F.col("k"), F.col("v"), {}, ("n_rows",))
+    assert {tuple(r) for r in only.collect()} == {("hot", 3_000), ("b", 1), (None, 2)}
 
 
 def test_keys_above_share(spark):
