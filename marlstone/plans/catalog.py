@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from marlstone.functions.identity import DEFAULT_CHANNEL, body_path
 from marlstone.functions.spelling import channel_key, channel_sql, digest_hex, digest_sql
 from marlstone.operators import bodies as B
+from marlstone.operators import maintenance as M
 from marlstone.operators import tables as T
 from marlstone.plans.registry import Registry, plain, portable
 from marlstone.session import cut_lineage
@@ -258,12 +259,18 @@ def w8_remove_artifacts(spark: SparkSession, folder: str) -> DataFrame:
     return left.unionByName(T.without(queue(spark, folder), gone, _KEY).select(F.lit("eviction").alias("family"), *_KEY))
 
 
-@R.add(f"""SELECT a.channel_id, a.digest, CASE WHEN q.d IS NOT NULL AND q.d = a.eligible_at THEN a.eligible_at + 3600 ELSE a.eligible_at END AS eligible_at FROM {ARTIFACTS} a
-  LEFT JOIN (SELECT channel_id, digest, min(eligible_at) AS d FROM {QUEUE} GROUP BY 1, 2) q USING (channel_id, digest)""")
+@R.add(f"""WITH q AS (SELECT channel_id, digest, eligible_at, max(stored_len) AS stored_len FROM {QUEUE} WHERE eligible_at IS NOT NULL GROUP BY 1, 2, 3), a AS (SELECT channel_id, digest, eligible_at, stored_len FROM {ARTIFACTS}),
+  m AS (SELECT a.channel_id, a.digest, a.eligible_at, a.stored_len FROM a JOIN (SELECT channel_id, digest, min(eligible_at) AS eligible_at FROM q GROUP BY 1, 2) o USING (channel_id, digest, eligible_at))
+  SELECT 'artifacts' AS family, a.channel_id, a.digest, a.eligible_at + CASE WHEN m.digest IS NOT NULL THEN 3600 ELSE 0 END AS eligible_at, a.stored_len FROM a LEFT JOIN m USING (channel_id, digest)
+  UNION ALL SELECT 'eviction', channel_id, digest, eligible_at, stored_len FROM q WHERE (channel_id, digest, eligible_at) NOT IN (SELECT channel_id, digest, eligible_at FROM m UNION ALL SELECT channel_id, digest, eligible_at + 3600 FROM m)
+  UNION ALL SELECT 'eviction', channel_id, digest, eligible_at + 3600, stored_len FROM m""")
 def w9_requeue(spark: SparkSession, folder: str) -> DataFrame:
-    asked = queue(spark, folder).groupBy(*_KEY).agg(F.min("eligible_at").alias("expected"))
-    change = asked.withColumn("eligible_at", F.col("expected") + 3600)
-    return T.patch(artifacts(spark, folder).select(*_KEY, "eligible_at"), change, _KEY, "eligible_at", when=F.col("_expected") == F.col("eligible_at"))
+    """Each artifact's first queue row is moved by an hour, in both families, where the artifact has its deadline."""
+    rows = queue(spark, folder, once=False).filter("eligible_at is not null").groupBy(*_KEY, "eligible_at").agg(F.max("stored_len").alias("stored_len"))
+    moves = rows.groupBy(*_KEY).agg(F.min("eligible_at").alias("eligible_at")).withColumn("new_eligible_at", F.col("eligible_at") + 3600)
+    queue_after, artifacts_after = M.requeue(rows, artifacts(spark, folder).select(*_KEY, "eligible_at", "stored_len"), moves)
+    kept = [*_KEY, "eligible_at", "stored_len"]
+    return artifacts_after.select(F.lit("artifacts").alias("family"), *kept).unionByName(queue_after.select(F.lit("eviction").alias("family"), *kept))
 
 
 @R.add(f"SELECT q.queue_row, CASE WHEN a.eligible_at = q.eligible_at THEN 'removed' ELSE 'stale' END AS outcome FROM {QUEUE} q LEFT JOIN {ARTIFACTS} a USING (channel_id, digest)")

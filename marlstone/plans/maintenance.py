@@ -14,6 +14,7 @@ from marlstone.operators.running import running_last
 from marlstone.plans import catalog as C
 from marlstone.plans.identity import position_sql
 from marlstone.plans.registry import Registry, plain, portable
+from marlstone.session import cut_lineage
 from marlstone.sources.tables import table
 
 R = Registry()
@@ -46,13 +47,15 @@ _QUEUE = f"(SELECT channel_id, eligible_at, digest, max(stored_len) AS stored_le
 
 
 def _plan_sql(mode: str) -> str:
+    """What evicting tells of the artifact, and what it frees, is the artifact's deadline and length, not the queue's."""
     due = "TRUE" if mode == M.RECLAIMING else f"q.eligible_at <= {NOW}"
     recent_ = "FALSE" if mode == M.RECLAIMING else "r.digest IS NOT NULL"
     return f"""WITH turns AS (SELECT channel_id, expiry_seconds, (((row_number() OVER (ORDER BY channel_id) - 1 - {CURSOR}) % count(*) OVER ()) + count(*) OVER ()) % count(*) OVER () AS turn FROM channel_record WHERE state = 'active'),
-      cand AS (SELECT q.*, t.turn, t.expiry_seconds, CASE WHEN {recent_} THEN 'requeue' WHEN a.eligible_at = q.eligible_at THEN 'evict' ELSE 'stale' END AS action
+      cand AS (SELECT q.channel_id, q.digest, q.eligible_at, t.turn, t.expiry_seconds, a.eligible_at IS NOT DISTINCT FROM q.eligible_at AS matched,
+        CASE WHEN a.eligible_at = q.eligible_at THEN a.stored_len END AS stored_len, CASE WHEN {recent_} THEN 'requeue' WHEN a.eligible_at = q.eligible_at THEN 'evict' ELSE 'stale' END AS action
         FROM {_QUEUE} q JOIN turns t USING (channel_id) LEFT JOIN {C.ARTIFACTS} a ON a.channel_id = q.channel_id AND a.digest = q.digest LEFT JOIN {_RECENT} r ON r.channel_id = q.channel_id AND r.digest = q.digest WHERE {due}),
       ranked AS (SELECT *, row_number() OVER w AS seq, coalesce(sum(CASE WHEN action = 'evict' THEN coalesce(stored_len, 0) ELSE 0 END) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS spent FROM cand WINDOW w AS (ORDER BY turn, eligible_at, digest))
-      SELECT CAST(seq AS INTEGER) AS seq, channel_id, digest, eligible_at, stored_len, action, CASE WHEN action = 'requeue' THEN CAST({NOW} + expiry_seconds AS BIGINT) END AS new_eligible_at FROM ranked WHERE seq <= {CANDIDATES} AND spent < {BUDGET}"""
+      SELECT CAST(seq AS INTEGER) AS seq, channel_id, digest, eligible_at, stored_len, action, matched, CASE WHEN action = 'requeue' THEN CAST({NOW} + expiry_seconds AS BIGINT) END AS new_eligible_at FROM ranked WHERE seq <= {CANDIDATES} AND spent < {BUDGET}"""
 
 
 def _plan(spark: SparkSession, folder: str, mode: str) -> DataFrame:
@@ -74,11 +77,48 @@ def a13_pass_summary(spark: SparkSession, folder: str) -> DataFrame:
     return M.pass_summary(_plan(spark, folder, M.NORMAL))
 
 
-@R.add(f"""WITH p AS ({_plan_sql(M.NORMAL)}), k AS (SELECT q.channel_id, CASE WHEN p.action = 'requeue' THEN p.new_eligible_at ELSE q.eligible_at END AS eligible_at FROM {_QUEUE} q LEFT JOIN p USING (channel_id, eligible_at, digest) WHERE p.action IS NULL OR p.action = 'requeue')
-  SELECT channel_id, CAST(count(*) AS BIGINT) AS n, min(eligible_at) AS next_due FROM k GROUP BY 1""")
+_AFTER_PASS = f"""WITH p AS ({_plan_sql(M.NORMAL)}),
+  moved AS (SELECT channel_id, digest, new_eligible_at AS eligible_at, stored_len FROM p WHERE action = 'requeue' AND matched),
+  left_over AS (SELECT q.channel_id, q.digest, q.eligible_at, q.stored_len FROM {_QUEUE} q LEFT JOIN p USING (channel_id, eligible_at, digest)
+    WHERE (p.action IS NULL OR (p.action = 'requeue' AND NOT p.matched)) AND (q.channel_id, q.digest, q.eligible_at) NOT IN (SELECT channel_id, digest, eligible_at FROM moved))"""
+
+
+@R.add(f"{_AFTER_PASS} SELECT channel_id, digest, eligible_at, stored_len FROM left_over UNION ALL SELECT channel_id, digest, eligible_at, stored_len FROM moved")
 def o1_queue_after_pass(spark: SparkSession, folder: str) -> DataFrame:
-    after, _ = M.apply_plan(_plan(spark, folder, M.NORMAL), distinct_queue(spark, folder), C.artifacts(spark, folder))
-    return after.groupBy("channel_id").agg(F.count(F.lit(1)).alias("n"), F.min("eligible_at").alias("next_due"))
+    plan = cut_lineage(_plan(spark, folder, M.NORMAL))
+    after, _ = M.apply_plan(plan, distinct_queue(spark, folder), C.artifacts(spark, folder))
+    return after.select("channel_id", "digest", "eligible_at", "stored_len")
+
+
+@R.add(f"""{_AFTER_PASS} SELECT a.channel_id, a.digest, coalesce(m.eligible_at, a.eligible_at) AS eligible_at, a.stored_len FROM {C.ARTIFACTS} a LEFT JOIN moved m ON m.channel_id = a.channel_id AND m.digest = a.digest
+  WHERE (a.channel_id, a.digest) NOT IN (SELECT channel_id, digest FROM p WHERE action = 'evict')""")
+def o1_artifacts_after_pass(spark: SparkSession, folder: str) -> DataFrame:
+    plan = cut_lineage(_plan(spark, folder, M.NORMAL))
+    _, after = M.apply_plan(plan, distinct_queue(spark, folder), C.artifacts(spark, folder))
+    return after.select("channel_id", "digest", "eligible_at", "stored_len")
+
+
+# The two cases that tell the artifact's length and deadline from the queue's: fixed rows.
+_CASE_QUEUE = "SELECT * FROM VALUES ('a', 10, 'x', CAST(NULL AS BIGINT)), ('a', 11, 'y', 8), ('b', 10, 'z', 5), ('b', 12, 'w', 7) AS q(channel_id, eligible_at, digest, stored_len)"
+_CASE_ARTIFACTS = "SELECT * FROM VALUES ('a', 'x', 10, 100), ('a', 'y', 11, 8), ('b', 'z', 50, 5), ('b', 'w', 12, 9) AS a(channel_id, digest, eligible_at, stored_len)"
+
+
+@R.add("""SELECT * FROM (VALUES ('budget', 'queue', 'a', 'y', 11, 8), ('budget', 'queue', 'b', 'z', 10, 5), ('budget', 'queue', 'b', 'w', 12, 7),
+    ('budget', 'artifacts', 'a', 'y', 11, 8), ('budget', 'artifacts', 'b', 'z', 50, 5), ('budget', 'artifacts', 'b', 'w', 12, 9),
+    ('requeue', 'queue', 'b', 'z', 10, 5), ('requeue', 'queue', 'b', 'w', 1100, 9), ('requeue', 'artifacts', 'b', 'z', 50, 5), ('requeue', 'artifacts', 'b', 'w', 1100, 9)) AS t("case", family, channel_id, digest, eligible_at, stored_len)""")
+def o1_planted_cases(spark: SparkSession, folder: str) -> DataFrame:
+    """budget: the first eviction's 100 bytes end a pass of 50, whatever its queue row says. requeue: a stale row stays."""
+    queue = spark.sql(_CASE_QUEUE)
+    rows = spark.sql(_CASE_ARTIFACTS)
+    channels = spark.sql("SELECT * FROM VALUES ('a', 1000, 'active'), ('b', 1000, 'active') AS c(channel_id, expiry_seconds, state)")
+    used = spark.sql("SELECT * FROM VALUES ('b', 'z'), ('b', 'w') AS u(channel_id, digest)")
+    out = None
+    for case, budget in (("budget", 50), ("requeue", 1_000)):
+        plan = M.maintenance_plan(queue, rows, channels, used, M.NORMAL, 100, 0, 10, budget)
+        for family, after in zip(("queue", "artifacts"), M.apply_plan(plan, queue, rows), strict=True):
+            part = after.select(F.lit(case).alias("case"), F.lit(family).alias("family"), "channel_id", "digest", "eligible_at", F.col("stored_len").cast("int").alias("stored_len"))
+            out = part if out is None else out.unionByName(part)
+    return out
 
 
 @R.add(f"SELECT channel_id, CAST((((row_number() OVER (ORDER BY channel_id) - 1 - {CURSOR}) % count(*) OVER ()) + count(*) OVER ()) % count(*) OVER () AS BIGINT) AS turn FROM channel_record WHERE state = 'active'")

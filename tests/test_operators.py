@@ -17,7 +17,7 @@ from marlstone.operators import tables as T
 from marlstone.sources import protocol as P
 
 QUEUE = "channel_id string, eligible_at bigint, digest string, stored_len bigint"
-ARTIFACTS = "channel_id string, digest string, eligible_at bigint"
+ARTIFACTS = "channel_id string, digest string, eligible_at bigint, stored_len bigint"
 CHANNELS = "channel_id string, expiry_seconds bigint, state string"
 KEYS = "channel_id string, digest string"
 
@@ -34,14 +34,14 @@ def model_pass(queue, artifacts, channels, recent, mode, now, cursor, candidates
         for row in sorted(r for r in queue if r[0] == c):
             if len(out) >= candidates or spent >= budget:
                 return out
-            _, due, d, size = row
+            _, due, d, _ = row  # the queue's length plays no part
             if mode == M.NORMAL and due > now:
                 break
             if mode == M.NORMAL and (c, d) in recent:
                 out.append((c, d, due, "requeue", now + expiry[c]))
-            elif artifacts.get((c, d)) == due:
+            elif artifacts.get((c, d), (None, 0))[0] == due:
                 out.append((c, d, due, "evict", None))
-                spent += size
+                spent += artifacts[c, d][1] or 0
             else:
                 out.append((c, d, due, "stale", None))
     return out
@@ -53,26 +53,37 @@ def test_maintenance_against_model(spark, seed):
     channels = [(f"c{i}", rng.randrange(1, 50), rng.choice(["active", "active", "deleting"])) for i in range(5)]
     queue = list({(f"c{rng.randrange(6)}", rng.randrange(20), f"d{rng.randrange(9)}"): rng.randrange(9) for _ in range(40)}.items())
     queue = [(*k, v) for k, v in queue]
-    artifacts = {(c, d): (due if rng.random() < 0.7 else due + 1) for c, due, d, _ in queue if rng.random() < 0.8}
+    artifacts = {(c, d): (due if rng.random() < 0.7 else due + 1, rng.choice([None, rng.randrange(9)])) for c, due, d, _ in queue if rng.random() < 0.8}
     recent = {(c, d) for c, _, d, _ in queue if rng.random() < 0.3}
     for mode in (M.NORMAL, M.RECLAIMING):
         args = (mode, rng.randrange(25), rng.randrange(9), rng.randrange(1, 20), rng.randrange(1, 40))
         expected = model_pass(queue, artifacts, channels, recent, *args)
         plan = M.maintenance_plan(
-            spark.createDataFrame(queue, QUEUE), spark.createDataFrame([(*k, v) for k, v in artifacts.items()], ARTIFACTS), spark.createDataFrame(channels, CHANNELS),
+            spark.createDataFrame(queue, QUEUE), spark.createDataFrame([(*k, *v) for k, v in artifacts.items()], ARTIFACTS), spark.createDataFrame(channels, CHANNELS),
             spark.createDataFrame(sorted(recent) or [("-", "-")], KEYS), *args,
         )
         assert [(r["channel_id"], r["digest"], r["eligible_at"], r["action"], r["new_eligible_at"]) for r in plan.orderBy("seq").collect()] == expected
 
 
 def test_plan_is_applied(spark):
-    queue = spark.createDataFrame([("a", 1, "x", 5), ("a", 2, "y", 5), ("a", 3, "z", 5)], QUEUE)
-    rows = spark.createDataFrame([("a", "x", 1), ("a", "y", 2), ("a", "z", 9)], ARTIFACTS)
-    plan = M.maintenance_plan(queue, rows, spark.createDataFrame([("a", 100, "active")], CHANNELS), spark.createDataFrame([("a", "y")], KEYS), M.NORMAL, 10, 0, 10, 100)
+    queue = spark.createDataFrame([("a", 1, "x", None), ("a", 2, "y", 5), ("a", 3, "z", 5), ("a", 4, "s", 5)], QUEUE)
+    rows = spark.createDataFrame([("a", "x", 1, 7), ("a", "y", 2, 6), ("a", "z", 9, 5), ("a", "s", 50, 5)], ARTIFACTS)
+    used = spark.createDataFrame([("a", "y"), ("a", "s")], KEYS)
+    plan = M.maintenance_plan(queue, rows, spark.createDataFrame([("a", 100, "active")], CHANNELS), used, M.NORMAL, 10, 0, 10, 100)
     after_queue, after_rows = M.apply_plan(plan, queue, rows)
-    assert {tuple(r) for r in after_queue.collect()} == {("a", 110, "y", 5)}
-    assert {tuple(r) for r in after_rows.collect()} == {("a", "y", 110), ("a", "z", 9)}
-    assert M.pass_summary(plan).first().asDict() == {"reclaimed": 1, "reclaimed_bytes": 5, "requeued": 1, "stale": 1}
+    # y moves with the artifact's length; s, which is stale, stays where it is
+    assert {tuple(r) for r in after_queue.collect()} == {("a", 110, "y", 6), ("a", 4, "s", 5)}
+    assert {tuple(r) for r in after_rows.collect()} == {("a", "y", 110, 6), ("a", "z", 9, 5), ("a", "s", 50, 5)}
+    assert M.pass_summary(plan).first().asDict() == {"reclaimed": 1, "reclaimed_bytes": 7, "requeued": 2, "stale": 1}
+
+
+def test_requeue_replaces_and_makes_rows(spark):
+    queue = spark.createDataFrame([("a", 1, "x", 5), ("a", 9, "x", 4), ("a", 2, "z", 1)], QUEUE)
+    rows = spark.createDataFrame([("a", "x", 1, 7), ("a", "y", 3, None), ("a", "z", 5, 1)], ARTIFACTS)
+    moves = spark.createDataFrame([("a", "x", 1, 9), ("a", "y", 3, 8), ("a", "z", 2, 6), ("a", "w", 1, 2)], "channel_id string, digest string, eligible_at bigint, new_eligible_at bigint")
+    after_queue, after_rows = M.requeue(queue, rows, moves)
+    assert {tuple(r) for r in after_queue.collect()} == {("a", 9, "x", 7), ("a", 8, "y", None), ("a", 2, "z", 1)}
+    assert {tuple(r) for r in after_rows.collect()} == {("a", "x", 9, 7), ("a", "y", 8, None), ("a", "z", 5, 1)}
 
 
 def test_ledger_cases(spark):
