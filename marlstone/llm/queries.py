@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,9 +13,10 @@ from marlstone.llm.frequent import frequent_values
 from marlstone.llm.leaks import leaks
 from marlstone.llm.packing import fill, pack, token_lengths
 from marlstone.llm.quantiles import answers, merge_summaries, rank_summaries
-from marlstone.llm.seen import derived_wrong, measured_wrong, seen_before
+from marlstone.llm.seen import Layout, derived_wrong, measured_wrong, seen_before, seen_seqs
+from marlstone.llm.seen import answers as answers_of
 from marlstone.llm.structure import COMMON, statistics, structure
-from marlstone.session import cut_lineage, spread
+from marlstone.session import cut_lineage, shared_folder, spread
 from marlstone.sources.tables import table
 
 #: An output is frequent from one in so many manifest entries on.
@@ -40,21 +42,25 @@ def p1_top_outputs(spark: SparkSession, folder: str) -> DataFrame:
     return frequent_values(entries, digest_hex(F.col("output")), k=TOP).withColumnRenamed("value", "output")
 
 
-def _answers(spark: SparkSession, folder: str, **options) -> DataFrame:
-    return seen_before(table(spark, folder, "put_record"), digest_bytes(F.col("digest")), F.col("pub_seq"), table(spark, folder, "known_digest"), digest_bytes(F.col("digest")), **options)
+def _asked(spark: SparkSession, folder: str, **options) -> tuple[DataFrame, Layout]:
+    """Known digests go into filters that are saved; the records are asked of the saved ones."""
+    path = f"{shared_folder(spark)}/seen-{uuid.uuid4().hex}"
+    return seen_before(table(spark, folder, "put_record"), digest_bytes(F.col("digest")), F.col("pub_seq"), table(spark, folder, "known_digest"), digest_bytes(F.col("digest")), path=path, **options)
 
 
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
-    return _answers(spark, folder).filter("seen").select(F.col("seq").alias("pub_seq"))
+    asked, _ = _asked(spark, folder)
+    return seen_seqs(asked).select(F.col("seq").alias("pub_seq"))
 
 
 def p2_error_rate(spark: SparkSession, folder: str) -> DataFrame:
     """For several widths of the stored remainder, wrong answers as derived and as measured over all records."""
     out = None
     for width in MEASURED_WIDTHS:
-        given = cut_lineage(_answers(spark, folder, width=width))
-        wrong = measured_wrong(given, table(spark, folder, "put_record"), digest_bytes(F.col("digest")), F.col("pub_seq"), table(spark, folder, "known_digest"), digest_bytes(F.col("digest")))
-        row = wrong.crossJoin(derived_wrong(given, width)).select(  # one row each
+        asked, layout = _asked(spark, folder, width=width, keep=True)
+        asked = cut_lineage(asked)
+        wrong = measured_wrong(answers_of(asked), table(spark, folder, "put_record"), digest_bytes(F.col("digest")), F.col("pub_seq"), table(spark, folder, "known_digest"), digest_bytes(F.col("digest")))
+        row = wrong.crossJoin(derived_wrong(asked, layout)).select(  # one row each
             F.lit(8 * width).alias("remainder_bits"), "n_answers", "n_seen", "n_wrong", F.col("derived").alias("derived_wrong"),
             (F.col("n_wrong") / F.col("n_answers")).alias("measured_rate"), (F.col("derived") / F.col("n_answers")).alias("derived_rate"),
         )
@@ -62,6 +68,12 @@ def p2_error_rate(spark: SparkSession, folder: str) -> DataFrame:
     return out
 
 
+def p2_error_check(spark: SparkSession, folder: str) -> DataFrame:
+    """Whether the derived errors are the measured ones, six standard deviations of chance aside, and how many records were truly seen."""
+    near = F.abs(F.col("n_wrong") - F.col("derived_wrong")) <= 6 * F.sqrt("derived_wrong") + 3
+    return p2_error_rate(spark, folder).select("remainder_bits", "n_answers", (F.col("n_seen") - F.col("n_wrong")).alias("n_truly_seen"), near.alias("as_derived"))
+
+
 def _summaries(spark: SparkSession, folder: str) -> DataFrame:
     day = F.expr(f"(created_at - pmod(created_at, {DAY})) div {DAY}")
     metrics = {m: F.col(m) for m in ("content_len", "stored_len")}
@@ -137,7 +149,7 @@ def p8_statistics(spark: SparkSession, folder: str) -> DataFrame:
     return texts.select("doc_id", *(c.alias(n) for n, c in statistics(F.col("text")).items())).select("doc_id", *rounded.values())
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_top_outputs, p2_found, p2_error_rate, p3_percentiles, p3_day_percentiles, p3_day_extremes, p6_packing, p6_fill, p7_found, p7_leaked_items, p8_found, p8_quality, p8_statistics)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_top_outputs, p2_found, p2_error_rate, p2_error_check, p3_percentiles, p3_day_percentiles, p3_day_extremes, p6_packing, p6_fill, p7_found, p7_leaked_items, p8_found, p8_quality, p8_statistics)}
 
 _DIGEST = digest_sql("digest")
 _JAVA_SPACE = " \\t\\n\\x0b\\f\\r"
@@ -151,6 +163,11 @@ SQL = {
         known AS (SELECT DISTINCT {_DIGEST} AS d FROM known_digest),
         first AS (SELECT d, min(pub_seq) AS s FROM puts GROUP BY d)
         SELECT DISTINCT p.pub_seq FROM puts p JOIN first f USING (d) WHERE p.pub_seq > f.s OR p.d IN (SELECT d FROM known WHERE d IS NOT NULL)""",
+    "p2_error_check": f"""WITH puts AS (SELECT DISTINCT pub_seq, {_DIGEST} AS d FROM put_record WHERE {_DIGEST} IS NOT NULL AND pub_seq IS NOT NULL),
+        known AS (SELECT DISTINCT {_DIGEST} AS d FROM known_digest WHERE {_DIGEST} IS NOT NULL), first AS (SELECT d, min(pub_seq) AS s FROM puts GROUP BY d),
+        a AS (SELECT p.pub_seq, bool_or(p.pub_seq > f.s OR k.d IS NOT NULL) AS seen FROM puts p JOIN first f USING (d) LEFT JOIN known k USING (d) GROUP BY 1)
+        SELECT CAST(w AS INTEGER) AS remainder_bits, CAST(count(*) AS BIGINT) AS n_answers, CAST(count(*) FILTER (seen) AS BIGINT) AS n_truly_seen, TRUE AS as_derived
+        FROM a, (VALUES {", ".join(f"({8 * w})" for w in MEASURED_WIDTHS)}) AS t(w) GROUP BY w""",
     "p3_day_extremes": f"""WITH long AS (
           SELECT {encoding_sql("encoding")} AS encoding, CAST(floor(created_at / {DAY}.0) AS BIGINT) AS day, 'content_len' AS metric, content_len AS v FROM artifact_metadata
           UNION ALL SELECT {encoding_sql("encoding")}, CAST(floor(created_at / {DAY}.0) AS BIGINT), 'stored_len', stored_len FROM artifact_metadata)
