@@ -3,6 +3,7 @@
 A summary is a sorted list of tuples (value, least rank, greatest rank) that brackets the rank of each value kept.
 Partitions build exact summaries and compress them to a fixed number of tuples; merging adds the brackets of the
 parts; the uncertainty that is really there, the widest gap between neighbouring brackets, comes with every answer.
+It is never more than what can be told before: each compression on a row's way adds at most n / (tuples - 2) ranks.
 Everything is deterministic: the same partitions give the same summaries.
 """
 
@@ -17,15 +18,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Tuples that a summary keeps after compression. Each round of compression adds about n / TUPLES to the rank error of
-#: n rows; there is one round in a partition (more only beyond BUFFER values) and one for each FAN_IN-fold merge.
+#: Tuples that a summary keeps after compression; see rounds_ahead for the error that this gives.
 TUPLES = 2_000
 #: Values that a partition buffers before it summarises them.
 BUFFER = 1 << 20
 #: Summaries that one task merges at once.
 FAN_IN = 32
 
-SUMMARY = "n bigint, values array<bigint>, least array<bigint>, greatest array<bigint>"
+SUMMARY = "n bigint, rounds int, values array<bigint>, least array<bigint>, greatest array<bigint>"
 
 
 @dataclass(frozen=True)
@@ -34,6 +34,8 @@ class RankSummary:
     least: np.ndarray
     greatest: np.ndarray
     n: int
+    #: Compressions that any row went through at most.
+    rounds: int = 0
 
     @classmethod
     def exact(cls, values: np.ndarray) -> RankSummary:
@@ -47,7 +49,7 @@ class RankSummary:
             return other if not self.n else self
         values = np.union1d(self.values, other.values)
         lows, highs = zip(*(s._bracket(values) for s in (self, other)), strict=True)
-        return RankSummary(values, sum(lows) + 1, sum(highs), self.n + other.n)
+        return RankSummary(values, sum(lows) + 1, sum(highs), self.n + other.n, max(self.rounds, other.rounds))
 
     def _bracket(self, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """For each value, so many rows are smaller at most, and so many not greater at least."""
@@ -72,7 +74,7 @@ class RankSummary:
             return self
         ranks = np.linspace(1, self.n, tuples - 1)
         keep = np.unique(np.append(0, np.minimum(np.searchsorted(self.greatest, ranks, side="left"), len(self.values) - 1)))
-        return RankSummary(self.values[keep], self.least[keep], self.greatest[keep], self.n)
+        return RankSummary(self.values[keep], self.least[keep], self.greatest[keep], self.n, self.rounds + 1)
 
     def at(self, permille: Sequence[int]) -> np.ndarray:
         """The values at ranks ceil(n * permille / 1000), 1 at least."""
@@ -80,15 +82,37 @@ class RankSummary:
         return self.values[np.minimum(np.searchsorted(self.greatest, ranks, side="left"), len(self.values) - 1)]
 
 
-def _arrow(rows: list[tuple[dict, RankSummary]], keys: Sequence[str], types: Sequence[pa.DataType]) -> pa.RecordBatch:
-    names = [*keys, "n", "values", "least", "greatest"]
-    columns = [pa.array([k[n] for k, _ in rows], t) for n, t in zip(keys, types, strict=True)]
-    columns += [pa.array([s.n for _, s in rows], pa.int64())]
-    columns += [pa.array([getattr(s, f).astype(np.int64) for _, s in rows], pa.list_(pa.int64())) for f in ("values", "least", "greatest")]
-    return pa.record_batch(columns, names=names)
+def stated_error(n: int, rounds: int, tuples: int = TUPLES) -> int:
+    """Ranks by which an answer about n rows is off at most, after so many rounds of compression.
 
+    Compression keeps the answers to ranks (n - 1) / (tuples - 2) apart, so it widens no gap between brackets by more; and
+    a gap of a merged summary is the sum of one gap of each part.
+    """
+    return -(-rounds * n // max(1, tuples - 2))
+
+
+def rounds_ahead(partitions: int, rows: int, buffer: int | None = None) -> int:
+    """Rounds of compression, known before the run, for `partitions` of at most `rows` values each and one merge of all.
+
+    A partition summarises at each full buffer, combines equal ones as a binary counter does, and once more in the end;
+    then there is one round for each FAN_IN-fold merge.
+    """
+    flushes = max(1, -(-rows // (buffer or BUFFER)))
+    merges = 0
+    while partitions > 1 or not merges:
+        partitions, merges = -(-partitions // FAN_IN), merges + 1
+    return 2 + (flushes - 1).bit_length() + merges
 
-_TYPES = (pa.string(), pa.int64(), pa.string())
+
+_TYPES = {"label": pa.string(), "day": pa.int64(), "metric": pa.string(), "part": pa.int64()}
+_KINDS = {"label": "label string", "day": "day bigint", "metric": "metric string", "part": "part bigint"}
+
+
+def _arrow(rows: list[tuple[dict, RankSummary]], keys: Sequence[str]) -> pa.RecordBatch:
+    columns = {n: pa.array([k[n] for k, _ in rows], _TYPES[n]) for n in keys}
+    columns |= {"n": pa.array([s.n for _, s in rows], pa.int64()), "rounds": pa.array([s.rounds for _, s in rows], pa.int32())}
+    columns |= {f: pa.array([getattr(s, f).astype(np.int64) for _, s in rows], pa.list_(pa.int64())) for f in ("values", "least", "greatest")}
+    return pa.RecordBatch.from_pydict(columns)
 
 
 def _summarise(tuples: int):
@@ -117,20 +141,21 @@ def _summarise(tuples: int):
         flush()
         rows = [(dict(zip(("label", "day", "metric"), k, strict=True)), reduce(RankSummary.merge, s).compress(tuples)) for k, s in held.items()]
         for i in range(0, len(rows), 64):
-            yield _arrow(rows[i : i + 64], ("label", "day", "metric"), _TYPES)
+            yield _arrow(rows[i : i + 64], ("label", "day", "metric"))
 
     return run
 
 
 def _merger(keys: Sequence[str], tuples: int):
-    types = [dict(zip(("label", "day", "metric"), _TYPES, strict=True))[k] for k in keys]
-
     def run(group: pa.Table) -> pa.Table:
-        columns = {n: group.column(n) for n in ("n", "values", "least", "greatest")}
-        parts = [RankSummary(*(columns[f][i].values.to_numpy() for f in ("values", "least", "greatest")), columns["n"][i].as_py()) for i in range(group.num_rows)]
+        rows = group.select(["n", "rounds", "values", "least", "greatest"]).to_batches()
+        parts = []
+        for batch in rows:
+            n, rounds, *arrays = (batch.column(i) for i in range(5))
+            parts += [RankSummary(*(a[i].values.to_numpy() for a in arrays), n[i].as_py(), rounds[i].as_py()) for i in range(batch.num_rows)]
         parts.sort(key=lambda s: (s.n, s.values.tobytes()))
         whole = reduce(RankSummary.merge, parts).compress(tuples)
-        return pa.Table.from_batches([_arrow([({k: group.column(k)[0].as_py() for k in keys}, whole)], keys, types)])
+        return pa.Table.from_batches([_arrow([({k: group.column(k)[0].as_py() for k in keys}, whole)], keys)])
 
     return run
 
@@ -145,20 +170,34 @@ def rank_summaries(df: DataFrame, label: Column, day: Column, metrics: dict[str,
         label.cast("string").alias("label"), day.cast("bigint").alias("day"),
         F.explode(F.array(*(F.struct(F.lit(n).alias("metric"), c.cast("bigint").alias("value")) for n, c in metrics.items()))).alias("_m"),
     ).select("label", "day", "_m.metric", "_m.value").filter(F.col("value") >= 0)
-    parts = long.mapInArrow(_summarise(tuples), f"label string, day bigint, metric string, {SUMMARY}")
-    return merge_summaries(parts, ("label", "day", "metric"), tuples, parts=max(1, long.rdd.getNumPartitions()))
+    local = long.mapInArrow(_summarise(tuples), f"label string, day bigint, metric string, {SUMMARY}")
+    # One summary a group and partition at most, so partitions are what merges are numbered by.
+    return merge_summaries(local, ("label", "day", "metric"), F.spark_partition_id(), max(1, long.rdd.getNumPartitions()), tuples)
 
 
-def merge_summaries(summaries: DataFrame, keys: Sequence[str], tuples: int = TUPLES, parts: int = FAN_IN) -> DataFrame:
-    """One summary for each value of `keys`, FAN_IN at a time, so that no task holds more, however many `parts` there are."""
-    kinds = {"label": "label string", "day": "day bigint", "metric": "metric string"}
-    schema = ", ".join(kinds[k] for k in keys) + f", {SUMMARY}"
-    current = summaries
-    while parts > FAN_IN:
-        parts = -(-parts // FAN_IN)
-        salted = current.withColumn("_salt", F.pmod(F.xxhash64("n", "values"), F.lit(parts)))
-        current = salted.groupBy(*keys, "_salt").applyInArrow(_merger(keys, tuples), schema)
-    return current.groupBy(*keys).applyInArrow(_merger(keys, tuples), schema)
+def merge_summaries(summaries: DataFrame, keys: Sequence[str], part: Column, parts: int, tuples: int = TUPLES) -> DataFrame:
+    """One summary for each value of `keys`, FAN_IN at a time, so that no task holds more, however many there are.
+
+    part: a number from 0 to parts - 1 that no two summaries of the same keys share; FAN_IN neighbours are merged at a time.
+    """
+    numbered = [*keys, "part"]
+    schema = ", ".join(_KINDS[k] for k in numbered) + f", {SUMMARY}"
+    current, first = summaries.withColumn("part", part.cast("bigint")), True
+    while parts > 1 or first:
+        parts, first = -(-parts // FAN_IN), False
+        current = current.withColumn("part", F.expr(f"part div {FAN_IN}")).groupBy(*numbered).applyInArrow(_merger(numbered, tuples), schema)
+    return current.drop("part")
+
+
+def merge_days(daily: DataFrame, keys: Sequence[str], tuples: int = TUPLES) -> DataFrame:
+    """The days' summaries combined to one for each value of `keys`, FAN_IN days in a row at a time; a null day is one of its own.
+
+    The summaries are read twice, for the first and the last day too, so they should be written down before.
+    """
+    first, last = daily.agg(F.min("day"), F.max("day")).first()
+    if first is None:
+        first = last = 0
+    return merge_summaries(daily, keys, F.coalesce(F.col("day") - first, F.lit(last - first + 1)), last - first + 2, tuples)
 
 
 def _value_at(rank: Column) -> Column:
@@ -167,9 +206,12 @@ def _value_at(rank: Column) -> Column:
     return F.element_at("values", F.least(F.size("values"), before + 1))
 
 
-def answers(summaries: DataFrame, keys: Sequence[str], percentiles: dict[str, int]) -> DataFrame:
-    """keys, n, smallest, largest, each percentile, rank_error (ranks) and error_share (of n), from summaries."""
+def answers(summaries: DataFrame, keys: Sequence[str], percentiles: dict[str, int], tuples: int = TUPLES) -> DataFrame:
+    """keys, n, smallest, largest, each percentile, rank_error (ranks), error_share (of n) and stated_error, from summaries.
+
+    rank_error is what the summary leaves open, stated_error what its rounds of compression allow.
+    """
     picked = [_value_at(F.expr(f"greatest(1, (n * {p} + 999) div 1000)")).alias(name) for name, p in percentiles.items()]
     gaps = F.transform("least", lambda v, i: v - 1 - F.when(i == 0, F.lit(0).cast("bigint")).otherwise(F.get("greatest", i - 1)))
     error = F.greatest(F.array_max(gaps), F.lit(0)).alias("rank_error")
-    return summaries.select(*keys, "n", F.element_at("values", 1).alias("smallest"), F.element_at("values", -1).alias("largest"), *picked, error).withColumn("error_share", F.col("rank_error") / F.col("n"))
+    return summaries.select(*keys, "n", F.element_at("values", 1).alias("smallest"), F.element_at("values", -1).alias("largest"), *picked, error, F.expr(f"(rounds * n + {max(1, tuples - 2) - 1}) div {max(1, tuples - 2)}").alias("stated_error")).withColumn("error_share", F.col("rank_error") / F.col("n"))

@@ -4,15 +4,16 @@ from __future__ import annotations
 
 import os
 import uuid
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.functions.spelling import digest_bytes, digest_hex, digest_sql, encoding_key, encoding_sql
+from marlstone.functions.spelling import SPACE_RE2, digest_bytes, digest_hex, digest_sql, encoding_key, encoding_sql
 from marlstone.llm.frequent import frequent_values
 from marlstone.llm.leaks import leaks
 from marlstone.llm.packing import fill, pack, token_lengths
-from marlstone.llm.quantiles import answers, merge_summaries, rank_summaries
+from marlstone.llm.quantiles import TUPLES, answers, merge_days, rank_summaries
 from marlstone.llm.seen import Layout, derived_wrong, measured_wrong, seen_before, seen_seqs
 from marlstone.llm.seen import answers as answers_of
 from marlstone.llm.structure import COMMON, statistics, structure
@@ -26,6 +27,8 @@ TOP = 100
 MEASURED_WIDTHS = (1, 2, 4)
 PERCENTILES = {"p01": 10, "p05": 50, "p25": 250, "p50": 500, "p75": 750, "p95": 950, "p99": 990}
 DAY = 86_400
+#: Tuples of the summaries whose answers are held against exact ranks.
+CHECKED_TUPLES = 40
 #: The public vocabulary that measures texts; executors read it from the same place.
 VOCABULARY = os.environ.get("MARLSTONE_VOCABULARY", "/opt/tokenizers/byte_bpe_50k.tiktoken")
 #: A text with a smaller share of prose is none.
@@ -74,10 +77,12 @@ def p2_error_check(spark: SparkSession, folder: str) -> DataFrame:
     return p2_error_rate(spark, folder).select("remainder_bits", "n_answers", (F.col("n_seen") - F.col("n_wrong")).alias("n_truly_seen"), near.alias("as_derived"))
 
 
-def _summaries(spark: SparkSession, folder: str) -> DataFrame:
-    day = F.expr(f"(created_at - pmod(created_at, {DAY})) div {DAY}")
-    metrics = {m: F.col(m) for m in ("content_len", "stored_len")}
-    return rank_summaries(table(spark, folder, "artifact_metadata"), encoding_key(F.col("encoding")), day, metrics)
+_DAY_OF = f"(created_at - pmod(created_at, {DAY})) div {DAY}"
+_METRICS = ("content_len", "stored_len")
+
+
+def _summaries(spark: SparkSession, folder: str, tuples: int = TUPLES) -> DataFrame:
+    return rank_summaries(table(spark, folder, "artifact_metadata"), encoding_key(F.col("encoding")), F.expr(_DAY_OF), {m: F.col(m) for m in _METRICS}, tuples)
 
 
 def p3_day_percentiles(spark: SparkSession, folder: str) -> DataFrame:
@@ -87,8 +92,35 @@ def p3_day_percentiles(spark: SparkSession, folder: str) -> DataFrame:
 def p3_percentiles(spark: SparkSession, folder: str) -> DataFrame:
     """The days' summaries combined to one for each encoding."""
     daily = cut_lineage(_summaries(spark, folder))
-    days = daily.select("day").distinct().count()
-    return answers(merge_summaries(daily, ("label", "metric"), parts=days), ("label", "metric"), PERCENTILES).withColumnRenamed("label", "encoding")
+    return answers(merge_days(daily, ("label", "metric")), ("label", "metric"), PERCENTILES).withColumnRenamed("label", "encoding")
+
+
+def _within(spark: SparkSession, folder: str, found: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """keys, n and within: whether the true rank of each percentile is off by no more than rank_error, and that by no more than stated."""
+    value = F.explode(F.array(*(F.struct(F.lit(m).alias("metric"), F.col(m).alias("value")) for m in _METRICS)))
+    rows = table(spark, folder, "artifact_metadata").select(encoding_key(F.col("encoding")).alias("label"), F.expr(_DAY_OF).alias("day"), value.alias("_m")).select("label", "day", "_m.*").filter("value >= 0")
+    weighted = rows.groupBy(*(F.col(k).alias(f"_{k}") for k in keys), "value").agg(F.count(F.lit(1)).alias("weight"))
+    same = reduce(Column.__and__, (F.col(f"_{k}").eqNullSafe(F.col(k)) for k in keys))
+    joined = weighted.join(found, same)
+    sums = [F.sum(F.when(F.col("value") < F.col(p), F.col("weight")).otherwise(0)).alias(f"_below_{p}") for p in PERCENTILES]
+    sums += [F.sum(F.when(F.col("value") <= F.col(p), F.col("weight")).otherwise(0)).alias(f"_upto_{p}") for p in PERCENTILES]
+    ranked = joined.groupBy(*keys, "n", "rank_error", "stated_error").agg(*sums)
+    near = [F.expr(f"greatest(_below_{p} + 1 - greatest(1, (n * {m} + 999) div 1000), greatest(1, (n * {m} + 999) div 1000) - _upto_{p}) <= rank_error") for p, m in PERCENTILES.items()]
+    good = reduce(Column.__and__, near) & (F.col("rank_error") <= F.col("stated_error"))
+    return ranked.select(*keys, "n", good.alias("within")).withColumnRenamed("label", "encoding")
+
+
+def p3_day_rank_check(spark: SparkSession, folder: str) -> DataFrame:
+    """Exact ranks of the answers of every encoding and day, from summaries so short that all are compressed."""
+    keys = ("label", "day", "metric")
+    return _within(spark, folder, answers(_summaries(spark, folder, CHECKED_TUPLES), keys, PERCENTILES, CHECKED_TUPLES), keys)
+
+
+def p3_rank_check(spark: SparkSession, folder: str) -> DataFrame:
+    """The same for encodings, whose summaries are merged from those of the days."""
+    keys = ("label", "metric")
+    daily = cut_lineage(_summaries(spark, folder, CHECKED_TUPLES))
+    return _within(spark, folder, answers(merge_days(daily, keys, CHECKED_TUPLES), keys, PERCENTILES, CHECKED_TUPLES), keys)
 
 
 def p3_day_extremes(spark: SparkSession, folder: str) -> DataFrame:
@@ -117,6 +149,26 @@ def p6_fill(spark: SparkSession, folder: str) -> DataFrame:
     return filled.withColumn("n_at_least", F.expr("(n_tokens + capacity_tokens - 1) div capacity_tokens"))
 
 
+def p6_check(spark: SparkSession, folder: str) -> DataFrame:
+    """Of each capacity: whether every piece is there once, no container is overfull, no text is cut needlessly, and the
+    containers are within 1 % (and one) of what the tokens need at the very least.
+    """
+    lengths = cut_lineage(token_lengths(_texts(spark, folder), VOCABULARY))
+    specs = table(spark, folder, "container_spec").select("spec_id", "capacity_tokens")
+    packed = cut_lineage(pack(lengths, specs))
+    each = packed.groupBy("spec_id", "capacity_tokens", "doc_id").agg(
+        F.sum("n_tokens").alias("held"), F.count(F.lit(1)).alias("pieces"), F.countDistinct("piece").alias("distinct"), (F.max("piece") + 1).alias("numbered"),
+    )
+    whole = (F.col("held") == F.col("n_tokens")) & (F.col("pieces") == F.col("distinct")) & (F.col("pieces") == F.col("numbered"))
+    uncut = F.col("pieces") == F.expr("(n_tokens + capacity_tokens - 1) div capacity_tokens")
+    documents = each.join(lengths.filter("n_tokens > 0"), "doc_id", "right").groupBy("spec_id", "capacity_tokens")
+    of_documents = documents.agg(F.count(F.lit(1)).alias("n_documents"), F.every(F.coalesce(whole, F.lit(False))).alias("whole"), F.every(F.coalesce(uncut, F.lit(False))).alias("cut_only_beyond"))
+    containers = packed.groupBy("spec_id", "container").agg(F.sum("n_tokens").alias("used"), F.first("capacity_tokens").alias("capacity"))
+    least = F.ceil(F.sum("used") / F.first("capacity"))
+    of_containers = containers.groupBy("spec_id").agg(F.every(F.col("used") <= F.col("capacity")).alias("capacity_kept"), (F.count(F.lit(1)) <= F.ceil(least * 1.01) + 1).alias("near_least"))
+    return of_documents.join(of_containers, "spec_id").select("spec_id", "capacity_tokens", "n_documents", "whole", "cut_only_beyond", "capacity_kept", "near_least")
+
+
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     return leaks(table(spark, folder, "eval_item"), _texts(spark, folder))
 
@@ -149,9 +201,12 @@ def p8_statistics(spark: SparkSession, folder: str) -> DataFrame:
     return texts.select("doc_id", *(c.alias(n) for n, c in statistics(F.col("text")).items())).select("doc_id", *rounded.values())
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_top_outputs, p2_found, p2_error_rate, p2_error_check, p3_percentiles, p3_day_percentiles, p3_day_extremes, p6_packing, p6_fill, p7_found, p7_leaked_items, p8_found, p8_quality, p8_statistics)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_top_outputs, p2_found, p2_error_rate, p2_error_check, p3_percentiles, p3_day_percentiles, p3_day_extremes, p3_rank_check, p3_day_rank_check, p6_packing, p6_fill, p6_check, p7_found, p7_leaked_items, p8_found, p8_quality, p8_statistics)}
 
 _DIGEST = digest_sql("digest")
+_LONG = f"""WITH long AS (
+          SELECT {encoding_sql("encoding")} AS encoding, CAST(floor(created_at / {DAY}.0) AS BIGINT) AS day, 'content_len' AS metric, content_len AS v FROM artifact_metadata
+          UNION ALL SELECT {encoding_sql("encoding")}, CAST(floor(created_at / {DAY}.0) AS BIGINT), 'stored_len', stored_len FROM artifact_metadata)"""
 _JAVA_SPACE = " \\t\\n\\x0b\\f\\r"
 
 SQL = {
@@ -168,10 +223,11 @@ SQL = {
         a AS (SELECT p.pub_seq, bool_or(p.pub_seq > f.s OR k.d IS NOT NULL) AS seen FROM puts p JOIN first f USING (d) LEFT JOIN known k USING (d) GROUP BY 1)
         SELECT CAST(w AS INTEGER) AS remainder_bits, CAST(count(*) AS BIGINT) AS n_answers, CAST(count(*) FILTER (seen) AS BIGINT) AS n_truly_seen, TRUE AS as_derived
         FROM a, (VALUES {", ".join(f"({8 * w})" for w in MEASURED_WIDTHS)}) AS t(w) GROUP BY w""",
-    "p3_day_extremes": f"""WITH long AS (
-          SELECT {encoding_sql("encoding")} AS encoding, CAST(floor(created_at / {DAY}.0) AS BIGINT) AS day, 'content_len' AS metric, content_len AS v FROM artifact_metadata
-          UNION ALL SELECT {encoding_sql("encoding")}, CAST(floor(created_at / {DAY}.0) AS BIGINT), 'stored_len', stored_len FROM artifact_metadata)
-        SELECT encoding, day, metric, CAST(count(*) AS BIGINT) AS n, min(v) AS smallest, max(v) AS largest FROM long WHERE v >= 0 GROUP BY ALL""",
+    "p3_day_rank_check": f"""{_LONG} SELECT encoding, day, metric, CAST(count(*) AS BIGINT) AS n, TRUE AS within FROM long WHERE v >= 0 GROUP BY 1, 2, 3""",
+    "p3_rank_check": f"""{_LONG} SELECT encoding, metric, CAST(count(*) AS BIGINT) AS n, TRUE AS within FROM long WHERE v >= 0 GROUP BY 1, 2""",
+    "p6_check": f"""SELECT spec_id, capacity_tokens, (SELECT CAST(count(*) AS BIGINT) FROM documents WHERE regexp_matches(text, '[^{SPACE_RE2}]')) AS n_documents, TRUE AS whole, TRUE AS cut_only_beyond,
+        TRUE AS capacity_kept, TRUE AS near_least FROM container_spec""",
+    "p3_day_extremes": f"""{_LONG} SELECT encoding, day, metric, CAST(count(*) AS BIGINT) AS n, min(v) AS smallest, max(v) AS largest FROM long WHERE v >= 0 GROUP BY ALL""",
     "p8_statistics": f"""WITH t AS (
           SELECT doc_id, text, regexp_replace(text, '^[{_JAVA_SPACE}]+|[{_JAVA_SPACE}]+$', '', 'g') AS bare FROM documents
         ), w AS (

@@ -5,7 +5,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from marlstone.llm.quantiles import RankSummary, answers, merge_summaries, rank_summaries
+from marlstone.llm.quantiles import RankSummary, answers, merge_days, rank_summaries, rounds_ahead, stated_error
 
 VALUES = st.lists(st.integers(0, 200), min_size=1, max_size=200)
 PERCENTILES = {"p01": 10, "p50": 500, "p99": 990}
@@ -22,7 +22,7 @@ def test_rank_error_is_kept(parts, tuples):
     for permille in (1, 250, 500, 999, 1000):
         rank, found = max(1, (len(values) * permille + 999) // 1000), whole.at([permille])[0]
         low, high = np.searchsorted(values, found, "left") + 1, np.searchsorted(values, found, "right")
-        assert max(0, low - rank, rank - high) <= whole.error
+        assert max(0, low - rank, rank - high) <= whole.error <= stated_error(whole.n, whole.rounds, tuples)
 
 
 def frame(spark, rows):
@@ -48,7 +48,7 @@ def test_exact_while_small_and_days_combine(spark):
         r = found[key]
         assert (r["n"], r["smallest"], r["largest"], r["rank_error"]) == (len(values), min(values), max(values), 0)
         assert all(r[name] == exact(values, p) for name, p in PERCENTILES.items())
-    combined = {r["label"]: r for r in answers(merge_summaries(daily, ("label", "metric"), parts=40), ("label", "metric"), PERCENTILES).collect()}
+    combined = {r["label"]: r for r in answers(merge_days(daily, ("label", "metric")), ("label", "metric"), PERCENTILES).collect()}
     for label in (None, "a", "b"):
         values = [v for (e, _), vs in kept.items() if e == label for v in vs]
         assert combined[label]["n"] == len(values)
@@ -59,9 +59,12 @@ def test_stated_error_holds(spark, monkeypatch):
     monkeypatch.setattr("marlstone.llm.quantiles.BUFFER", 500)
     values = np.random.default_rng(4).lognormal(8, 2, 20_000).astype(int).tolist()
     rows = frame(spark, [("a", 0, v) for v in values]).repartition(40)
-    found = answers(rank_summaries(rows, F.col("e"), F.col("day"), {"m": F.col("v")}, tuples=100), ("label", "day", "metric"), PERCENTILES).first()
+    summaries = rank_summaries(rows, F.col("e"), F.col("day"), {"m": F.col("v")}, tuples=100)
+    found = answers(summaries, ("label", "day", "metric"), PERCENTILES, tuples=100).first()
     values = np.sort(values)
-    assert 0 < found["rank_error"] < 0.1 * len(values)
+    ahead = rounds_ahead(40, 600, buffer=500)
+    assert summaries.first()["rounds"] <= ahead
+    assert 0 < found["rank_error"] <= found["stated_error"] <= stated_error(len(values), ahead, 100) < 0.1 * len(values)
     assert found["error_share"] == found["rank_error"] / len(values)
     for name, p in PERCENTILES.items():
         rank = (len(values) * p + 999) // 1000
@@ -69,6 +72,15 @@ def test_stated_error_holds(spark, monkeypatch):
         assert max(0, low - rank, rank - high) <= found["rank_error"]
 
 
+def test_equal_partitions_and_far_days_are_merged_few_at_a_time(spark, monkeypatch):
+    monkeypatch.setattr("marlstone.llm.quantiles.FAN_IN", 2)
+    rows = [("a", day, v) for day in (-5, 0, 3, 4_000, None) for v in range(50)]
+    daily = rank_summaries(frame(spark, rows).repartition(9), F.col("e"), F.col("day"), {"m": F.col("v")}, tuples=20)
+    whole = answers(merge_days(daily, ("label", "metric"), tuples=20), ("label", "metric"), PERCENTILES, tuples=20).first()
+    assert (whole["n"], whole["smallest"], whole["largest"]) == (250, 0, 49)
+    assert abs(whole["p50"] - 24) * 5 <= whole["rank_error"] + 5 <= whole["stated_error"] + 5
+
+
 def test_nothing(spark):
     for rows in ([], [("a", 1, None), ("a", 1, -5)]):
         assert rank_summaries(frame(spark, rows), F.col("e"), F.col("day"), {"m": F.col("v")}).count() == 0
