@@ -1,17 +1,19 @@
 """Passages of held-out test items inside a training corpus.
 
-The items form a BM25 index over word trigrams, its postings cut into blocks of items with the greatest impact of each
-term in each block. Every passage of every document is a query. Block maxima bound what a passage can score in a block;
-only blocks that reach their threshold are scored in full, and every item that reaches its own threshold is retrieved.
-An item's thresholds are the least that any of its leaks can score, so retrieval loses none. What is retrieved is verified
-word by word, exactly: a stretch of the item within its edit distance must be there.
+The items form a BM25 index over runs of five words: posting lists in the order of the items, in blocks with the greatest
+impact of each. Every passage of every document is a query, answered by block-max WAND: lists advance item by item; the
+lists' greatest impacts find the next item that can reach its threshold at all, the blocks' greatest impacts skip what
+can't, and only what is left is scored in full. Impacts are given as shares of the item's own threshold, the least that any
+of its leaks can score, so retrieval loses none. What is retrieved is verified word by word, exactly: a stretch of the item
+within its edit distance must be in that passage.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections import defaultdict
-from collections.abc import Iterator
-from dataclasses import dataclass, field
+from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -19,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marlstone.llm.words import words
+from marlstone.session import cut_lineage
 
 #: Consecutive words of the item that a leak has at least, and of how many words one may be edited.
 STRETCH, ONE_EDIT_IN = 25, 8
@@ -27,183 +30,270 @@ STRETCH, ONE_EDIT_IN = 25, 8
 LONGEST = 2 * STRETCH - 1
 #: Words in a row that a leak has unedited at the least: its edits can't part the other words into shorter runs.
 ANCHOR = min(-(-(n - n // ONE_EDIT_IN) // (n // ONE_EDIT_IN + 1)) for n in range(STRETCH, LONGEST + 1))
-#: Words of a passage, and from one passage's start to the next: any STEP words lie within one passage. A wide passage
-#: has STEP more, and any leak of at most LONGEST words lies within one.
-PASSAGE, STEP = 64, 32
-GRAM = 3
+#: Words of a passage, and from one passage's start to the next: any leak of LONGEST words and its added words lies in one.
+PASSAGE, STEP = 112, 56
+assert PASSAGE - STEP + 1 >= LONGEST + LONGEST // ONE_EDIT_IN
+#: Words of a term. Single words can't tell texts of one subject apart; a leak keeps an unedited run of ANCHOR words.
+GRAM = 5
+assert GRAM <= ANCHOR
 #: BM25 parameters.
 K1, B = 1.2, 0.75
-#: Items in a block of the index, and in the index of one pass over the corpus, which bounds what is broadcast.
-BLOCK, PASS_ITEMS = 8, 512
-#: Documents that a task compares at a time.
-BATCH = 1_000
+#: Postings in a block.
+BLOCK = 64
+#: A score that reaches the threshold; a little less than 1, for sums in single precision.
+REACHED = 1 - 1e-4
+#: Characters of items that one index holds, about 6 bytes of memory each; so much is broadcast at most.
+INDEX_CHARS = 64_000_000
+#: Characters of documents that a task compares at a time, and of the items whose thresholds are worked out at a time.
+BATCH_CHARS = 2_000_000
 
 
 @dataclass
 class ItemIndex:
-    """vocabulary: word -> 1, 2, ...; terms: sorted trigram codes; postings as (term, item, impact); sequences: words by item."""
+    """vocabulary: word -> 1, 2, ...; terms: sorted codes of GRAM words; sequences: word numbers of the items one after another.
+
+    The postings of term t are item[start[t] : start[t + 1]] and gain[...], its greatest gain upper[t]; its blocks are
+    last[block[t] : block[t + 1]], the last item of each, and most[...], the greatest gain of each.
+    """
 
     item_ids: list[int]
-    sequences: list[np.ndarray]
+    sequences: np.ndarray
+    bounds: np.ndarray
     vocabulary: dict[str, int]
     terms: np.ndarray
-    term_of: np.ndarray
-    item_of: np.ndarray
-    impact: np.ndarray
-    #: The least score of a leak of fewer words than bear another edit, in a passage, and of a longer one, in a wide passage.
-    thresholds: np.ndarray
-    wide_thresholds: np.ndarray
-    #: Built where it is used: greatest impact by (term, block), and the block's impacts by row.
-    ceilings: np.ndarray | None = field(default=None, repr=False)
-    row_of: np.ndarray | None = field(default=None, repr=False)
-    rows: np.ndarray | None = field(default=None, repr=False)
+    start: np.ndarray
+    item: np.ndarray
+    gain: np.ndarray
+    upper: np.ndarray
+    block: np.ndarray
+    last: np.ndarray
+    most: np.ndarray
 
     @classmethod
-    def build(cls, items: list[tuple[int, str]]) -> ItemIndex:
+    def build(cls, items: Sequence[tuple[int, str]]) -> ItemIndex:
         vocabulary: dict[str, int] = {}
         ids, sequences = [], []
         for item_id, text in items:
             found = words(text)
             if len(found) >= STRETCH:  # a shorter item can't have a leak
                 ids.append(item_id)
-                sequences.append(np.array([vocabulary.setdefault(w, len(vocabulary) + 1) for w in found], np.int64))
-        base = len(vocabulary) + 1
-        grams = [codes(s, base) for s in sequences]
-        terms, frequency = np.unique(np.concatenate([np.unique(g) for g in grams]) if grams else np.empty(0, np.int64), return_counts=True)
+                sequences.append(np.array([vocabulary.setdefault(w, len(vocabulary) + 1) for w in found], np.int32))
+        grams = [codes(s) for s in sequences]
+        lengths = np.array([len(g) for g in grams], np.int64)
+        every = np.concatenate(grams) if grams else np.empty(0, np.uint64)
+        terms, term = np.unique(every, return_inverse=True)
+        owner = np.repeat(np.arange(len(ids)), lengths)
+        # (term, item) pairs with their frequency, by term and then item
+        pairs, pair_of, tf = np.unique(term * max(1, len(ids)) + owner, return_inverse=True, return_counts=True)
+        term_of, item_of = pairs // max(1, len(ids)), pairs % max(1, len(ids))
+        frequency = np.bincount(term_of, minlength=len(terms))
         idf = np.log1p((len(ids) - frequency + 0.5) / (frequency + 0.5))
-        mean = np.mean([len(g) for g in grams]) if grams else 1.0
-        term_of, item_of, impact, thresholds, wide = [], [], [], [], []
-        for i, g in enumerate(grams):
-            at, inverse, tf = np.unique(np.searchsorted(terms, g), return_inverse=True, return_counts=True)
-            gain = idf[at] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(g) / mean))
-            term_of.append(at)
-            item_of.append(np.full(len(at), i))
-            impact.append(gain)
-            thresholds.append(least_score(gain[inverse]))
-            # With each further edit a leak may be longer; the shortest with as many edits scores least.
-            longer = range((STRETCH // ONE_EDIT_IN + 1) * ONE_EDIT_IN, min(LONGEST, len(sequences[i])) + 1, ONE_EDIT_IN)
-            wide.append(min((least_score(gain[inverse], n) for n in longer), default=np.inf))
-        join = lambda parts, kind: np.concatenate(parts).astype(kind) if parts else np.empty(0, kind)
-        return cls(ids, sequences, vocabulary, terms, join(term_of, np.int32), join(item_of, np.int32), join(impact, np.float32), np.array(thresholds, np.float32), np.array(wide, np.float32))
-
-    def ready(self) -> ItemIndex:
-        if self.ceilings is None:
-            blocks = -(-len(self.item_ids) // BLOCK)
-            self.ceilings = np.zeros((len(self.terms) + 1, blocks), np.float32)
-            block = self.item_of // BLOCK
-            np.maximum.at(self.ceilings, (self.term_of, block), self.impact)
-            cell = self.term_of.astype(np.int64) * blocks + block
-            cells, where = np.unique(cell, return_inverse=True)
-            self.rows = np.zeros((len(cells) + 1, BLOCK), np.float32)
-            self.rows[where + 1, self.item_of % BLOCK] = self.impact
-            self.row_of = np.zeros((len(self.terms) + 1, blocks), np.int32)
-            self.row_of[cells // blocks, cells % blocks] = np.arange(1, len(cells) + 1)
-        return self
-
-
-def codes(sequence: np.ndarray, base: int) -> np.ndarray:
-    """Trigram codes of word numbers; -1 where a word is unknown (number 0)."""
-    if len(sequence) < GRAM:
-        return np.empty(0, np.int64)
-    a, b, c = sequence[:-2], sequence[1:-1], sequence[2:]
-    return np.where((a > 0) & (b > 0) & (c > 0), (a * base + b) * base + c, -1)
+        mean = lengths.mean() if len(ids) else 1.0
+        gain = idf[term_of] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[item_of] / mean))
+        ends = np.cumsum(lengths)
+        impacts = np.split(gain[pair_of], ends[:-1]) if len(ids) else []
+        gain = (gain / thresholds(impacts)[item_of]).astype(np.float32) if len(ids) else gain.astype(np.float32)
+        start = np.concatenate([[0], np.cumsum(frequency)]).astype(np.int64)
+        upper = np.maximum.reduceat(gain, start[:-1]) if len(terms) else np.empty(0, np.float32)
+        blocks = -(-frequency // BLOCK)
+        block = np.concatenate([[0], np.cumsum(blocks)]).astype(np.int64)
+        begin = np.repeat(start[:-1], blocks) + (np.arange(block[-1]) - np.repeat(block[:-1], blocks)) * BLOCK
+        end = np.minimum(begin + BLOCK, np.repeat(start[1:], blocks))
+        most = np.maximum.reduceat(gain, begin) if len(begin) else np.empty(0, np.float32)
+        bounds = np.concatenate([[0], np.cumsum([len(s) for s in sequences])]).astype(np.int64)
+        sequence = np.concatenate(sequences) if sequences else np.empty(0, np.int32)
+        last = item_of[end - 1].astype(np.int32) if len(end) else np.empty(0, np.int32)
+        return cls(ids, sequence, bounds, vocabulary, terms, start, item_of.astype(np.int32), gain, upper, block, last, most)
+
+    def sequence(self, i: int) -> np.ndarray:
+        return self.sequences[self.bounds[i] : self.bounds[i + 1]].astype(np.int64)
+
+    def numbers(self, found: list[str]) -> np.ndarray:
+        """Word numbers; 0 for a word that no item has."""
+        number = self.vocabulary.get
+        return np.fromiter((number(w, 0) for w in found), np.int64, len(found))
+
+    def term_numbers(self, sequence: np.ndarray) -> np.ndarray:
+        """The term at each place; len(terms) where there is none."""
+        code = codes(sequence)
+        at = np.minimum(np.searchsorted(self.terms, code), len(self.terms) - 1)
+        return np.where(self.terms[at] == code, at, len(self.terms))
+
+
+def codes(sequence: np.ndarray) -> np.ndarray:
+    """Codes of GRAM words in a row, from their numbers; 0 where a word is unknown (number 0).
+
+    Equal words give equal codes. Should different ones ever do so, a passage scores more, and is verified.
+    """
+    n = len(sequence) - GRAM + 1
+    if n < 1:
+        return np.empty(0, np.uint64)
+    known = np.ones(n, bool)
+    code = np.zeros(n, np.uint64)
+    with np.errstate(over="ignore"):
+        for i in range(GRAM):
+            word = sequence[i : n + i].astype(np.uint64)
+            known &= word > 0
+            code = (code + word) * np.uint64(0x9E3779B97F4A7C15)
+            code ^= code >> np.uint64(32)
+    return np.where(known, code | np.uint64(1), np.uint64(0))
+
+
+def _least_scores(impacts: list[np.ndarray], stretch: int) -> np.ndarray:
+    """Of each item the least score of a leak of `stretch` words: each edit spoils GRAM terms in a row, the dearest ones."""
+    width, edits = stretch - GRAM + 1, stretch // ONE_EDIT_IN
+    windows = [np.lib.stride_tricks.sliding_window_view(g, min(width, len(g))) for g in impacts]
+    columns = np.zeros((width, sum(len(w) for w in windows)))  # a window a column, shorter ones padded
+    first = np.concatenate([[0], np.cumsum([len(w) for w in windows])[:-1]]).astype(np.int64)
+    for at, w in zip(first, windows, strict=True):
+        columns[: w.shape[1], at : at + len(w)] = w.T
+    sums = np.concatenate([np.zeros((1, columns.shape[1])), np.cumsum(columns, axis=0)])
+    spoilt = np.zeros((width + 1, columns.shape[1]))
+    for _ in range(edits):
+        more = np.zeros_like(spoilt)
+        for i in range(1, width + 1):
+            j = max(0, i - GRAM)
+            more[i] = np.maximum(more[i - 1], spoilt[j] + sums[i] - sums[j])
+        spoilt = more
+    return np.minimum.reduceat(sums[-1] - spoilt[-1], first)
 
 
 def least_score(impacts: np.ndarray, stretch: int = STRETCH) -> float:
-    """The least score of a leak of `stretch` words: each edit spoils GRAM trigrams in a row, the dearest ones."""
-    width, edits = stretch - GRAM + 1, stretch // ONE_EDIT_IN
-    windows = np.lib.stride_tricks.sliding_window_view(impacts, min(width, len(impacts)))
-    spoilt = np.zeros((edits + 1, windows.shape[1] + 1, windows.shape[0]))
-    for k in range(1, edits + 1):
-        for i in range(1, windows.shape[1] + 1):
-            cut = windows[:, max(0, i - GRAM) : i].sum(1)
-            spoilt[k, i] = np.maximum(spoilt[k, i - 1], spoilt[k - 1, max(0, i - GRAM)] + cut)
-    # A little less, for sums in single precision.
-    return float((windows.sum(1) - spoilt[edits, -1]).min()) * 0.999 - 0.01
-
-
-def retrieve(index: ItemIndex, documents: list[np.ndarray]) -> tuple[list[np.ndarray], set[tuple[int, int]]]:
-    """Each document's term numbers, and (document, item) of every passage that reaches one of the item's thresholds."""
-    index.ready()
+    return float(_least_scores([impacts], stretch)[0])
+
+
+def thresholds(impacts: list[np.ndarray]) -> np.ndarray:
+    """The least that a leak of any allowed length scores. With each further edit a leak may be longer; of the lengths that
+    bear as many edits the shortest scores least.
+    """
+    out = np.full(len(impacts), np.inf)
+    lengths = [STRETCH, *range((STRETCH // ONE_EDIT_IN + 1) * ONE_EDIT_IN, LONGEST + 1, ONE_EDIT_IN)]
+    sizes = np.cumsum([len(g) for g in impacts])
+    for some in np.split(np.arange(len(impacts)), np.searchsorted(sizes, np.arange(100_000, sizes[-1] if len(sizes) else 0, 100_000))):
+        for stretch in lengths:
+            long = [i for i in some if len(impacts[i]) >= stretch - GRAM + 1]
+            if long:
+                out[long] = np.minimum(out[long], _least_scores([impacts[i] for i in long], stretch))
+    return out
+
+
+def wand(index: ItemIndex, terms: list[int], times: list[int]) -> list[int]:
+    """The items whose score reaches their threshold, for a query of distinct terms and how often each occurs."""
+    start, item, gain, block, last, most = index.start, index.item, index.gain, index.block, index.last, index.most
+    upper = [float(index.upper[t]) * n for t, n in zip(terms, times, strict=True)]
+    cursors = sorted((int(item[start[t]]), int(start[t]), k) for k, t in enumerate(terms))
+    found = []
+
+    def advance(some: list[tuple[int, int, int]], target: int) -> list[tuple[int, int, int]]:
+        """The cursors moved to the first item from `target` on; those without one are dropped."""
+        out = []
+        for at, place, k in some:
+            if at < target:
+                end = int(start[terms[k] + 1])
+                place = bisect_left(item, target, place + 1, end)
+                if place == end:
+                    continue
+                at = int(item[place])
+            out.append((at, place, k))
+        return out
+
+    while True:
+        reach = 0.0
+        for pivot, (at, _, k) in enumerate(cursors):  # noqa: B007
+            reach += upper[k]
+            if reach >= REACHED:
+                break
+        else:
+            return found  # no further item can reach it
+        wanted = cursors[pivot][0]
+        while pivot + 1 < len(cursors) and cursors[pivot + 1][0] == wanted:
+            pivot += 1
+        upto, rest = cursors[: pivot + 1], cursors[pivot + 1 :]
+        bound, beyond = 0.0, rest[0][0] if rest else len(index.item_ids)
+        for _, _, k in upto:
+            t = terms[k]
+            b = bisect_left(last, wanted, int(block[t]), int(block[t + 1]))
+            if b < block[t + 1]:
+                bound += float(most[b]) * times[k]
+                beyond = min(beyond, int(last[b]) + 1)
+        if bound < REACHED:  # no item before `beyond` can reach it either
+            moved = advance(upto, max(beyond, wanted + 1))
+        elif upto[0][0] == wanted:
+            if sum(float(gain[place]) * times[k] for _, place, k in upto) >= REACHED:
+                found.append(wanted)
+            moved = advance(upto, wanted + 1)
+        else:
+            moved = advance(upto, wanted)
+        cursors = sorted(moved + rest)
+
+
+def retrieve(index: ItemIndex, documents: list[np.ndarray]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(document, item, words, terms) of every passage that reaches the item's threshold."""
+    if not len(index.terms):
+        return
     none = len(index.terms)
-    base = len(index.vocabulary) + 1
-    found: list[np.ndarray] = []
-    for d in documents:
-        code = codes(d, base)
-        at = np.minimum(np.searchsorted(index.terms, code), none - 1)
-        found.append(np.where(index.terms[at] == code, at, none))
-    lengths = np.array([len(f) for f in found])
-    keep = np.flatnonzero(lengths)
-    if not len(keep):
-        return found, set()
-    # Half passages of STEP positions, each within one document; a passage is two in a row, a wide one three.
-    halves = -(-lengths[keep] // STEP)
-    padded = np.full(int(halves.sum()) * STEP, none, np.int64)
-    start = np.concatenate([[0], np.cumsum(halves)[:-1]])
-    for s, k in zip(start, keep, strict=True):
-        padded[s * STEP : s * STEP + lengths[k]] = found[k]
-    owner = np.repeat(keep, halves)
-    grid = padded.reshape(-1, STEP)
-    known = grid != none
-    sums = np.zeros((len(grid), index.ceilings.shape[1]), np.float32)
-    full = np.flatnonzero(known.any(1))
-    hits = known[full].sum(1)
-    if len(full):
-        sums[full] = np.add.reduceat(index.ceilings[grid[full][known[full]]], np.concatenate([[0], np.cumsum(hits)[:-1]]), axis=0)
-    follows = [np.append(owner[k:] == owner[:-k], np.zeros(k, bool))[-len(grid) :] for k in (1, 2)]
-    bound = sums.copy()
-    bound[:-1][follows[0][:-1]] += sums[1:][follows[0][:-1]]
-    wide_bound = bound.copy()
-    wide_bound[:-2][follows[1][:-2]] += sums[2:][follows[1][:-2]]
-    limits, wide_limits = (np.full((bound.shape[1], BLOCK), np.inf, np.float32) for _ in range(2))
-    limits.reshape(-1)[: len(index.thresholds)] = index.thresholds
-    wide_limits.reshape(-1)[: len(index.wide_thresholds)] = index.wide_thresholds
-    pairs: set[tuple[int, int]] = set()
-    passage, block = np.nonzero((bound >= limits.min(1)) | (wide_bound >= wide_limits.min(1)))
-    for at in range(0, len(passage), 4_000):
-        p, b = passage[at : at + 4_000], block[at : at + 4_000]
-        parts = [grid[p], *(np.where(f[p][:, None], grid[np.minimum(p + k, len(grid) - 1)], none) for k, f in enumerate(follows, 1))]
-        first, second, third = (index.rows[index.row_of[terms, b[:, None]]].sum(1) for terms in parts)
-        scores = first + second
-        row, item = np.nonzero((scores >= limits[b]) | (scores + third >= wide_limits[b]))
-        pairs.update(zip(owner[p[row]].tolist(), (b[row] * BLOCK + item).tolist(), strict=True))
-    return found, pairs
+    width = PASSAGE - GRAM + 1
+    # All documents in one row, so far apart that no passage touches two.
+    gap = np.zeros(PASSAGE, np.int64)
+    row = np.concatenate([gap, *(x for d in documents for x in (d, gap))])
+    begins = PASSAGE + np.concatenate([[0], np.cumsum([len(d) + PASSAGE for d in documents])[:-1]])
+    terms = index.term_numbers(row)
+    reach = np.concatenate([[0.0], np.cumsum(np.append(index.upper, 0)[terms].astype(np.float64))])
+    starts = np.arange(0, len(terms) - width + 1, STEP)
+    # The first step of WAND for all passages at once: where all lists together don't reach it, there is no pivot.
+    for s in starts[reach[starts + width] - reach[starts] >= REACHED - 1e-6].tolist():
+        passage = terms[s : s + width]
+        known = np.flatnonzero(passage != none)
+        asked, times = np.unique(passage[known], return_counts=True)
+        items = wand(index, asked.tolist(), times.tolist())
+        if items:
+            owner = int(np.searchsorted(begins, s + known[0], side="right")) - 1
+            for i in items:
+                yield owner, i, row[s : s + PASSAGE], passage
 
 
 def _tails(a: list[int], b: list[int], most: int) -> list[int]:
     """For 0, 1, ... words of a, the fewest edits against any beginning of b, while they are at most `most`."""
-    above, out = list(range(min(most, len(b)) + 1)), [0]  # above[j]: edits against j words of b
+    above, out, ends = list(range(min(most, len(b)) + 1)), [0], len(b)  # above[j]: edits against j words of b
     for i, x in enumerate(a, 1):
-        row = [most + 1] * (min(i + most, len(b)) + 1)
+        size, held = min(i + most, ends) + 1, len(above)
+        row = [most + 1] * size
         if i <= most:
             row[0] = i
-        for j in range(max(1, i - most), len(row)):  # farther from the diagonal there are more edits
-            if x == b[j - 1]:
-                row[j] = above[j - 1]
-            else:
-                row[j] = 1 + min(above[j - 1], row[j - 1], above[j] if j < len(above) else most)
-        if (least := min(row)) > most:
+        least = row[0]
+        for j in range(max(1, i - most), size):  # farther from the diagonal there are more edits
+            edits = above[j - 1]
+            if x != b[j - 1]:
+                if row[j - 1] < edits:
+                    edits = row[j - 1]
+                if j < held and above[j] < edits:
+                    edits = above[j]
+                edits += 1
+            row[j] = edits
+            if edits < least:
+                least = edits
+        if least > most:
             break
         out.append(least)
         above = row
     return out
 
 
-def _runs(item: np.ndarray, document: np.ndarray, terms: np.ndarray, wanted: dict[int, list[int]]) -> list[tuple[int, int, int]]:
-    """Longest common runs of at least GRAM words: (start in document, start in item, words), by place in the document."""
+def _runs(places: dict[int, list[int]], terms: np.ndarray) -> list[tuple[int, int, int]]:
+    """Longest common runs of at least GRAM words: (start in passage, start in item, words); places: of each term in the item."""
     diagonals: dict[int, list[int]] = defaultdict(list)
-    for p in np.flatnonzero(np.isin(terms, np.fromiter(wanted, np.int64, len(wanted)))).tolist():
-        for i in wanted[terms[p]]:
+    for p, t in enumerate(terms.tolist()):
+        for i in places.get(t, ()):
             diagonals[p - i].append(p)
     runs = []
-    for shift, places in diagonals.items():
-        begin = last = places[0]
-        for p in [*places[1:], None]:
+    for shift, found in diagonals.items():
+        begin = last = found[0]
+        for p in [*found[1:], None]:
             if p is None or p != last + 1:
                 runs.append((begin, begin - shift, last - begin + GRAM))
                 begin = p
             last = p
-    return sorted(runs)
+    return runs
 
 
 def has_stretch(item: np.ndarray, document: np.ndarray, runs: list[tuple[int, int, int]]) -> bool:
@@ -220,6 +310,8 @@ def has_stretch(item: np.ndarray, document: np.ndarray, runs: list[tuple[int, in
             continue
         if n >= STRETCH:
             return True
+        if min(i, p + edits) + n + min(len(item) - i - n, len(document) - p - n + edits) < STRETCH:
+            continue
         right = _tails(item[i + n : i + n + beyond].tolist(), document[p + n : p + n + beyond + edits].tolist(), edits)
         left = _tails(item[max(0, i - beyond) : i][::-1].tolist(), document[max(0, p - beyond - edits) : p][::-1].tolist(), edits)
         for x, ex in enumerate(left):
@@ -229,63 +321,80 @@ def has_stretch(item: np.ndarray, document: np.ndarray, runs: list[tuple[int, in
     return False
 
 
-def leaks_of(index: ItemIndex, texts: list[str | None]) -> list[tuple[int, int]]:
-    """(place of the text, item id) of every leak."""
-    if not index.item_ids:
-        return []
-    number = index.vocabulary.get
-    documents = []
-    for text in texts:
-        found = words(text)
-        documents.append(np.fromiter((number(w, 0) for w in found), np.int64, len(found)))
-    terms, pairs = retrieve(index, documents)
-    base = len(index.vocabulary) + 1
-    places: dict[int, dict[int, list[int]]] = {}
-    out = []
-    for d, i in sorted(pairs, key=lambda x: (x[1], x[0])):
-        item = index.sequences[i]
-        if i not in places:
-            wanted: dict[int, list[int]] = defaultdict(list)
-            for at, t in enumerate(np.searchsorted(index.terms, codes(item, base)).tolist()):
-                wanted[t].append(at)
-            places[i] = dict(wanted)
-        if has_stretch(item, documents[d], _runs(item, documents[d], terms[d], places[i])):
-            out.append((d, index.item_ids[i]))
-    return out
-
-
-def leaks(items: DataFrame, documents: DataFrame, item_id: str = "item_id", item_text: str = "text", doc_id: str = "doc_id", doc_text: str = "text", pass_items: int = PASS_ITEMS) -> DataFrame:
+def leaks_of(index: ItemIndex, documents: Sequence[list[str]]) -> list[tuple[int, int]]:
+    """(place of the document, item id) of every leak, each once; documents as lists of words."""
+    held: dict[int, tuple[np.ndarray, dict[int, list[int]]]] = {}
+    hits: set[tuple[int, int]] = set()
+    for d, i, passage, terms in retrieve(index, [index.numbers(found) for found in documents]):
+        if (d, i) in hits:
+            continue
+        if i not in held:
+            sequence = index.sequence(i)
+            places: dict[int, list[int]] = defaultdict(list)
+            for at, t in enumerate(index.term_numbers(sequence).tolist()):
+                places[t].append(at)
+            held[i] = sequence, dict(places)
+        sequence, places = held[i]
+        if has_stretch(sequence, passage, _runs(places, terms)):
+            hits.add((d, i))
+    return sorted((d, index.item_ids[i]) for d, i in hits)
+
+
+def _normalised(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield pa.record_batch([batch.column(0), pa.array([" ".join(words(t)) for t in batch.column(1).to_pylist()], pa.string())], names=["doc_id", "text"])
+
+
+def _batches(rows: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[int], list[str]]]:
+    """Ids and texts of about BATCH_CHARS characters at a time, so that a task's memory doesn't grow with the texts' number."""
+    for batch in rows:
+        ids, texts, chars = [], [], 0
+        for at in range(batch.num_rows):
+            ids.append(batch.column(0)[at].as_py())
+            texts.append(batch.column(1)[at].as_py())
+            chars += len(texts[-1])
+            if chars >= BATCH_CHARS:
+                yield ids, texts
+                ids, texts, chars = [], [], 0
+        if ids:
+            yield ids, texts
+
+
+def leaks(items: DataFrame, documents: DataFrame, item_id: str = "item_id", item_text: str = "text", doc_id: str = "doc_id", doc_text: str = "text", index_chars: int = INDEX_CHARS) -> DataFrame:
     """item_id, doc_id of every document that holds a leak of an item, each pair once.
 
     * A leak is STRETCH consecutive words of the item or more, of which one in ONE_EDIT_IN may be replaced, dropped or added.
     * Null and empty texts on either side have no words; items with fewer words than STRETCH have no leaks. Null ids are
       left out. Texts are compared whole, whatever their length; equal texts under several ids are cases of their own.
-    * The index of one pass holds at most `pass_items` items, which bounds what is broadcast; more items take more passes.
+    * One index holds the items up to `index_chars` characters, some 100,000 items, which bounds what is broadcast, and the
+      corpus is gone through once. Beyond, items are dealt out to several indexes by a hash; then the corpus is read and
+      normalised once and written down, and each index goes through that. What is found doesn't depend on it: an item's
+      threshold is the least that its leaks score, whatever the weights are.
     * Either table may be empty and may have other columns.
     """
     spark = documents.sparkSession
     chosen = items.select(items[item_id].cast("bigint").alias("item_id"), items[item_text].alias("text")).filter(F.col("item_id").isNotNull() & F.col("text").isNotNull())
     corpus = documents.select(documents[doc_id].cast("bigint").alias("doc_id"), documents[doc_text].alias("text")).filter(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
     schema = "item_id bigint, doc_id bigint"
-    out, waiting = None, []
-
-    def add(some: list[tuple[int, str]]) -> DataFrame:
-        index = spark.sparkContext.broadcast(ItemIndex.build(some))
-
-        def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for at in range(0, batch.num_rows, BATCH):
-                    part = batch.slice(at, BATCH)
-                    ids, found = part.column(0), leaks_of(index.value, part.column(1).to_pylist())
-                    yield pa.record_batch([pa.array([i for _, i in found], pa.int64()), pa.array([ids[d].as_py() for d, _ in found], pa.int64())], names=["item_id", "doc_id"])
-
-        new = corpus.mapInArrow(find, schema)
-        return new if out is None else out.unionByName(new)
-
-    for row in chosen.toLocalIterator():
-        waiting.append((row["item_id"], row["text"]))
-        if len(waiting) == pass_items:
-            out, waiting = add(waiting), []
-    if waiting:
-        out = add(waiting)
-    return spark.createDataFrame([], schema) if out is None else out.distinct()
+    chars = chosen.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
+    if not chars:
+        return spark.createDataFrame([], schema)
+    parts = -(-chars // index_chars)
+    if ready := parts > 1:
+        corpus = cut_lineage(corpus.mapInArrow(_normalised, "doc_id bigint, text string"))
+
+    def compared(part: int) -> DataFrame:
+        some = chosen.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == part).toArrow()  # about index_chars
+        index = spark.sparkContext.broadcast(ItemIndex.build(list(zip(some.column(0).to_pylist(), some.column(1).to_pylist(), strict=True))))
+
+        def find(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for ids, texts in _batches(rows):
+                found = leaks_of(index.value, [t.split() if ready else words(t) for t in texts])
+                yield pa.record_batch([pa.array([i for _, i in found], pa.int64()), pa.array([ids[d] for d, _ in found], pa.int64())], names=["item_id", "doc_id"])
+
+        return corpus.mapInArrow(find, schema)
+
+    out = compared(0)
+    for part in range(1, parts):
+        out = out.unionByName(compared(part))
+    return out.distinct()

@@ -6,8 +6,14 @@ import html
 import re
 import unicodedata
 
-_INLINE_TAG = re.compile(r"</?(?:a|b|i|u|s|em|strong|span|code|tt|sub|sup|mark|small|font)(?:\s[^<>]*)?/?>", re.IGNORECASE)
-_TAG = re.compile(r"</?[A-Za-z][^<>]{0,300}>|<!--.*?-->", re.DOTALL)
+# Attributes as HTML and XML write them; a tag may have any number of them, of any length. What has no such form, as in
+# "a <b, c> d", is text. No part is tried in two ways, so that a text is gone through once.
+_ATTRIBUTE = r"""[A-Za-z_:@*#\[(][\w:@*#\[\]()-]*+(?:\.[\w-]++)*+(?>\s*+=\s*+(?>"[^"]*+"|'[^']*+'|[^\s<>"']++))?+"""
+_REST = rf"""(?>(?:\s++|(?<=["']))(?:{_ATTRIBUTE}|/(?!>)))*+\s*+/?+>"""
+_INLINE_TAG = re.compile(rf"</?+(?:a|b|i|u|s|em|strong|span|code|tt|sub|sup|mark|small|font){_REST}", re.IGNORECASE)
+# Also addresses in angle brackets, and declarations.
+TAG = re.compile(rf"</?+[A-Za-z][\w:.-]*+{_REST}|<[A-Za-z][\w+.-]*+:[^\s<>]*+>|<[^\s<>@]++@[^\s<>]++>|<[!?][A-Za-z][^<>]*+>")
+_COMMENT = re.compile(r"<!--.*?-->", re.DOTALL)
 # A hyphen between word characters, also with a line break (and a quote mark) behind it, holds one word together.
 _JOINED = re.compile(r"(?<=\w)[-‐‑]+(?:[ \t]*\r?\n[ \t>|]*)?(?=\w)|(?<=\w)['’ʼ](?=\w)")
 _WORD = re.compile(r"[^\W_]+")
@@ -19,6 +25,14 @@ def visible(text: str) -> str:
     return text if text.isascii() else _INVISIBLE.sub("", text)
 
 
+def without_tags(text: str) -> str:
+    """Without markup of any length; tags inside words leave no gap, others do."""
+    ended = text.rfind("-->")  # nothing is looked for behind the last end of a comment
+    if ended >= 0:
+        text = _COMMENT.sub(" ", text[: ended + 3]) + text[ended + 3 :]
+    return TAG.sub(" ", _INLINE_TAG.sub("", text))
+
+
 def words(text: str | None) -> list[str]:
     """Lower-case words; case, punctuation, markup, line layout, invisible characters and Unicode form don't matter."""
     if not text:
@@ -28,5 +42,5 @@ def words(text: str | None) -> list[str]:
     if not text.isascii():
         text = _INVISIBLE.sub("", unicodedata.normalize("NFKC", text))
     if "<" in text:
-        text = _TAG.sub(" ", _INLINE_TAG.sub("", text))
+        text = without_tags(text)
     return _WORD.findall(_JOINED.sub("", text.casefold()))
