@@ -14,6 +14,7 @@ from bisect import bisect_left
 from collections import defaultdict
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -68,6 +69,8 @@ class ItemIndex:
     block: np.ndarray
     last: np.ndarray
     most: np.ndarray
+    #: The lists as wand reads them, one number at a time; made where they are read.
+    views: tuple[memoryview, ...] | None = None
 
     @classmethod
     def build(cls, items: Sequence[tuple[int, str]]) -> ItemIndex:
@@ -105,13 +108,18 @@ class ItemIndex:
         last = item_of[end - 1].astype(np.int32) if len(end) else np.empty(0, np.int32)
         return cls(ids, sequence, bounds, vocabulary, terms, start, item_of.astype(np.int32), gain, upper, block, last, most)
 
+    def lists(self) -> tuple[memoryview, ...]:
+        if self.views is None:
+            self.views = tuple(memoryview(a) for a in (self.start, self.item, self.gain, self.block, self.last, self.most, self.upper))
+        return self.views
+
     def sequence(self, i: int) -> np.ndarray:
         return self.sequences[self.bounds[i] : self.bounds[i + 1]].astype(np.int64)
 
     def numbers(self, found: list[str]) -> np.ndarray:
         """Word numbers; 0 for a word that no item has."""
         number = self.vocabulary.get
-        return np.fromiter((number(w, 0) for w in found), np.int64, len(found))
+        return np.fromiter(map(number, found, repeat(0)), np.int64, len(found))
 
     def term_numbers(self, sequence: np.ndarray) -> np.ndarray:
         """The term at each place; len(terms) where there is none."""
@@ -179,9 +187,9 @@ def thresholds(impacts: list[np.ndarray]) -> np.ndarray:
 
 def wand(index: ItemIndex, terms: list[int], times: list[int]) -> list[int]:
     """The items whose score reaches their threshold, for a query of distinct terms and how often each occurs."""
-    start, item, gain, block, last, most = index.start, index.item, index.gain, index.block, index.last, index.most
-    upper = [float(index.upper[t]) * n for t, n in zip(terms, times, strict=True)]
-    cursors = sorted((int(item[start[t]]), int(start[t]), k) for k, t in enumerate(terms))
+    start, item, gain, block, last, most, greatest = index.lists()
+    upper = [greatest[t] * n for t, n in zip(terms, times, strict=True)]
+    cursors = sorted((item[start[t]], start[t], k) for k, t in enumerate(terms))
     found = []
 
     def advance(some: list[tuple[int, int, int]], target: int) -> list[tuple[int, int, int]]:
@@ -189,11 +197,11 @@ def wand(index: ItemIndex, terms: list[int], times: list[int]) -> list[int]:
         out = []
         for at, place, k in some:
             if at < target:
-                end = int(start[terms[k] + 1])
-                place = bisect_left(item, target, place + 1, end)
+                end = start[terms[k] + 1]
+                place = place + 1 if place + 1 == end else bisect_left(item, target, place + 1, end)
                 if place == end:
                     continue
-                at = int(item[place])
+                at = item[place]
             out.append((at, place, k))
         return out
 
@@ -212,14 +220,19 @@ def wand(index: ItemIndex, terms: list[int], times: list[int]) -> list[int]:
         bound, beyond = 0.0, rest[0][0] if rest else len(index.item_ids)
         for _, _, k in upto:
             t = terms[k]
-            b = bisect_left(last, wanted, int(block[t]), int(block[t + 1]))
-            if b < block[t + 1]:
-                bound += float(most[b]) * times[k]
-                beyond = min(beyond, int(last[b]) + 1)
+            b, end = block[t], block[t + 1]
+            if end - b > 1:
+                b = bisect_left(last, wanted, b, end)
+            elif last[b] < wanted:
+                continue
+            if b < end:
+                bound += most[b] * times[k]
+                if last[b] < beyond:
+                    beyond = last[b] + 1
         if bound < REACHED:  # no item before `beyond` can reach it either
             moved = advance(upto, max(beyond, wanted + 1))
         elif upto[0][0] == wanted:
-            if sum(float(gain[place]) * times[k] for _, place, k in upto) >= REACHED:
+            if sum(gain[place] * times[k] for _, place, k in upto) >= REACHED:
                 found.append(wanted)
             moved = advance(upto, wanted + 1)
         else:
@@ -279,10 +292,11 @@ def _tails(a: list[int], b: list[int], most: int) -> list[int]:
     return out
 
 
-def _runs(places: dict[int, list[int]], terms: np.ndarray) -> list[tuple[int, int, int]]:
+def _runs(places: dict[int, list[int]], terms: np.ndarray, none: int) -> list[tuple[int, int, int]]:
     """Longest common runs of at least GRAM words: (start in passage, start in item, words); places: of each term in the item."""
     diagonals: dict[int, list[int]] = defaultdict(list)
-    for p, t in enumerate(terms.tolist()):
+    known = np.flatnonzero(terms != none)
+    for p, t in zip(known.tolist(), terms[known].tolist(), strict=True):
         for i in places.get(t, ()):
             diagonals[p - i].append(p)
     runs = []
@@ -335,7 +349,7 @@ def leaks_of(index: ItemIndex, documents: Sequence[list[str]]) -> list[tuple[int
                 places[t].append(at)
             held[i] = sequence, dict(places)
         sequence, places = held[i]
-        if has_stretch(sequence, passage, _runs(places, terms)):
+        if has_stretch(sequence, passage, _runs(places, terms, len(index.terms))):
             hits.add((d, i))
     return sorted((d, index.item_ids[i]) for d, i in hits)
 
