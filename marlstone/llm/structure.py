@@ -1,14 +1,19 @@
 """Text quality statistics, and natural prose told from lists, tables, records, code, keywords, filler and noise.
 
-Each line of a text becomes two distributions, of word kinds (function words by language, plain words, sentence ends,
-numbers, identifiers, ...) and of character classes. Its Jensen-Shannon divergence from each structural profile, weighed
-by its words and together with its neighbours' in the same paragraph, assigns it to the nearest one. Prose is what lies
-nearest to a language's prose profile; words inside passages that the text keeps repeating count as filler.
+A text's distribution over single function words is compared with each language's profile; the nearest by Jensen-Shannon
+divergence is its language. Where no language's words make up a text that is written in sentences, a general prose profile
+takes their place. Each line then becomes two distributions, of word kinds (function words, plain words, sentence ends,
+numbers, identifiers, ...) and of character classes. Its divergence from the language's prose profile and from each
+structural profile, weighed by its words and together with its neighbours' in the same paragraph, assigns it to the
+nearest one. Words inside passages that the text keeps repeating count as filler.
+
+Prose profiles are estimated from the samples of marlstone.llm.prose; letters of all scripts count alike.
 """
 
 from __future__ import annotations
 
 import re
+import unicodedata
 from itertools import islice
 
 import numpy as np
@@ -17,9 +22,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from marlstone.llm.words import visible
+from marlstone.llm.prose import LANGUAGES, SAMPLE_CHARS, SAMPLES, zipf_profiles
+from marlstone.llm.words import TAG, visible
 
-# Frequent function words of four languages.
+# Common words of four languages, mostly function words.
 FUNCTION_WORDS = {
     "en": """a about after again all although an and another any are as at be because been before behind beside but by can could did do does during
         each either every few for from had has have he her his how however i if in inside into is it its just may me might more most must my near neither
@@ -39,32 +45,41 @@ FUNCTION_WORDS = {
         poco por porque pues que quien se según ser si sí sin sobre su sus también tan todo todos tras un una uno y ya tres cuatro cinco seis siete
         ocho nueve diez""",
 }
-LANGUAGES = tuple(FUNCTION_WORDS)
 
-#: Word kinds, in the order of a distribution's places.
-KINDS = (*LANGUAGES, "plain", "title", "ending", "number", "name", "mark", "odd")
+#: Word kinds, in the order of a distribution's places; the first is that of the text's own language.
+KINDS = ("function", "plain", "title", "ending", "number", "name", "mark", "odd")
 _PLACE = {k: i for i, k in enumerate(KINDS)}
 #: Character classes.
 CLASSES = ("lower", "upper", "digit", "space", "stop", "sign", "foreign")
 
-# Structural profiles, as shares of word kinds and of character classes in hundredths. A prose profile
-# has its language's function words; words that several languages share count a part for each.
-_PROSE_KINDS = {"en": 30, "de": 1, "fr": 1, "es": 1, "plain": 48, "title": 4, "ending": 9, "number": 3, "name": 2, "mark": 0.5, "odd": 0.5}
+#: The prior for all prose, in hundredths, and the words that it weighs as much as.
+_PROSE_KINDS = {"function": 33, "plain": 48, "title": 4, "ending": 9, "number": 3, "name": 2, "mark": 0.5, "odd": 0.5}
 _PROSE_CLASSES = {"lower": 79, "upper": 2, "digit": 1, "space": 15, "stop": 2, "sign": 0.8, "foreign": 0.2}
+PRIOR_WORDS = 300
+#: The general profile: words of up to SHORT letters stand for function words.
+_OTHER_KINDS = {"function": 20, "plain": 61, "title": 5, "ending": 9, "number": 3, "name": 1, "mark": 0.5, "odd": 0.5}
+SHORT = 3
+#: How many words of a paragraph the whole text weighs as much as, where they tell of different languages.
+TEXT_WORDS = 6
+#: A text is in none of the languages if the nearest one's function words are a smaller share of its words, and if so many
+#: of its sentences begin as sentences do.
+LEAST_FUNCTION, LEAST_BEGUN = 0.08, 0.8
+# Structural profiles, as shares of word kinds and of character classes in hundredths.
 PROFILES = {
-    "list": ({"plain": 66, "title": 4, "ending": 0.5, "number": 5, "name": 1, "mark": 22, "en": 0.6, "odd": 0.4}, {"lower": 74, "upper": 1, "digit": 2, "space": 15, "stop": 3, "sign": 4, "foreign": 0.2}),
-    "numbered list": ({"plain": 66, "title": 4, "ending": 0.5, "number": 24, "name": 3, "mark": 1, "en": 0.6, "odd": 0.4}, {"lower": 74, "upper": 1, "digit": 4, "space": 14, "stop": 3, "sign": 4, "foreign": 0.2}),
-    "table": ({"plain": 35, "title": 1, "ending": 0.4, "number": 32, "name": 28, "mark": 3, "en": 0.5, "odd": 0.6}, {"lower": 45, "upper": 1, "digit": 22, "space": 18, "stop": 3, "sign": 11, "foreign": 0.2}),
-    "record": ({"plain": 14, "title": 14, "ending": 0.4, "number": 14, "name": 55, "mark": 1, "en": 1, "odd": 0.6}, {"lower": 48, "upper": 6, "digit": 24, "space": 9, "stop": 5, "sign": 8, "foreign": 0.2}),
-    "code": ({"plain": 18, "title": 2, "ending": 0.4, "number": 3, "name": 55, "mark": 16, "en": 5, "odd": 0.6}, {"lower": 62, "upper": 4, "digit": 4, "space": 16, "stop": 4, "sign": 10, "foreign": 0.2}),
-    "encoded": ({"plain": 2, "title": 1, "ending": 0.2, "number": 20, "name": 66, "mark": 0.3, "en": 0.2, "odd": 10}, {"lower": 36, "upper": 24, "digit": 26, "space": 8, "stop": 0.5, "sign": 5, "foreign": 0.2}),
-    "keywords": ({"plain": 96, "title": 2, "ending": 0.3, "number": 0.5, "name": 0.5, "mark": 0.3, "en": 0.3, "odd": 0.3}, {"lower": 86, "upper": 0.5, "digit": 0.3, "space": 12, "stop": 0.4, "sign": 0.6, "foreign": 0.2}),
-    "headings": ({"plain": 4, "title": 80, "ending": 0.3, "number": 8, "name": 1, "mark": 6, "en": 0.3, "odd": 0.3}, {"lower": 70, "upper": 11, "digit": 3, "space": 11, "stop": 1, "sign": 4, "foreign": 0.2}),
-    "noise": ({"plain": 12, "title": 1, "ending": 4, "number": 0.5, "name": 2, "mark": 1, "en": 1, "odd": 78}, {"lower": 79, "upper": 2, "digit": 1, "space": 13, "stop": 3, "sign": 1, "foreign": 1}),
-    "gibberish": ({"plain": 44, "title": 1, "ending": 18, "number": 0.5, "name": 1, "mark": 0.5, "en": 1, "odd": 34}, {"lower": 81, "upper": 1, "digit": 0.3, "space": 13, "stop": 3, "sign": 0.5, "foreign": 0.3}),
-    "broken": ({"plain": 4, "title": 1, "ending": 0.5, "number": 0.5, "name": 1, "mark": 1, "en": 1, "odd": 92}, {"lower": 25, "upper": 10, "digit": 0.2, "space": 13, "stop": 1, "sign": 6, "foreign": 45}),
+    "list": ({"plain": 66, "title": 4, "ending": 0.5, "number": 5, "name": 1, "mark": 22, "function": 0.6, "odd": 0.4}, {"lower": 74, "upper": 1, "digit": 2, "space": 15, "stop": 3, "sign": 4, "foreign": 0.2}),
+    "numbered list": ({"plain": 66, "title": 4, "ending": 0.5, "number": 24, "name": 3, "mark": 1, "function": 0.6, "odd": 0.4}, {"lower": 74, "upper": 1, "digit": 4, "space": 14, "stop": 3, "sign": 4, "foreign": 0.2}),
+    "table": ({"plain": 35, "title": 1, "ending": 0.4, "number": 32, "name": 28, "mark": 3, "function": 0.5, "odd": 0.6}, {"lower": 45, "upper": 1, "digit": 22, "space": 18, "stop": 3, "sign": 11, "foreign": 0.2}),
+    "record": ({"plain": 14, "title": 14, "ending": 0.4, "number": 14, "name": 55, "mark": 1, "function": 1, "odd": 0.6}, {"lower": 48, "upper": 6, "digit": 24, "space": 9, "stop": 5, "sign": 8, "foreign": 0.2}),
+    "code": ({"plain": 18, "title": 2, "ending": 0.4, "number": 3, "name": 55, "mark": 16, "function": 5, "odd": 0.6}, {"lower": 62, "upper": 4, "digit": 4, "space": 16, "stop": 4, "sign": 10, "foreign": 0.2}),
+    "encoded": ({"plain": 2, "title": 1, "ending": 0.2, "number": 20, "name": 66, "mark": 0.3, "function": 0.2, "odd": 10}, {"lower": 36, "upper": 24, "digit": 26, "space": 8, "stop": 0.5, "sign": 5, "foreign": 0.2}),
+    "keywords": ({"plain": 96, "title": 2, "ending": 0.3, "number": 0.5, "name": 0.5, "mark": 0.3, "function": 0.3, "odd": 0.3}, {"lower": 86, "upper": 0.5, "digit": 0.3, "space": 12, "stop": 0.4, "sign": 0.6, "foreign": 0.2}),
+    "headings": ({"plain": 4, "title": 80, "ending": 0.3, "number": 8, "name": 1, "mark": 6, "function": 0.3, "odd": 0.3}, {"lower": 70, "upper": 11, "digit": 3, "space": 11, "stop": 1, "sign": 4, "foreign": 0.2}),
+    "noise": ({"plain": 12, "title": 1, "ending": 4, "number": 0.5, "name": 2, "mark": 1, "function": 1, "odd": 78}, {"lower": 79, "upper": 2, "digit": 1, "space": 13, "stop": 3, "sign": 1, "foreign": 1}),
+    "gibberish": ({"plain": 44, "title": 1, "ending": 18, "number": 0.5, "name": 1, "mark": 0.5, "function": 1, "odd": 34}, {"lower": 81, "upper": 1, "digit": 0.3, "space": 13, "stop": 3, "sign": 0.5, "foreign": 0.3}),
+    "broken": ({"plain": 4, "title": 1, "ending": 0.5, "number": 0.5, "name": 1, "mark": 1, "function": 1, "odd": 92}, {"lower": 25, "upper": 10, "digit": 0.2, "space": 13, "stop": 1, "sign": 6, "foreign": 45}),
 }
-PROSE = tuple(f"prose {x}" for x in LANGUAGES)
+PROSE = (*(f"prose {x}" for x in LANGUAGES), "prose other")
+OTHER = len(LANGUAGES)
 NAMES = (*PROSE, *PROFILES, "filler")
 
 #: The profile of lines that hold nothing but tags.
@@ -81,73 +96,102 @@ _BARE = re.compile(r"^[^\w]+|[^\w]+$")
 _PLAIN = re.compile(r"[^\W\d_]+(?:['’‑-][^\W\d_]+)*")
 _NUMBER = re.compile(r"[#(\[]?[+-]?\d+(?:[.,:/-]\d+)*[%)\].:]*")
 _RUN = re.compile(r"[bcdfghjklmnpqrstvwxzßç]{5,}|[aeiouyäöüáéíóúàèìòùâêîôû]{4,}|(.)\1\1")
-_VOWEL = re.compile(r"[aeiouyäöüáéíóúàèìòùâêîôûœæ]")
-_TAGS = re.compile(r"</?[A-Za-z][^<>]{0,80}>")
-
-
-def _profile_arrays() -> tuple[np.ndarray, np.ndarray]:
-    kinds, classes = [], []
-    for language in LANGUAGES:
-        own = dict(_PROSE_KINDS)
-        own["en"], own[language] = own[language], own["en"]
-        kinds.append([own[k] for k in KINDS])
-        classes.append([_PROSE_CLASSES[c] for c in CLASSES])
-    for k, c in PROFILES.values():
-        kinds.append([k.get(x, 0.2) for x in KINDS])
-        classes.append([c[x] for x in CLASSES])
-    norm = lambda x: (a := np.array(x, np.float32)) / a.sum(1, keepdims=True)
-    return norm(kinds), norm(classes)
-
-
-_KIND_PROFILES, _CLASS_PROFILES = _profile_arrays()
-
-_SHARES: dict[str, tuple[float, ...]] = {}
-for _language, _text in FUNCTION_WORDS.items():
-    for _word in _text.split():
-        _SHARES[_word] = tuple(float(_word in FUNCTION_WORDS[x].split()) for x in LANGUAGES)
-
-
-def _kind(word: str) -> tuple[float, ...]:
-    """A word's share of each kind, and its counts of each character class but space."""
+_VOWEL = re.compile(r"[aeiouyœæøı]")
+# What UTF-8 looks like where it was read as a one-byte encoding.
+_MISREAD = re.compile("[ÂÃÐÑâï][\u0080-\u00bfŒœŠšŸŽžƒˆ˜–—‘’‚“”„†‡•…‰‹›€™]")
+# Characters of scripts that don't part words with spaces; each counts as a word, the signs behind it with it.
+_UNSPACED = re.compile(r"([\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff])")
+_STOPS = frozenset(".,;:!?'\"’“”«»，。！？；：、「」《》（）…·؟،।")
+_ENDS, _CLOSERS = ".!?。！？؟।…;"[:-1] + "\u037e", "\"')»”」’"
+
+
+def _script(c: str) -> str | None:
+    """A letter's script as far as words keep to one; null for letters that no common language writes with."""
+    o = ord(c)
+    if o < 0x180 or 0x1E00 <= o < 0x1F00 or c in "ƠơƯư" or 0x218 <= o < 0x21C:
+        return "latin"
+    if o < 0x250:
+        return None
+    if 0x370 <= o < 0x400 or 0x1F00 <= o < 0x2000:
+        return "greek"
+    if 0x400 <= o < 0x530:
+        return "cyrillic"
+    return "other"
+
+
+def _odd(low: str) -> bool:
+    """Whether a word of letters alone can't be one: scripts mixed, encodings misread, or letters that can't be said."""
+    scripts = {_script(c) for c in low if c.isalpha()}
+    if len(scripts) > 1 or None in scripts or _MISREAD.search(low):
+        return True
+    if scripts != {"latin"}:
+        return False
+    if _RUN.search(low):
+        return True
+    plain = low if low.isascii() else unicodedata.normalize("NFD", low)
+    return len(low) > 3 and not _VOWEL.search(plain)
+
+
+_NUMBERS, _SHARES_OF = zipf_profiles(FUNCTION_WORDS)
+_KNOWS = _SHARES_OF > 0
+#: Columns of a word's row: its kind if it is no function word, its characters by class but space, whether it is a function
+#: word of each language (and short, for OTHER), whether it ends a sentence, and whether it could begin one.
+_N_KINDS, _N_CLASSES = len(KINDS), len(CLASSES) - 1
+_FLAGS = _N_KINDS + _N_CLASSES
+_STOPPED, _OPENS, _UNSPACED_AT = _FLAGS + OTHER + 1, _FLAGS + OTHER + 2, _FLAGS + OTHER + 3
+_WIDTH = _UNSPACED_AT + 1
+
+
+def _row(word: str) -> tuple[list[float], int]:
+    """A word's row, and its number among function words, -1 where it is none."""
+    if not word.isascii():  # vowel signs and accents belong to their letters
+        word = "".join(c for c in unicodedata.normalize("NFC", word) if unicodedata.category(c)[0] != "M") or word
     if len(word) > 5 and word.isupper() and word.isalpha():  # shouted prose is prose
         word = word.lower()
     bare = _BARE.sub("", word)
     low = bare.lower()
-    kinds = [0.0] * len(KINDS)
-    if low in _SHARES:
-        shares = _SHARES[low]
-        for i, s in enumerate(shares):
-            kinds[i] = s / sum(shares)
-    elif not bare:
-        kinds[_PLACE["mark"]] = 1.0
+    row = [0.0] * _WIDTH
+    number = _NUMBERS.get(low, -1)
+    closed = word.rstrip(_CLOSERS)
+    stopped = bool(bare) and closed[-1:] in _ENDS and closed[-1:] != ""
+    if not bare:
+        kind = "mark"
     elif _NUMBER.fullmatch(word):
-        kinds[_PLACE["number"]] = 1.0
+        kind = "number"
     elif _PLAIN.fullmatch(bare) and len(word) - len(bare) <= 4:
-        if any(ord(c) > 0x17F for c in bare) or _RUN.search(low) or (len(low) > 3 and not _VOWEL.search(low)):
-            kinds[_PLACE["odd"]] = 1.0
-        elif word[-1] in ".!?" or word[-2:-1] in (".", "!", "?") and word[-1] in "\"')»”":
-            kinds[_PLACE["ending"]] = 1.0
+        if number < 0 and _odd(low):
+            kind = "odd"
+        elif word[-1] in _ENDS or word[-2:-1] in tuple(_ENDS) and word[-1] in _CLOSERS:
+            kind = "ending"
         else:
-            kinds[_PLACE["title" if bare[0].isupper() else "plain"]] = 1.0
+            kind = "title" if bare[0].isupper() else "plain"
+            if bare == low and len(bare) <= SHORT:
+                row[_FLAGS + OTHER] = 1.0
     elif sum(ord(c) > 0x7F and not c.isalpha() for c in word) * 4 > len(word):
-        kinds[_PLACE["odd"]] = 1.0
+        kind = "odd"
     else:
-        kinds[_PLACE["name"]] = 1.0
+        kind = "name"
+    row[_PLACE[kind]] = 1.0
+    if number >= 0:
+        row[_FLAGS : _FLAGS + OTHER] = _KNOWS[:, number].astype(float).tolist()
+    row[_STOPPED], row[_OPENS] = float(stopped), float(bare[:1].isupper() or (bare[:1].isalpha() and bare[:1].upper() == bare[:1].lower()) or not bare[:1].isalpha())
+    row[_UNSPACED_AT] = float(bool(_UNSPACED.match(bare)))
     lower = upper = digit = stop = sign = foreign = 0
     for c in word:
-        if c.islower() and ord(c) < 0x180:
-            lower += 1
-        elif c.isupper() and ord(c) < 0x180:
-            upper += 1
-        elif c.isdigit():
+        if c.isdigit():
             digit += 1
-        elif c in ".,;:!?'\"’“”«»":
+        elif c in _STOPS:
             stop += 1
-        elif ord(c) < 0x80:
+        elif ord(c) < 0x80 and not c.isalpha():
             sign += 1
-        else:
+        elif not c.isalpha() or not _script(c):
             foreign += 1
-    return (*kinds, lower, upper, digit, stop, sign, foreign)
+        elif c.isupper():
+            upper += 1
+        else:
+            lower += 1
+    row[_N_KINDS:_FLAGS] = (lower, upper, digit, stop, sign, foreign)
+    return row, number
 
 
 def divergence(p: np.ndarray, q: np.ndarray) -> np.ndarray:
@@ -161,7 +205,7 @@ def divergence(p: np.ndarray, q: np.ndarray) -> np.ndarray:
 
 
 class WordTable:
-    """Remembers what _kind gives, a row of an array for each word; starts anew when it has grown large."""
+    """Remembers what _row gives, a row of an array for each word; starts anew when it has grown large."""
 
     def __init__(self, limit: int = 300_000) -> None:
         self.limit = limit
@@ -169,7 +213,8 @@ class WordTable:
 
     def reset(self) -> None:
         self.numbers: dict[str, int] = {}
-        self.rows = np.empty((1_024, len(KINDS) + len(CLASSES) - 1), np.float32)
+        self.rows = np.empty((1_024, _WIDTH), np.float32)
+        self.functions = np.empty(1_024, np.int32)
 
     def lookup(self, words: list[str]) -> np.ndarray:
         if len(self.numbers) > self.limit:
@@ -180,14 +225,76 @@ class WordTable:
         new = list(islice(numbers, known, None))
         while len(numbers) > len(self.rows):
             self.rows = np.concatenate([self.rows, np.empty_like(self.rows)])
+            self.functions = np.concatenate([self.functions, np.empty_like(self.functions)])
         if new:
-            self.rows[known : len(numbers)] = [_kind(w) for w in new]
+            rows, functions = zip(*map(_row, new), strict=True)
+            self.rows[known : len(numbers)] = rows
+            self.functions[known : len(numbers)] = functions
         return np.array(out, np.int64)
 
 
 _TABLE = WordTable()
 
 
+def _split(line: str) -> list[str]:
+    """A line's words; quote marks before it are layout."""
+    bare = line.lstrip("> \t|") if line[:1] in "> |" else line
+    return bare.split() if bare.isascii() else _UNSPACED.sub(r" \1", bare).split()
+
+
+def _kinds_and_classes(rows: np.ndarray, flag: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distributions of the words from each start on; flag: whether a word is a function word of its text's language."""
+    kinds = rows[:, :_N_KINDS] * (1 - flag[:, None])
+    kinds[:, 0] = flag
+    sums = np.add.reduceat(np.hstack([kinds, rows[:, _N_KINDS:_FLAGS], 1 - rows[:, _UNSPACED_AT :]]), starts, axis=0)
+    counts = np.insert(sums[:, _N_KINDS:-1], 3, sums[:, -1], axis=1)  # one space a word
+    return sums[:, :_N_KINDS] / sums[:, :_N_KINDS].sum(1, keepdims=True), counts / np.maximum(counts.sum(1, keepdims=True), 1)
+
+
+def _estimated() -> tuple[np.ndarray, np.ndarray]:
+    """The prose profiles: of each language its sample with the prior, and the general one; then the structural profiles."""
+    norm = lambda x: (a := np.array(x, np.float64)) / a.sum()
+    prior, letters = norm([_PROSE_KINDS[k] for k in KINDS]), norm([_PROSE_CLASSES[c] for c in CLASSES])
+    kinds, classes = [], []
+    for at, language in enumerate(LANGUAGES):
+        found = [w for line in SAMPLES[language][:SAMPLE_CHARS].splitlines() for w in _split(line)]
+        rows = np.array([_row(w)[0] for w in found])
+        k, c = _kinds_and_classes(rows, rows[:, _FLAGS + at], np.array([0]))
+        weight = len(found) / (len(found) + PRIOR_WORDS)
+        kinds.append(weight * k[0] + (1 - weight) * prior)
+        classes.append(weight * c[0] + (1 - weight) * letters)
+    kinds.append(norm([_OTHER_KINDS[k] for k in KINDS]))
+    classes.append(letters)
+    for k, c in PROFILES.values():
+        kinds.append(norm([k.get(x, 0.2) + (0.6 if x == "function" else 0) for x in KINDS]))
+        classes.append(norm([c[x] for x in CLASSES]))
+    return np.array(kinds, np.float32), np.array(classes, np.float32)
+
+
+_KIND_PROFILES, _CLASS_PROFILES = _estimated()
+
+
+def languages(functions: np.ndarray, group_of: np.ndarray, n_groups: int) -> np.ndarray:
+    """How far each group of words is from each language: words that are none of its function words are wholly apart (1 bit),
+    the others as far as their shares, one by one, diverge from the language's.
+
+    functions: the number of each word among function words, or -1; group_of: the group of each word.
+    """
+    size = np.maximum(np.bincount(group_of, minlength=n_groups), 1)[:, None]
+    hit = functions >= 0
+    pair, often = np.unique(group_of[hit] * len(_NUMBERS) + functions[hit], return_counts=True)
+    group, word = pair // len(_NUMBERS), pair % len(_NUMBERS)
+    q = _SHARES_OF[:, word].T
+    columns = lambda x: np.stack([np.bincount(group, weights=x[:, j], minlength=n_groups) for j in range(OTHER)], axis=1)
+    own = np.where(q > 0, often[:, None], 0)
+    total = columns(own)
+    p = own / np.maximum(total, 1)[group]
+    logs = lambda x, y: x * np.log2(np.maximum(x, 1e-12) / np.maximum(y, 1e-12))
+    # What the group's own words add; the language's other words add half a bit of their share.
+    single = columns((logs(p, (p + q) / 2) + logs(q, (p + q) / 2) - q) / 2) + 0.5
+    return 1 - total / size * (1 - single)
+
+
 def shape(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """For each text the share of its characters by place in NAMES (zeros for a null or blank text)."""
     words: list[str] = []
@@ -195,9 +302,11 @@ def shape(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     tagged = [0] * len(texts)
     for t, text in enumerate(texts):
         blank = True
+        if text and "<" in (text := visible(text)):
+            text = TAG.sub(lambda tag: " ".join(tag[0].splitlines()), text)  # a tag over several lines is one of the first
         for line in visible(text).splitlines() if text else ():
-            bare = _TAGS.sub(" ", line) if "<" in line else line
-            found = (bare.lstrip("> \t|") if bare[:1] in "> |" else bare).split()
+            bare = TAG.sub(" ", line) if "<" in line else line
+            found = _split(bare)
             if not found:
                 blank = True
                 if bare != line:  # nothing but tags
@@ -217,12 +326,15 @@ def shape(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     numbers = _TABLE.lookup(words)
     n_words, chars, owner, gap = np.array(line_words), np.array(line_chars, np.float64), np.array(line_text), np.array(gap)
     starts = np.concatenate([[0], np.cumsum(n_words)[:-1]])
-    sums = np.add.reduceat(_TABLE.rows[numbers], starts, axis=0)
-    k = len(KINDS)
-    kinds = sums[:, :k] / sums[:, :k].sum(1, keepdims=True)
-    counts = np.insert(sums[:, k:], 3, n_words, axis=1)  # one space a word
-    classes = counts / counts.sum(1, keepdims=True)
+    line_of = np.repeat(np.arange(len(n_words)), n_words)
+    text_of = owner[line_of]
+    rows = _TABLE.rows[numbers]
+    block = np.cumsum(gap | np.append(True, owner[1:] != owner[:-1])) - 1
+    language = _languages_of(rows, _TABLE.functions[numbers], text_of, block[line_of])[block]
+    flag = rows[np.arange(len(rows)), _FLAGS + language[line_of]]
+    kinds, classes = _kinds_and_classes(rows, flag, starts)
     apart = divergence(kinds, _KIND_PROFILES) + 0.5 * divergence(classes, _CLASS_PROFILES)
+    apart[:, : len(PROSE)] = np.where(np.arange(len(PROSE)) == language[:, None], apart[:, : len(PROSE)], np.inf)
     weight = np.maximum(n_words, chars / WORD_CHARS)[:, None]
     joined = weight * apart
     inner = ~gap[1:]
@@ -232,8 +344,6 @@ def shape(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     joined[:-1][inner] += shared * apart[1:][inner]
     nearest = joined.argmin(1)
     # Filler: stretches of words that occur FILLER_TIMES times or more in the same text.
-    line_of = np.repeat(np.arange(len(n_words)), n_words)
-    text_of = owner[line_of]
     repeated = _repeated(numbers, text_of)
     filler = np.add.reduceat(repeated.astype(np.float64), starts) / n_words
     np.add.at(shares, (owner, nearest), chars * (1 - filler))
@@ -243,6 +353,24 @@ def shape(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     return shares, np.bincount(owner, weights=n_words, minlength=len(texts)).astype(np.int64)
 
 
+def _languages_of(rows: np.ndarray, functions: np.ndarray, text_of: np.ndarray, block_of: np.ndarray) -> np.ndarray:
+    """The place in PROSE of each paragraph's language: the nearest, with the whole text's; or OTHER in texts in sentences that
+    lack its words.
+    """
+    n_texts, n_blocks = int(text_of[-1]) + 1, int(block_of[-1]) + 1
+    first = np.flatnonzero(np.append(True, block_of[1:] != block_of[:-1]))
+    size = np.bincount(block_of, minlength=n_blocks)
+    apart = size[:, None] * languages(functions, block_of, n_blocks) + TEXT_WORDS * languages(functions, text_of, n_texts)[text_of[first]]
+    language = apart.argmin(1)
+    count = lambda x: np.bincount(text_of, weights=x, minlength=n_texts)
+    known = count(rows[np.arange(len(rows)), _FLAGS + language[block_of]]) / np.maximum(count(np.ones(len(rows))), 1)
+    stopped = rows[:, _STOPPED] > 0
+    begins = np.append(True, stopped[:-1] | (text_of[1:] != text_of[:-1]))
+    begun = count(begins & (rows[:, _OPENS] > 0)) / np.maximum(count(begins), 1)
+    sentences = (count(stopped) > 0) & (begun >= LEAST_BEGUN)
+    return np.where(((known < LEAST_FUNCTION) & sentences)[text_of[first]], OTHER, language)
+
+
 def _repeated(numbers: np.ndarray, text_of: np.ndarray) -> np.ndarray:
     """Marks the words inside FILLER_WORDS-word stretches that a text holds FILLER_TIMES times or more."""
     n = FILLER_WORDS
@@ -306,5 +434,5 @@ def statistics(text: Column) -> dict[str, Column]:
     }
 
 
-#: Common words of all languages together, in the order of the alphabet.
-COMMON = tuple(sorted(_SHARES))
+#: Common words of four languages together, in the order of the alphabet.
+COMMON = tuple(sorted({w for words in FUNCTION_WORDS.values() for w in words.split()}))

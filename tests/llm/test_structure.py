@@ -2,7 +2,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from marlstone.llm.structure import NAMES, PROSE, divergence, shape, statistics, structure
+from marlstone.llm.prose import LANGUAGES, SAMPLES, zipf_profiles
+from marlstone.llm.structure import _NUMBERS, NAMES, PROSE, divergence, languages, shape, statistics, structure
 
 PROSE_TEXTS = [
     "The server was restarted before lunch because it had run out of memory. Nobody noticed until the next day, when most of the builds failed.",
@@ -36,6 +37,72 @@ def test_other(text):
     assert prose(text) < 0.5
 
 
+MORE_LANGUAGES = {
+    "it": "Il server è stato riavviato stamattina perché la memoria era finita. Nessuno se ne è accorto fino a sera.",
+    "pt": "O servidor foi reiniciado de manhã porque a memória tinha acabado. Ninguém percebeu isso até à noite.",
+    "nl": "De server werd vanochtend opnieuw gestart omdat het geheugen vol was. Niemand merkte het tot de avond.",
+    "pl": "Serwer został rano ponownie uruchomiony, ponieważ skończyła się pamięć. Nikt tego nie zauważył aż do wieczora.",
+    "ru": "Сервер был перезапущен утром, потому что закончилась память. Никто этого не заметил до вечера.",
+    "el": "Ο διακομιστής επανεκκινήθηκε το πρωί επειδή τελείωσε η μνήμη. Κανείς δεν το πρόσεξε μέχρι το βράδυ.",
+    "vi": "Máy chủ đã được khởi động lại vào sáng nay vì hết bộ nhớ. Không ai nhận ra điều đó cho đến buổi tối.",
+    "zh": "服务器今天早上重新启动了，因为内存已经用完。直到晚上才有人注意到这件事。",
+}
+OTHER_LANGUAGES = [
+    "Server byl ráno znovu spuštěn, protože došla paměť. Nikdo si toho až do večera nevšiml.", "Palvelin käynnistettiin aamulla uudelleen, koska muisti loppui. Kukaan ei huomannut sitä.",
+    "أعيد تشغيل الخادم هذا الصباح لأن الذاكرة امتلأت. لم يلاحظ أحد ذلك حتى المساء.", "サーバーは今朝再起動されました。メモリが足りなくなったからです。", "सर्वर को आज सुबह फिर से चालू किया गया। शाम तक किसी ने ध्यान नहीं दिया।",
+]
+
+
+@pytest.mark.parametrize("language", sorted(MORE_LANGUAGES))
+def test_languages_with_a_profile(language):
+    shares, _ = shape([MORE_LANGUAGES[language]])
+    assert NAMES[shares[0].argmax()] == f"prose {language}"
+    assert shares[0].max() == 1
+
+
+@pytest.mark.parametrize("text", OTHER_LANGUAGES)
+def test_languages_without_a_profile(text):
+    shares, _ = shape([text])
+    assert NAMES[shares[0].argmax()] == "prose other"
+
+
+def test_scripts_alone_make_no_prose():
+    for text in ("память\nсервер\nвечер\nутро\nархив\nсписок", "Ð¿Ð°Ð¼Ñ\x8fÑ‚ÑŒ Ñ\x81ÐµÑ€Ð²ÐµÑ€ Ð±Ñ‹Ð» Ð²Ñ‹ÐºÐ»ÑŽÑ‡ÐµÐ½", "- яблоко\n- груша\n- слива\n- хлеб", "memоry sеrver wаs rеstаrted tоdаy", "内存 服务器 列表 档案"):
+        assert prose(text) < 0.5
+
+
+def test_paragraphs_have_their_own_language():
+    shares, _ = shape([PROSE_TEXTS[0] + "\n\n" + PROSE_TEXTS[3] + "\n\n" + MORE_LANGUAGES["ru"]])
+    found = {NAMES[i] for i in np.flatnonzero(shares[0])}
+    assert found == {"prose en", "prose es", "prose ru"}
+
+
+def test_profiles_of_function_words():
+    numbers, shares = zipf_profiles({"en": "the hereby"})
+    assert np.allclose(shares.sum(1), 1)
+    en = shares[LANGUAGES.index("en")]
+    assert en[numbers["the"]] == en.max()
+    assert 0 < en[numbers["hereby"]] == en[en > 0].min()
+    assert all(0 < len(s) <= 2_000 for s in SAMPLES.values())
+
+
+def test_language_is_that_of_the_nearest_distribution():
+    words = ["der", "die", "und", "in", "haus", "the", "of"]
+    functions = np.array([_NUMBERS.get(w, -1) for w in words])
+    apart = languages(functions, np.array([0, 0, 0, 0, 0, 1, 1]), 3)
+    assert LANGUAGES[apart[0].argmin()] == "de"
+    assert LANGUAGES[apart[1].argmin()] == "en"
+    assert (apart[2] == 1).all()
+    assert ((apart >= 0) & (apart <= 1)).all()
+
+
+def test_long_tags_are_markup():
+    tag = '<a href="' + "u" * 5_000 + '" title="x y z">'
+    assert prose(tag + "\n" + PROSE_TEXTS[0]) < 0.5  # most characters are the tag's
+    assert prose(f"It was {tag}late</a> and nobody wanted to look at the logs again.") == 1
+    assert prose('<p\nclass="x"\nid="y">\n' + PROSE_TEXTS[0] + "\n</p>") > 0.8
+
+
 def test_mixture():
     paragraph = PROSE_TEXTS[0]
     assert prose(paragraph + "\n\n" + "- red apple\n" * 2) > 0.5
