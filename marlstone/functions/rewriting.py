@@ -10,6 +10,7 @@ import html
 import json
 import re
 from collections.abc import Callable
+from html.parser import HTMLParser
 from urllib.parse import urldefrag, urljoin, urlsplit
 
 import pandas as pd
@@ -75,17 +76,51 @@ def _routed(prefix: str, url: str) -> str:
     return f"{prefix}{PYTHON_FILES}/{_encoded(bare)}" + (f"#{fragment}" if fragment else "")
 
 
-_COMMENT_OR_ANCHOR = re.compile(r"<!--.*?-->|<(script|style)\b.*?</\1\s*>|<a(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*>", re.IGNORECASE | re.DOTALL)
+# An attribute of a tag, one after another: its name, and its value in any of the three forms.
+_ATTRIBUTE = re.compile(r"""[\s/]*([^\s/>=][^\s/>=]*)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]*))?""")
+# Elements whose content is text, up to their own end tag.
+_TEXT_ELEMENTS = frozenset({"textarea", "title", "xmp", "iframe", "noembed", "noframes"})
 
 
-def _attribute(tag: str, name: str, change: Callable[[str], str | None]) -> str:
-    pattern = re.compile(rf"(\s{name}\s*=\s*)(\"[^\"]*\"|'[^']*'|[^\s>\"']+)", re.IGNORECASE)
-    found = pattern.search(tag)
-    if not found:
+class _Anchors(HTMLParser):
+    """The places of a document's anchor tags: comments, scripts and text elements have none."""
+
+    def __init__(self, document: str) -> None:
+        super().__init__(convert_charrefs=False)
+        self.found: list[tuple[int, str]] = []
+        self._lines = [0, *(m.end() for m in re.finditer("\n", document))]
+        self.feed(document)
+        self.close()
+
+    def handle_starttag(self, tag: str, attrs: list) -> None:
+        line, column = self.getpos()
+        if tag == "a":
+            self.found.append((self._lines[line - 1] + column, self.get_starttag_text()))
+        elif tag in _TEXT_ELEMENTS:
+            self.set_cdata_mode(tag)
+
+    def handle_startendtag(self, tag: str, attrs: list) -> None:
+        self.handle_starttag(tag, attrs)
+
+
+def _rewritten_tag(tag: str, changes: dict[str, Callable[[str], str | None]]) -> str:
+    """An anchor tag with the first attribute of each name changed, spliced in by its place; one without href stays as it is."""
+    values: dict[str, tuple[int, int]] = {}
+    at, end = 2, len(tag) - 1
+    while at < end and (found := _ATTRIBUTE.match(tag, at, end)) and found.end() > at:
+        if found[2] is not None:
+            values.setdefault(found[1].lower(), found.span(2))
+        at = found.end()
+    if "href" not in values:
         return tag
-    value = found[2][1:-1] if found[2][0] in "\"'" else found[2]
-    new = change(html.unescape(value))
-    return tag if new is None else f'{tag[: found.start(2)]}"{html.escape(new)}"{tag[found.end(2) :]}'
+    for name, (start, stop) in sorted(values.items(), key=lambda v: -v[1][0]):
+        if name not in changes:
+            continue
+        raw = tag[start:stop]
+        new = changes[name](html.unescape(raw[1:-1] if raw[:1] in ("'", '"') else raw))
+        if new is not None:
+            tag = f'{tag[:start]}"{html.escape(new)}"{tag[stop:]}'
+    return tag
 
 
 def rewrite_html(upstream: str, prefix: str, project_page: bool, document: str, allowed: frozenset[str]) -> str:
@@ -102,16 +137,12 @@ def rewrite_html(upstream: str, prefix: str, project_page: bool, document: str,
             return None
         return f"{prefix}{PYTHON_INDEX}/{url[len(base) :]}"
 
-    def anchor(found: re.Match) -> str:
-        tag = found[0]
-        if not tag[:2].lower() == "<a":
-            return tag
-        if not re.search(r"\shref\s*=", tag, re.IGNORECASE):
-            return tag
-        tag = _attribute(tag, "href", file_link if project_page else index_link)
-        return _attribute(tag, "data-provenance", file_link) if project_page else tag
-
-    return _COMMENT_OR_ANCHOR.sub(anchor, document)
+    changes = {"href": file_link, "data-provenance": file_link} if project_page else {"href": index_link}
+    out, done = [], 0
+    for place, tag in _Anchors(document).found:
+        out += [document[done:place], _rewritten_tag(tag, changes)]
+        done = place + len(tag)
+    return "".join([*out, document[done:]])
 
 
 def rewrite_index_json(upstream: str, prefix: str, project_page: bool, document: str, allowed: frozenset[str]) -> str | None:

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from marlstone.operators.tables import first_wins
 
@@ -12,14 +17,35 @@ TEMPORARY_SECONDS = 3600
 
 
 def assemble(chunks: DataFrame, upload: str = "upload_id", seq: str = "seq", chunk: str = "chunk") -> DataFrame:
-    """upload, content_len, digest, body of each upload's chunks in order of seq.
+    """upload, content_len, digest of each upload's chunks in order of seq; a null chunk adds nothing.
 
-    One upload's chunks come together in one task, as a body must: uploads are bounded by the largest body allowed.
+    Chunks are folded into the digest as they come, in Arrow batches of one sorted partition: a body of any size is never held.
     """
-    ordered = F.array_sort(F.collect_list(F.struct(F.col(seq).alias("seq"), F.col(chunk).alias("chunk"))))
-    body = F.aggregate(ordered, F.lit(b""), lambda whole, c: F.concat(whole, c["chunk"]))
-    joined = chunks.groupBy(upload).agg(body.alias("body"))
-    return joined.select(upload, F.octet_length("body").cast("bigint").alias("content_len"), F.sha2("body", 256).alias("digest"), "body")
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, digest, size, begun = None, None, 0, False
+        for batch in batches:
+            out = []
+            for name, part in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if not begun or name != current:
+                    if begun:
+                        out.append((current, size, digest.hexdigest()))
+                    current, digest, size, begun = name, hashlib.sha256(), 0, True
+                if part:
+                    digest.update(part)
+                    size += len(part)
+            yield table(out)
+        if begun:
+            yield table([(current, size, digest.hexdigest())])
+
+    kind = chunks.schema[upload].dataType
+
+    def table(rows: list[tuple]) -> pa.RecordBatch:
+        columns = list(zip(*rows, strict=True)) or [(), (), ()]
+        return pa.record_batch([pa.array(columns[0], to_arrow_type(kind)), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.string())], names=[upload, "content_len", "digest"])
+
+    ordered = chunks.select(upload, seq, F.col(chunk).cast("binary").alias(chunk)).repartition(upload).sortWithinPartitions(upload, seq)
+    return ordered.select(upload, chunk).mapInArrow(fold, f"`{upload}` {kind.simpleString()}, content_len bigint, digest string")
 
 
 def staging(chunks: DataFrame, limit: int, extent: int, upload: str = "upload_id", seq: str = "seq", size: str = "size", declared: str = "declared") -> DataFrame:

@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
@@ -31,6 +32,20 @@ class Health:
         return self.next_retry is not None
 
 
+#: What a replica needs to be ready, in the order in which it looks.
+PARTS = ("metadata", "files", "space")
+
+
+def readiness(checks: DataFrame) -> DataFrame:
+    """replica, ready, failing: ready where the last check (replica, part, seq, good) of each of PARTS was good; failing: the first
+    part that wasn't, or was never looked at.
+    """
+    last = checks.groupBy("replica", "part").agg(F.max_by("good", "seq").alias("good"))
+    good = {p: F.coalesce(F.max(F.when(F.col("part") == p, F.col("good"))), F.lit(False)).alias(p) for p in PARTS}
+    failing = F.coalesce(*(F.when(~F.col(p), p) for p in PARTS))
+    return last.groupBy("replica").agg(*good.values()).select("replica", failing.isNull().alias("ready"), failing.alias("failing"))
+
+
 _OUT = "member string, seq bigint, failures bigint, ejected boolean, next_retry bigint"
 _NAMES = ["member", "seq", "failures", "ejected", "next_retry"]
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from marlstone.operators.space import concurrency
+
 # Limits of a manifest.
 MAX_AGE = 14 * 86_400
 MAX_ENTRIES = 32_768
@@ -70,6 +72,23 @@ def prefetch_summary(plan: DataFrame) -> DataFrame:
     return plan.agg(F.count(F.lit(1)).alias("advertised"), of("local"), of("wanted"), of("dropped"), size.alias("wanted_bytes"))
 
 
+def prefetch_accounting(plan: DataFrame, downloads: DataFrame) -> DataFrame:
+    """advertised, local, attempted, downloaded, missed, bytes, duration, peak_concurrency of one prefetch.
+
+    downloads: output, size, outcome (published, local: published meanwhile by someone else, anything else: missed), start, stop.
+    """
+    of = lambda o: F.count_if(F.col("outcome") == o)
+    size = F.coalesce(F.sum(F.when(F.col("outcome") == "published", F.col("size"))), F.lit(0)).cast("bigint")
+    went = downloads.agg(
+        F.count(F.lit(1)).alias("attempted"), of("published").alias("downloaded"), of("local").alias("_local"), size.alias("bytes"), (F.max("stop") - F.min("start")).alias("duration"),
+    )
+    asked = plan.agg(F.count(F.lit(1)).alias("advertised"), F.count_if(F.col("state") == "local").alias("_there"))
+    peak = concurrency(downloads.withColumn("_all", F.lit(1)), "_all", "start", "stop").agg(F.coalesce(F.max("peak"), F.lit(0)).cast("bigint").alias("peak_concurrency"))
+    one = asked.crossJoin(went).crossJoin(peak)  # one row each
+    missed = F.col("attempted") - F.col("downloaded") - F.col("_local")
+    return one.select("advertised", (F.col("_there") + F.col("_local")).alias("local"), "attempted", "downloaded", missed.alias("missed"), "bytes", "duration", "peak_concurrency")
+
+
 def latest_used(events: DataFrame, by: list[str], order: str) -> DataFrame:
     """The last use of each action: by, action, output, size."""
     return events.groupBy(*by, "action").agg(F.max(F.struct(order, "output", "size")).alias("_e")).select(*by, "action", "_e.output", "_e.size")
@@ -78,7 +97,7 @@ def latest_used(events: DataFrame, by: list[str], order: str) -> DataFrame:
 def module_path(go_mod: Column) -> Column:
     """The module that a go.mod names: the first line that begins with `module`, without comment and quotes."""
     lines = F.transform(F.split(go_mod, "\n"), lambda x: F.trim(F.regexp_replace(F.split(x, "//")[0], r"\s", " ")))
-    named = F.transform(F.filter(lines, lambda x: x.startswith("module")), lambda x: F.regexp_replace(F.trim(F.substring(x, 7, 1 << 20)), r'\A"+|"+\z', ""))
+    named = F.transform(F.filter(lines, lambda x: x.startswith("module")), lambda x: F.regexp_replace(F.trim(F.regexp_replace(x, r'\Amodule', '')), r'\A"+|"+\z', ""))
     return F.get(F.filter(named, lambda x: x != ""), 0)
 
 

@@ -49,15 +49,57 @@ def follow_redirects(requests: DataFrame, responses: DataFrame, hops: int = MAX_
     """request, url, status, hops of where each request ends: at a response that is no redirect, at a missing one (status
     null), or after `hops` redirects (the redirect itself).
 
-    responses: url, status, location. Each hop is one join of the requests still under way; their number is fixed.
+    responses: url, status, location. Each hop is one join of the requests that are still under way; those at their end are
+    set aside. Under way are only requests that were redirected, so the joins shrink, and the shuffles they share are reused.
     """
     table = responses.select(F.col("url").alias("_url"), "status", "location")
-    at = requests.select("request", "url", F.lit(0).alias("hops")).join(table, F.col("url") == F.col("_url"), "left").drop("_url")
-    for _ in range(hops):
+    way = requests.select("request", "url")
+    done = None
+    for hop in range(hops + 1):
+        at = way.join(table, F.col("url") == F.col("_url"), "left")
         on = F.coalesce(F.col("status").isin(*REDIRECTS) & F.col("location").isNotNull(), F.lit(False))
-        moved = at.select("request", F.when(on, F.col("location")).otherwise(F.col("url")).alias("url"), (F.col("hops") + on.cast("int")).alias("hops"))
-        at = moved.join(table, F.col("url") == F.col("_url"), "left").drop("_url")
-    return at.select("request", "url", "status", "hops")
+        ended = (at if hop == hops else at.filter(~on)).select("request", "url", "status", F.lit(hop).alias("hops"))
+        done = ended if done is None else done.unionByName(ended)
+        way = at.filter(on).select("request", F.col("location").alias("url"))
+    return done
+
+
+def revalidated(requests: DataFrame, ttl: int) -> DataFrame:
+    """key, id, decision, updated_at: what each request (key, id, now, status, admitted, body_kept) comes to, in order of time.
+
+    As revalidation, with the record that earlier requests of the key left: a rebound one is as new as the request, a
+    republished one has a body again, which is lost where body_kept is false. A key's requests go in sequence, streamed through
+    one task in Arrow batches; keys run side by side.
+    """
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        current, updated, body = None, None, False
+        for frame in frames:
+            decisions, times = [], []
+            for key, now, status, admitted, kept in zip(*(frame[c].tolist() for c in ("key", "now", "status", "admitted", "body_kept")), strict=True):
+                if key != current:
+                    current, updated, body = key, None, False
+                body = body and bool(kept)
+                there = updated is not None and body
+                if there and max(now - updated, 0) < ttl:
+                    decision = "cached"
+                elif status is None or status != status:
+                    decision = "unavailable"
+                elif status == 304:
+                    decision = "rebound" if there else "unavailable"
+                elif not 200 <= status <= 299:
+                    decision = "passthrough"
+                else:
+                    decision = "republished" if admitted else "uncached"
+                if decision in ("rebound", "republished"):
+                    updated, body = now, True
+                decisions.append(decision)
+                times.append(updated)
+            yield pd.DataFrame({"key": frame["key"], "id": frame["id"], "decision": decisions, "updated_at": pd.array(times, "Int64")})
+
+    kind = requests.schema["key"].dataType.simpleString()
+    ordered = requests.select("key", "id", "now", "status", "admitted", "body_kept").repartition("key").sortWithinPartitions("key", "now", "id")
+    return ordered.mapInPandas(run, f"key {kind}, id bigint, decision string, updated_at bigint")
 
 
 def flights(requests: DataFrame, ttl: int) -> DataFrame:

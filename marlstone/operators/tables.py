@@ -48,14 +48,21 @@ def patch(old: DataFrame, change: DataFrame, keys: Sequence[str], column: str, w
     return old.join(changed, list(keys), "left").withColumn(column, value).select(*old.columns)
 
 
+def store_format(meta: DataFrame, expected: str) -> DataFrame:
+    """value, error: the marker of a store (value) as it is afterwards. An empty store gets the expected one; any other marker, or
+    several, is `incompatible`, and stays.
+    """
+    found = meta.agg(F.count(F.lit(1)).alias("_n"), F.min("value").alias("_least"), F.max("value").alias("_most"))
+    good = (F.col("_n") == 0) | ((F.col("_n") == 1) & F.coalesce(F.col("_least") == expected, F.lit(False)))
+    return found.select(F.when(F.col("_n") == 0, F.lit(expected)).otherwise(F.col("_most")).alias("value"), F.when(~good, "incompatible").alias("error"))
+
+
 def verify_store_format(df: DataFrame, expected: str) -> str:
-    """The marker to write for an empty store, or the one that is there; any other marker, or several, is an error."""
-    found = [r[0] for r in df.select("value").limit(2).collect()]
-    if not found:
-        return expected
-    if found != [expected]:
-        raise ValueError(f"store format {found!r}, not {expected!r}")
-    return expected
+    """The marker to write for an empty store, or the one that is there; an incompatible one is an error."""
+    found = store_format(df, expected).first()
+    if found["error"]:
+        raise ValueError(f"store format {found['value']!r}, not {expected!r}")
+    return found["value"]
 
 
 def encode_records(df: DataFrame, version: int, column: str = "schema_version") -> DataFrame:

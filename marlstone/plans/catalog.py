@@ -10,6 +10,7 @@ from marlstone.functions.spelling import channel_key, channel_sql, digest_hex, d
 from marlstone.operators import bodies as B
 from marlstone.operators import maintenance as M
 from marlstone.operators import tables as T
+from marlstone.operators.health import readiness
 from marlstone.plans.registry import Registry, plain, portable
 from marlstone.session import cut_lineage
 from marlstone.sources.tables import table
@@ -64,14 +65,28 @@ def channels(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "channel_record")
 
 
+#: The store's format marker, the only row of the family `meta`.
+FORMAT = "1"
+
+
 @R.add("""SELECT 'channels' AS family, CAST(count(*) AS BIGINT) AS n FROM channel_record UNION ALL SELECT 'artifacts', CAST(count(*) AS BIGINT) FROM artifact_metadata
-  UNION ALL SELECT 'references', CAST(count(*) AS BIGINT) FROM reference_record UNION ALL SELECT 'eviction', CAST(count(*) AS BIGINT) FROM eviction_queue""")
+  UNION ALL SELECT 'references', CAST(count(*) AS BIGINT) FROM reference_record UNION ALL SELECT 'eviction', CAST(count(*) AS BIGINT) FROM eviction_queue UNION ALL SELECT 'meta', 1""")
 def s1_store_families(spark: SparkSession, folder: str) -> DataFrame:
     families = {"channels": "channel_record", "artifacts": "artifact_metadata", "references": "reference_record", "eviction": "eviction_queue"}
-    out = None
+    marker = T.store_format(spark.createDataFrame([], "value string"), FORMAT)
+    out = marker.filter("error is null").agg(F.count(F.lit(1)).alias("n")).select(F.lit("meta").alias("family"), "n")
     for family, name in families.items():
-        n = table(spark, folder, name).agg(F.count(F.lit(1)).alias("n")).select(F.lit(family).alias("family"), "n")
-        out = n if out is None else out.unionByName(n)
+        out = out.unionByName(table(spark, folder, name).agg(F.count(F.lit(1)).alias("n")).select(F.lit(family).alias("family"), "n"))
+    return out
+
+
+@R.add("SELECT state AS store, CASE WHEN state = 'active' THEN '1' ELSE 'deleting' END AS value, CASE WHEN state <> 'active' THEN 'incompatible' END AS error FROM channel_record GROUP BY state UNION ALL SELECT 'fresh', '1', NULL")
+def s2_store_format(spark: SparkSession, folder: str) -> DataFrame:
+    """Stores whose marker is this build's, another's, or missing, which a fresh store writes."""
+    out = T.store_format(spark.createDataFrame([], "value string"), FORMAT).select(F.lit("fresh").alias("store"), "value", "error")
+    for state in ("active", "deleting"):
+        marker = channels(spark, folder).filter(F.col("state") == state).select(F.when(F.col("state") == "active", FORMAT).otherwise(F.col("state")).alias("value")).distinct()
+        out = out.unionByName(T.store_format(marker, FORMAT).select(F.lit(state).alias("store"), "value", "error"))
     return out
 
 
@@ -154,10 +169,20 @@ def a2_hit_ratio(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-@R.add(f"SELECT bool_and(digest IS NOT NULL AND content_len >= 0) AS healthy, CAST(count(*) FILTER (content_len IS NULL OR content_len < 0) AS BIGINT) AS damaged FROM {ARTIFACTS}")
+#: Health of replicas as the events imply it: the store answers unless the last look failed, the files and the sensor likewise.
+_CHECKS = "SELECT user_id AS replica, event_id AS seq, CASE event_type WHEN 'view' THEN 'metadata' WHEN 'click' THEN 'files' ELSE 'space' END AS part, event_type <> 'error' AND value < 60 AS good FROM {events}"
+
+
+@R.add(f"""WITH l AS (SELECT replica, part, max_by(good, seq) AS good FROM ({plain(_CHECKS)}) GROUP BY 1, 2), p AS (SELECT replica, coalesce(bool_and(good) FILTER (part = 'metadata'), false) AS m, coalesce(bool_and(good) FILTER (part = 'files'), false) AS f,
+    coalesce(bool_and(good) FILTER (part = 'space'), false) AS s FROM l GROUP BY 1)
+  SELECT replica, m AND f AND s AS ready, CASE WHEN NOT m THEN 'metadata' WHEN NOT f THEN 'files' WHEN NOT s THEN 'space' END AS failing FROM p""")
 def s21_health(spark: SparkSession, folder: str) -> DataFrame:
-    good = F.coalesce(F.col("content_len") >= 0, F.lit(False))
-    return artifacts(spark, folder).agg(F.bool_and(good).alias("healthy"), F.count_if(~good).alias("damaged"))
+    return readiness(portable(spark, folder, _CHECKS))
+
+
+@R.add(f"SELECT channel_id, digest, content_len FROM {ARTIFACTS} WHERE content_len IS NULL OR content_len < 0")
+def s21_damaged_records(spark: SparkSession, folder: str) -> DataFrame:
+    return artifacts(spark, folder).filter(~F.coalesce(F.col("content_len") >= 0, F.lit(False))).select(*_KEY, "content_len")
 
 
 @R.add(f"""SELECT r.channel_id, r.name, r.digest, CASE WHEN r.digest IS NULL THEN 'unusable' WHEN a.digest IS NULL THEN 'miss' ELSE 'hit' END AS outcome, a.content_len FROM {REFERENCES} r LEFT JOIN {ARTIFACTS} a USING (channel_id, digest)""")
@@ -179,12 +204,13 @@ def w2_content_address(spark: SparkSession, folder: str) -> DataFrame:
     return B.content_addressed(bodies, "source", "digest", "size")
 
 
-@R.add("SELECT doc_id AS upload_id, CAST(octet_length(encode(text)) AS BIGINT) AS content_len, sha256(text) AS digest FROM documents WHERE text IS NOT NULL AND text <> ''")
+@R.add("SELECT doc_id AS upload_id, CAST(octet_length(encode(text)) AS BIGINT) AS content_len, sha256(text) AS digest FROM documents WHERE text IS NOT NULL")
 def w1_assemble_chunks(spark: SparkSession, folder: str) -> DataFrame:
-    texts = table(spark, folder, "documents").filter("text is not null and text <> ''").select("doc_id", F.col("text").cast("binary").alias("body"))
-    cut = F.transform(F.sequence(F.lit(0), F.expr("(octet_length(body) - 1) div 4096")), lambda i: F.struct(i.alias("seq"), F.substring(F.col("body"), i * 4096 + 1, F.lit(4096)).alias("chunk")))
+    """Texts cut into chunks of 4 KiB, the empty one into a single empty chunk, and put together again."""
+    texts = table(spark, folder, "documents").filter("text is not null").select("doc_id", F.col("text").cast("binary").alias("body"))
+    cut = F.transform(F.sequence(F.lit(0), F.expr("greatest(octet_length(body) - 1, 0) div 4096")), lambda i: F.struct(i.alias("seq"), F.substring(F.col("body"), i * 4096 + 1, F.lit(4096)).alias("chunk")))
     chunks = texts.select(F.col("doc_id").alias("upload_id"), F.explode(cut).alias("_c")).select("upload_id", "_c.*")
-    return B.assemble(chunks).select("upload_id", "content_len", "digest")
+    return B.assemble(chunks)
 
 
 _STAGED = "SELECT doc_id AS upload_id, CASE WHEN n_chars >= 0 AND doc_id % 2 = 0 THEN n_chars END AS declared, coalesce(length(text), 0) AS size FROM {documents}"
@@ -298,16 +324,16 @@ def w12_update_expiry(spark: SparkSession, folder: str) -> DataFrame:
 _GONE = "SELECT channel_id FROM channel_record WHERE state = 'deleting'"
 
 
-@R.add(f"""SELECT 'artifacts' AS family, CAST(count(*) AS BIGINT) AS n FROM {ARTIFACTS} WHERE channel_id NOT IN ({_GONE}) UNION ALL SELECT 'references', CAST(count(*) AS BIGINT) FROM {REFERENCES} WHERE channel_id NOT IN ({_GONE})
-  UNION ALL SELECT 'eviction', CAST(count(*) AS BIGINT) FROM {QUEUE} WHERE channel_id NOT IN ({_GONE}) UNION ALL SELECT 'channels', CAST(count(*) AS BIGINT) FROM channel_record WHERE channel_id NOT IN ({_GONE})
-  UNION ALL SELECT 'bodies', CAST(count(*) AS BIGINT) FROM {_FILES_SQL} WHERE channel_id NOT IN ({_GONE})""")
+@R.add(f"""SELECT 'artifacts' AS family, channel_id, digest AS key FROM {ARTIFACTS} WHERE channel_id NOT IN ({_GONE}) UNION ALL SELECT 'references', channel_id, name FROM {REFERENCES} WHERE channel_id NOT IN ({_GONE})
+  UNION ALL SELECT 'eviction', channel_id, CAST(queue_row AS VARCHAR) FROM {QUEUE} WHERE channel_id NOT IN ({_GONE}) UNION ALL SELECT 'channels', channel_id, state FROM channel_record WHERE channel_id NOT IN ({_GONE})
+  UNION ALL SELECT 'bodies', channel_id, digest FROM {_FILES_SQL} WHERE channel_id NOT IN ({_GONE})""")
 def w13_w15_finish_deletions(spark: SparkSession, folder: str) -> DataFrame:
     """What each family holds once the deletions that were under way are finished."""
     gone = channels(spark, folder).filter("state = 'deleting'").select("channel_id")
-    families = {"artifacts": artifacts, "references": references, "eviction": queue, "channels": channels, "bodies": files}
+    families = {"artifacts": (artifacts, "digest"), "references": (references, "name"), "eviction": (queue, "queue_row"), "channels": (channels, "state"), "bodies": (files, "digest")}
     out = None
-    for family, rows in families.items():
-        left = T.without(rows(spark, folder), gone, ["channel_id"]).agg(F.count(F.lit(1)).alias("n")).select(F.lit(family).alias("family"), "n")
+    for family, (rows, key) in families.items():
+        left = T.without(rows(spark, folder), gone, ["channel_id"]).select(F.lit(family).alias("family"), "channel_id", F.col(key).cast("string").alias("key"))
         out = left if out is None else out.unionByName(left)
     return out
 
@@ -401,11 +427,11 @@ def proj_p16_put_validation(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "put_record").groupBy(verdict.alias("verdict")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@R.add(f"""SELECT admitted, outcome, CAST(count(*) AS BIGINT) AS n FROM (SELECT u.pub_seq % 9 <> 0 AS admitted, CASE WHEN u.pub_seq % 9 = 0 THEN CASE WHEN route IN ('raw', 'bazel-cas') THEN 'insufficient_storage' WHEN route = 'http-cache' THEN 'bypassed' ELSE 'streamed' END ELSE 'stored' END AS outcome FROM {UPLOADS} u) GROUP BY 1, 2""")
+@R.add(f"""SELECT pub_seq, outcome FROM (SELECT u.pub_seq, CASE WHEN u.pub_seq % 9 = 0 THEN CASE WHEN route IN ('raw', 'bazel-cas') THEN 'insufficient_storage' WHEN route = 'http-cache' THEN 'bypassed' ELSE 'streamed' END ELSE 'stored' END AS outcome FROM {UPLOADS} u)""")
 def w5_publish_or_reject(spark: SparkSession, folder: str) -> DataFrame:
     """What an upload that finds no space comes to, by the contract of its route."""
     rows = uploads(spark, folder).withColumn("admitted", F.col("pub_seq") % 9 != 0)
-    return rows.groupBy("admitted", B.pressure_outcome(F.col("route"), F.col("admitted")).alias("outcome")).agg(F.count(F.lit(1)).alias("n"))
+    return rows.select("pub_seq", B.pressure_outcome(F.col("route"), F.col("admitted")).alias("outcome"))
 
 
 @R.add(f"""WITH n AS (SELECT channel_id, CASE WHEN state = 'active' AND channel_id IN (SELECT channel_id FROM {_REMOVED}) AND channel_id <> '{DEFAULT_CHANNEL}' THEN 'deleting' WHEN state = 'active' THEN 'active' END AS state FROM channel_record)

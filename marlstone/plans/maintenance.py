@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from marlstone.functions.identity import VIRTUAL_NODES, member_key, ring_position, routing_key
 from marlstone.functions.spelling import digest_hex
+from marlstone.functions.timing import next_backoff, refresh_bounds
 from marlstone.operators import maintenance as M
 from marlstone.operators import ring as G
 from marlstone.operators import space as S
@@ -260,9 +261,15 @@ def t1_running_ledger(spark: SparkSession, folder: str) -> DataFrame:
     return S.running_ledger(portable(spark, folder, _OPS), "replica", "seq").select("seq", "reserved", "committed_since", F.col("free").cast("bigint").alias("free"))
 
 
-@R.add()
+@R.add(f"""WITH RECURSIVE v AS (SELECT replica, seq, op, CAST(bytes AS BIGINT) AS bytes, row_number() OVER (PARTITION BY replica ORDER BY seq) AS n FROM ({plain(_OPS)})),
+  s AS (SELECT replica, 0 AS n, CAST(NULL AS BIGINT) AS seq, CAST(NULL AS VARCHAR) AS op, CAST(NULL AS BIGINT) AS bytes, true AS ok, CAST(0 AS BIGINT) AS free, CAST(0 AS BIGINT) AS reserved, CAST(0 AS BIGINT) AS committed_since, true AS degraded FROM (SELECT DISTINCT replica FROM v)
+    UNION ALL SELECT replica, n, seq, op, bytes, ok, CASE WHEN op = 'observe' THEN bytes ELSE free END, CASE WHEN op = 'reserve' AND ok THEN reserved + bytes WHEN op IN ('release', 'commit') THEN greatest(reserved - bytes, 0) ELSE reserved END,
+      CASE op WHEN 'observe' THEN 0 WHEN 'commit' THEN committed_since + bytes ELSE committed_since END, CASE op WHEN 'observe' THEN false WHEN 'fail' THEN true ELSE degraded END
+    FROM (SELECT v.replica, v.n, v.seq, v.op, v.bytes, s.free, s.reserved, s.committed_since, s.degraded, NOT (v.op = 'reserve' AND v.bytes > 0 AND (s.degraded OR greatest(s.free - s.reserved - s.committed_since - 50, 0) < v.bytes)) AS ok
+      FROM s JOIN v ON v.replica = s.replica AND v.n = s.n + 1))
+  SELECT replica, seq, op, bytes, ok, free, reserved, committed_since, degraded FROM s WHERE n > 0""")
 def t1_conditional_ledger(spark: SparkSession, folder: str) -> DataFrame:
-    """No SQL: whether a reservation succeeds depends on those before."""
+    """Whether a reservation succeeds depends on those before."""
     ops = portable(spark, folder, _OPS).withColumn("bytes", F.col("bytes").cast("bigint"))
     return S.ledger(ops, headroom=50)
 
@@ -283,8 +290,8 @@ _LIFETIMES = "SELECT event_id, event_id % 700 AS ttl FROM {events}"
 @R.add(f"SELECT event_id, 700 * least(greatest(ttl, 5), 300) AS earliest_ms, 900 * least(greatest(ttl, 5), 300) AS latest_ms, least(ttl * 2, 60) AS backoff FROM ({plain(_LIFETIMES)})")
 def f36_refresh_bounds(spark: SparkSession, folder: str) -> DataFrame:
     """Between which a refresh is due, in milliseconds, and how long a failed one waits."""
-    kept = F.least(F.greatest(F.col("ttl"), F.lit(5)), F.lit(300))
-    return portable(spark, folder, _LIFETIMES).select("event_id", (kept * 700).alias("earliest_ms"), (kept * 900).alias("latest_ms"), F.least(F.col("ttl") * 2, F.lit(60)).alias("backoff"))
+    earliest, latest = refresh_bounds(F.col("ttl"), 5, 300)
+    return portable(spark, folder, _LIFETIMES).select("event_id", earliest.alias("earliest_ms"), latest.alias("latest_ms"), next_backoff(F.col("ttl"), 60).alias("backoff"))
 
 
 _AVAILABLE = "SELECT user_id AS replica, event_id AS seq, CAST(event_id * 7919 % 40 AS BIGINT) AS available FROM {events}"
@@ -321,7 +328,11 @@ def o12_peak_concurrency(spark: SparkSession, folder: str) -> DataFrame:
     return S.concurrency(portable(spark, folder, _SPANS_SPARK), "group", "start", "stop")
 
 
-@R.add()
+@R.add(f"""WITH RECURSIVE v AS (SELECT "group", id, start, stop, row_number() OVER (PARTITION BY "group" ORDER BY start, id) AS n FROM ({plain(_SPANS)})),
+  s AS (SELECT "group", 0 AS n, CAST(NULL AS BIGINT) AS id, false AS admitted, CAST([] AS BIGINT[]) AS held FROM (SELECT DISTINCT "group" FROM v)
+    UNION ALL SELECT "group", n, id, len(held) < 4, CASE WHEN len(held) < 4 THEN list_append(held, stop) ELSE held END
+    FROM (SELECT v."group", v.n, v.id, v.stop, list_filter(s.held, lambda x: x > v.start) AS held FROM s JOIN v ON v."group" = s."group" AND v.n = s.n + 1))
+  SELECT "group", id, admitted FROM s WHERE n > 0""")
 def t10_admissions(spark: SparkSession, folder: str) -> DataFrame:
-    """No SQL: a rejected request frees a permit for the next one."""
+    """A rejected request frees a permit for the next one."""
     return S.admissions(portable(spark, folder, _SPANS_SPARK).withColumn("end", F.col("stop")), permits=4)

@@ -10,7 +10,9 @@ from marlstone.functions.spelling import digest_hex, digest_sql
 from marlstone.operators import manifest as N
 from marlstone.operators import metrics as X
 from marlstone.operators import proxy as Y
+from marlstone.functions.timing import backoff_after, refresh_bounds
 from marlstone.operators.health import ejections
+from marlstone.operators.ring import failure_streaks
 from marlstone.operators.running import running_last
 from marlstone.plans.registry import Registry, plain, portable
 from marlstone.sources import protocol as P
@@ -100,6 +102,19 @@ def a12_prefetch_summary(spark: SparkSession, folder: str) -> DataFrame:
     return N.prefetch_summary(j9_prefetch_plan(spark, folder))
 
 
+#: How the downloads of wanted outputs went, by their digests: where most are published, some were local meanwhile, some missed.
+_DOWNLOADS = "SELECT output, size, CASE WHEN substr(output, 1, 1) IN ('e', 'f') THEN 'miss' WHEN substr(output, 1, 1) = 'd' THEN 'local' ELSE 'published' END AS outcome, size % 5000 AS start, size % 5000 + 1 + size % 70 AS stop FROM {plan} WHERE state = 'wanted'"
+
+
+@R.add(f"""WITH p AS ({_PREFETCH}), d AS ({_DOWNLOADS.replace('{plan}', 'p')}), e AS (SELECT start AS t, 1 AS step FROM d UNION ALL SELECT stop, -1 FROM d), c AS (SELECT sum(sum(step)) OVER (ORDER BY t) AS open FROM e GROUP BY t)
+  SELECT (SELECT CAST(count(*) AS BIGINT) FROM p) AS advertised, (SELECT CAST(count(*) AS BIGINT) FROM p WHERE state = 'local') + CAST(count(*) FILTER (outcome = 'local') AS BIGINT) AS local, CAST(count(*) AS BIGINT) AS attempted,
+    CAST(count(*) FILTER (outcome = 'published') AS BIGINT) AS downloaded, CAST(count(*) FILTER (outcome = 'miss') AS BIGINT) AS missed, CAST(coalesce(sum(size) FILTER (outcome = 'published'), 0) AS BIGINT) AS bytes,
+    CAST(max(stop) - min(start) AS BIGINT) AS duration, (SELECT CAST(coalesce(max(open), 0) AS BIGINT) FROM c) AS peak_concurrency FROM d""")
+def a12_prefetch_accounting(spark: SparkSession, folder: str) -> DataFrame:
+    plan = j9_prefetch_plan(spark, folder)
+    return N.prefetch_accounting(plan, spark.sql(_DOWNLOADS, plan=plan))
+
+
 @R.add(f"SELECT label, CAST(count(DISTINCT {_D}) AS BIGINT) AS outputs, CAST(count(DISTINCT action) AS BIGINT) AS actions FROM manifest_entry GROUP BY 1")
 def a14_u4_distinct_outputs(spark: SparkSession, folder: str) -> DataFrame:
     rows = table(spark, folder, "manifest_entry").select("label", "action", digest_hex(F.col("output")).alias("output"))
@@ -154,10 +169,10 @@ def f30_f32_session_label(spark: SparkSession, folder: str) -> DataFrame:
 # --- protocol --------------------------------------------------------------------------------------------------------------
 
 
-@R.add("SELECT doc_id, 'put' AS command, sha256('action' || CAST(doc_id AS VARCHAR)) AS action, sha256(text) AS output, CAST(octet_length(encode(text)) AS BIGINT) AS size, CASE WHEN doc_id % 5 = 0 THEN 'body' END AS error, sha256(text) AS body_digest FROM documents WHERE text IS NOT NULL AND text <> '' UNION ALL SELECT doc_id, NULL, NULL, NULL, 0, 'malformed', NULL FROM documents WHERE text IS NOT NULL AND text <> '' AND doc_id % 7 = 0")
+@R.add("SELECT doc_id, 'put' AS command, sha256('action' || CAST(doc_id AS VARCHAR)) AS action, sha256(text) AS output, CAST(octet_length(encode(text)) AS BIGINT) AS size, CASE WHEN doc_id % 5 = 0 THEN 'body' END AS error, sha256(text) AS body_digest FROM documents WHERE text IS NOT NULL UNION ALL SELECT doc_id, NULL, NULL, NULL, 0, 'malformed', NULL FROM documents WHERE text IS NOT NULL AND doc_id % 7 = 0")
 def s18_p16_protocol_requests(spark: SparkSession, folder: str) -> DataFrame:
     """A stream of lines for each document: a put, a blank line, its body, and now and then a broken line."""
-    texts = table(spark, folder, "documents").filter("text is not null and text <> ''")
+    texts = table(spark, folder, "documents").filter("text is not null")
     b64 = lambda c: F.translate(F.base64(c), "\r\n", "")
     size = F.octet_length("text") + F.when(F.col("doc_id") % 5 == 0, 1).otherwise(0)
     request = F.to_json(F.struct(
@@ -196,12 +211,30 @@ def t7_p3_revalidation(spark: SparkSession, folder: str) -> DataFrame:
     return Y.revalidation(portable(spark, folder, _REVALIDATED), 300_000).select("ref_row", "decision")
 
 
+_VISITS = "SELECT event_id AS id, user_id AS key, event_id AS now, CASE event_type WHEN 'view' THEN 304 WHEN 'click' THEN 200 WHEN 'signup' THEN 404 WHEN 'purchase' THEN 200 END AS status, value < 40 AS admitted, value > 3 AS body_kept FROM {events}"
+_VISIT_TTL = 300
+
+
+@R.add(f"""WITH RECURSIVE v AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY now, id) AS n FROM ({plain(_VISITS)})),
+  s AS (SELECT key, 0 AS n, CAST(NULL AS BIGINT) AS id, CAST(NULL AS BIGINT) AS updated, false AS body, CAST(NULL AS VARCHAR) AS decision FROM (SELECT DISTINCT key FROM v)
+    UNION ALL SELECT key, n, id, CASE WHEN decision IN ('rebound', 'republished') THEN now ELSE updated END, CASE WHEN decision = 'republished' THEN true ELSE there END, decision FROM (
+      SELECT *, CASE WHEN updated IS NOT NULL AND there AND greatest(now - updated, 0) < {_VISIT_TTL} THEN 'cached' WHEN status IS NULL THEN 'unavailable' WHEN status = 304 THEN CASE WHEN updated IS NOT NULL AND there THEN 'rebound' ELSE 'unavailable' END
+        WHEN status NOT BETWEEN 200 AND 299 THEN 'passthrough' WHEN admitted THEN 'republished' ELSE 'uncached' END AS decision
+      FROM (SELECT v.key, v.n, v.id, v.now, v.status, v.admitted, s.updated, s.body AND v.body_kept AS there FROM s JOIN v ON v.key = s.key AND v.n = s.n + 1)))
+  SELECT id, decision, updated AS updated_at FROM s WHERE n > 0""")
+def t7_revalidation_through_time(spark: SparkSession, folder: str) -> DataFrame:
+    return Y.revalidated(portable(spark, folder, _VISITS), _VISIT_TTL).select("id", "decision", "updated_at")
+
+
 _FLIGHTS = "SELECT DISTINCT pub_seq AS id, coalesce(channel_id, '') || ':' || route AS key, pub_seq * 3 AS at, pub_seq % 4 <> 0 AS ok FROM {put_record}"
 
 
-@R.add()
+@R.add(f"""WITH RECURSIVE v AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY "at", id) AS n FROM (SELECT * FROM ({plain(_FLIGHTS)}))),
+  s AS (SELECT key, 0 AS n, CAST(NULL AS BIGINT) AS id, CAST(NULL AS BIGINT) AS since, false AS ask FROM (SELECT DISTINCT key FROM v)
+    UNION ALL SELECT key, n, id, CASE WHEN ask AND ok THEN "at" ELSE since END, ask FROM (SELECT v.key, v.n, v.id, v."at", v.ok, s.since, s.since IS NULL OR greatest(v."at" - s.since, 0) >= 300 AS ask FROM s JOIN v ON v.key = s.key AND v.n = s.n + 1))
+  SELECT key, id, ask AS fetched FROM s WHERE n > 0""")
 def t5_flights(spark: SparkSession, folder: str) -> DataFrame:
-    """No SQL: whether a request asks the upstream depends on how those before it ended."""
+    """Whether a request asks the upstream depends on how those before it ended."""
     return Y.flights(portable(spark, folder, _FLIGHTS), 300)
 
 
@@ -270,6 +303,23 @@ def f24_rewrite_html(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("pub_seq", rewrite(F.lit("https://files.example/simple/pkg"), F.lit("/p"), F.lit(True), page).alias("html"))
 
 
+#: Pages whose markup a pattern would misread, and what they become: attributes inside values, text elements, other spellings.
+_PAGES = {
+    '<a title=" href=z" href="pkg/">t</a>': "<a title=\" href=z\" href=\"/p/proxy/python/simple/pkg/\">t</a>", "<textarea><a href='q/'>no</a></textarea><A HREF=q/ >y</A>": '<textarea><a href=\'q/\'>no</a></textarea><A HREF="/p/proxy/python/simple/q/" >y</A>',
+    '<script>s = "<a href=\\"r/\\">";</script><!-- <a href="c/"> --><a\n href = "r/"\n>r</a>': '<script>s = "<a href=\\"r/\\">";</script><!-- <a href="c/"> --><a\n href = "/p/proxy/python/simple/r/"\n>r</a>', '<a name=n>n</a><a href="../up/">u</a><abbr href="x/">a</abbr>': '<a name=n>n</a><a href="../up/">u</a><abbr href="x/">a</abbr>',
+}
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+@R.add("SELECT * FROM (VALUES " + ", ".join(f"({i}, {_quoted(page)})" for i, page in enumerate(_PAGES.values())) + ") AS t(page, html)")
+def f24_rewrite_misleading_html(spark: SparkSession, folder: str) -> DataFrame:
+    pages = spark.createDataFrame(list(enumerate(_PAGES)), "page int, document string")
+    return pages.select("page", W.rewriter("html", _ALLOWED)(F.lit("https://files.example/simple/"), F.lit("/p"), F.lit(False), F.col("document")).alias("html"))
+
+
 @R.add("SELECT pub_seq, '{\"meta\":{\"v\":1},\"files\":[{\"filename\":\"f\",\"url\":\"/proxy/python/files/' || " + _B64.format("'https://files.example/' || digest") + " || '#s\",\"yanked\":false},{\"url\":\"https://else.example/z\"}]}' AS json FROM (SELECT DISTINCT pub_seq, " + _USABLE + " AS digest FROM put_record) WHERE digest IS NOT NULL")
 def f25_rewrite_index_json(spark: SparkSession, folder: str) -> DataFrame:
     rows = _usable(spark, folder)
@@ -315,9 +365,14 @@ def s16_redirects(spark: SparkSession, folder: str) -> DataFrame:
     return Y.follow_redirects(responses.select(F.col("url").alias("request"), "url"), responses)
 
 
-@R.add()
+@R.add("""WITH RECURSIVE v AS (SELECT CAST(user_id AS VARCHAR) AS member, event_id AS seq, CAST(floor(epoch(ts)) AS BIGINT) AS now, CASE event_type WHEN 'error' THEN 'fail' WHEN 'view' THEN 'look' ELSE 'success' END AS event,
+    row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events),
+  s AS (SELECT member, 0 AS n, CAST(NULL AS BIGINT) AS seq, CAST(0 AS BIGINT) AS failures, CAST(NULL AS BIGINT) AS next_retry FROM (SELECT DISTINCT member FROM v)
+    UNION ALL SELECT v.member, v.n, v.seq, CASE WHEN v.event = 'fail' THEN s.failures + 1 WHEN v.event = 'success' OR v.now >= s.next_retry THEN 0 ELSE s.failures END,
+      CASE WHEN v.event = 'look' AND v.now >= s.next_retry THEN NULL WHEN v.event = 'fail' AND s.next_retry IS NULL AND s.failures + 1 >= 2 THEN v.now + 86400 ELSE s.next_retry END FROM s JOIN v ON v.member = s.member AND v.n = s.n + 1)
+  SELECT member, seq, failures, next_retry IS NOT NULL AS ejected, next_retry FROM s WHERE n > 0""")
 def t4_ejections(spark: SparkSession, folder: str) -> DataFrame:
-    """No SQL: when a member is let in again depends on when it was put out."""
+    """When a member is let in again depends on when it was put out."""
     kind = F.when(F.col("event_type") == "error", "fail").when(F.col("event_type") == "view", "look").otherwise("success")
     seconds = F.unix_timestamp(F.col("ts").cast("timestamp"))
     events = table(spark, folder, "events").select(F.col("user_id").cast("string").alias("member"), F.col("event_id").alias("seq"), seconds.alias("now"), kind.alias("event"))
@@ -333,14 +388,97 @@ def t12_last_good_snapshot(spark: SparkSession, folder: str) -> DataFrame:
     return running_last(rows, ["service"], "event_id", {"snapshot": F.col("snapshot")}).select("event_id", "snapshot")
 
 
+_REFRESHES = "SELECT event_id, user_id AS service, event_type = 'error' AS failed, event_id % 700 AS ttl FROM {events}"
+
+
+@R.add(f"""WITH r AS (SELECT *, sum(CASE WHEN failed THEN 0 ELSE 1 END) OVER (PARTITION BY service ORDER BY event_id) AS island FROM ({plain(_REFRESHES)})),
+  f AS (SELECT *, sum(CASE WHEN failed THEN 1 ELSE 0 END) OVER (PARTITION BY service, island ORDER BY event_id) AS streak FROM r)
+  SELECT event_id, CASE WHEN NOT failed THEN 700 * least(greatest(ttl, 5), 300) END AS earliest_ms, CASE WHEN NOT failed THEN 900 * least(greatest(ttl, 5), 300) END AS latest_ms,
+    CASE WHEN failed THEN CAST(least(pow(2, streak - 1), 60) AS BIGINT) END AS backoff FROM f""")
+def t12_refresh_schedule(spark: SparkSession, folder: str) -> DataFrame:
+    """When the next refresh follows each one: within its clamped lifetime after a success, doubled waits after failures in a row."""
+    rows = failure_streaks(portable(spark, folder, _REFRESHES), "service", "event_id")
+    earliest, latest = refresh_bounds(F.col("ttl"), 5, 300)
+    good = ~F.col("failed")
+    return rows.select("event_id", F.when(good, earliest).alias("earliest_ms"), F.when(good, latest).alias("latest_ms"), backoff_after(F.col("streak"), 1, 60).alias("backoff"))
+
+
 # --- metrics -----------------------------------------------------------------------------------------------------------------
 
-_CONDITIONS = {"requests": "true", "views": "event_type = 'view'", "errors": "event_type = 'error'", "large": "value > 50"}
+# What happened on a replica and on an agent, as the events imply it: the kind by the value, the rest by the type.
+_REPLICA_EVENTS = ("request", "hit", "miss", "staged", "denied", "reclaimed", "requeued", "bypassed", "refused", "admitted", "released", "rejected", "prefetch", "prefetch_response", "prefetch_end", "space")
+_AGENT_EVENTS = ("request", "forwarded", "forward_failed", "miss_made", "bypass_made", "unavailable", "ejected", "prefetch", "prefetch_response", "prefetch_end")
+
+
+def _log_sql(events: tuple[str, ...]) -> str:
+    kinds = " ".join(f"WHEN {i} THEN '{e}'" for i, e in enumerate(events))
+    return f"""SELECT event_id AS seq, CASE CAST(floor(value) AS INT) % {len(events)} {kinds} END AS event, CAST(round(value * 100) AS BIGINT) AS amount, event_type <> 'error' AS completed,
+      CASE event_type WHEN 'view' THEN 200 WHEN 'click' THEN 206 WHEN 'signup' THEN 404 WHEN 'purchase' THEN 304 ELSE 503 END AS status, event_id * 10 AS free, event_id * 2 AS reserved, event_id AS committed FROM {{events}}"""
+
+
+_REPLICA_LOG, _AGENT_LOG = _log_sql(_REPLICA_EVENTS), _log_sql(_AGENT_EVENTS)
+_FOREGROUND = 256
+_OUTCOME_SQL = {"hit": "status BETWEEN 200 AND 299", "miss": "status = 404", "unavailable": "status NOT BETWEEN 200 AND 299 AND status <> 404"}
+_END_SQL = {"completed": "completed", "cancelled": "NOT completed"}
 
 
-@R.add(" UNION ALL ".join([f"SELECT '{n}' AS name, CAST(count(*) FILTER ({c}) AS BIGINT) AS value FROM events" for n, c in _CONDITIONS.items()] + ["SELECT 'cents', CAST(sum(CAST(round(value * 100) AS BIGINT)) AS BIGINT) FROM events"]))
-def a1_a7_counters(spark: SparkSession, folder: str) -> DataFrame:
-    return X.counters(table(spark, folder, "events"), {n: F.expr(c) for n, c in _CONDITIONS.items()}, {"cents": F.round(F.col("value") * 100).cast("bigint")})
+def _metric_sql(log: str, metrics: list[tuple[str, str, str, str]]) -> str:
+    parts = [f"SELECT '{n}' AS name, '{k}' AS kind, '{labels}' AS labels, CAST({v} AS BIGINT) AS value FROM l" for n, k, labels, v in metrics]
+    return f"WITH l AS ({plain(log)}) SELECT * FROM ({' UNION ALL '.join(parts)}) WHERE labels = '' OR value > 0"
+
+
+def _n(event: str, more: str = "") -> str:
+    return f"count(*) FILTER (event = '{event}'{' AND ' + more if more else ''})"
+
+
+def _sum(event: str) -> str:
+    return f"coalesce(sum(amount) FILTER (event = '{event}'), 0)"
+
+
+_REPLICA_SQL = _metric_sql(_REPLICA_LOG, [
+    ("requests_total", "counter", "", _n("request")), ("artifact_hits_total", "counter", "", _n("hit")), ("artifact_misses_total", "counter", "", _n("miss")),
+    ("bytes_read_total", "counter", "", _sum("hit")), ("bytes_written_total", "counter", "", _sum("staged")), ("authorization_denials_total", "counter", "", _n("denied")),
+    ("maintenance_reclaimed_total", "counter", "", _sum("reclaimed")), ("maintenance_requeued_total", "counter", "", _n("requeued")), ("build_cache_bypasses_total", "counter", "", _n("bypassed")),
+    ("raw_pressure_errors_total", "counter", "", _n("refused")), ("foreground_concurrency_limit", "gauge", "", f"max({_FOREGROUND})"), ("foreground_in_flight", "gauge", "", f"{_n('admitted')} - {_n('released')}"),
+    ("foreground_rejections_total", "counter", "", _n("rejected")), ("prefetch_requests_total", "counter", "", _n("prefetch")),
+    *(("prefetch_responses_total", "counter", f'outcome="{o}"', _n("prefetch_response", c)) for o, c in _OUTCOME_SQL.items()),
+    ("prefetch_in_flight", "gauge", "", f"{_n('prefetch')} - {_n('prefetch_end')}"), *(("prefetch_transfers_total", "counter", f'outcome="{o}"', _n("prefetch_end", c)) for o, c in _END_SQL.items()),
+    ("prefetch_response_bytes_total", "counter", "", _sum("prefetch_end")),
+    *((n, "gauge", "", f"coalesce(max_by({c}, seq) FILTER (event = 'space'), 0)") for n, c in (("free_observed_bytes", "free"), ("reserved_bytes", "reserved"), ("committed_since_bytes", "committed"))),
+])
+_RING = "SELECT count(*) AS members, count(CASE WHEN n > 20 THEN 1 END) AS ejected FROM (SELECT user_id, count(*) AS n FROM {events} WHERE event_type = 'error' GROUP BY user_id)"
+_AGENT_SQL = _metric_sql(_AGENT_LOG, [
+    ("requests_total", "counter", "", _n("request")), ("forwarded_total", "counter", "", _n("forwarded")), ("forward_failures_total", "counter", "", _n("forward_failed")),
+    ("synthesized_misses_total", "counter", "", _n("miss_made")), ("synthesized_write_bypasses_total", "counter", "", _n("bypass_made")), ("unavailable_total", "counter", "", _n("unavailable")),
+    ("ejections_total", "counter", "", _n("ejected")), ("prefetch_requests_total", "counter", "", _n("prefetch")),
+    *((f"prefetch_{n}_total", "counter", "", _n("prefetch_response", _OUTCOME_SQL[o])) for n, o in (("hits", "hit"), ("misses", "miss"), ("unavailable", "unavailable"))),
+    ("prefetch_response_bytes_total", "counter", "", _sum("prefetch_end")), ("prefetch_in_flight", "gauge", "", f"{_n('prefetch')} - {_n('prefetch_end')}"),
+    *((f"prefetch_{o}_total", "counter", "", _n("prefetch_end", c)) for o, c in _END_SQL.items()),
+]) + f" UNION ALL SELECT 'ring_members', 'gauge', '', CAST(members AS BIGINT) FROM ({plain(_RING)}) UNION ALL SELECT 'ring_ejected', 'gauge', '', CAST(ejected AS BIGINT) FROM ({plain(_RING)})"
+
+
+@R.add(_REPLICA_SQL)
+def a1_replica_metrics(spark: SparkSession, folder: str) -> DataFrame:
+    return X.replica_metrics(portable(spark, folder, _REPLICA_LOG), _FOREGROUND)
+
+
+@R.add(_AGENT_SQL)
+def a7_agent_metrics(spark: SparkSession, folder: str) -> DataFrame:
+    return X.agent_metrics(portable(spark, folder, _AGENT_LOG), portable(spark, folder, _RING))
+
+
+_REQUESTS = "SELECT CASE WHEN event_type IN ('view', 'click') THEN 'GET' ELSE 'PUT' END AS method, CASE WHEN value < 30 THEN 'raw' ELSE 'http-cache' END AS route, CASE event_type WHEN 'error' THEN 503 WHEN 'signup' THEN 404 ELSE 200 END AS status, CAST(round(value * 20000) AS BIGINT) AS micros FROM {events}"
+
+
+def _series_sql(rows: str, labels: str, bounds: tuple[float, ...]) -> str:
+    out = " UNION ALL ".join(f"SELECT {labels}, 'bucket' AS series, '{b:g}' AS le, CAST(count(*) FILTER (micros / 1000000.0 <= {b!r}) AS BIGINT) AS value FROM r GROUP BY ALL" for b in bounds)
+    return f"""WITH r AS ({plain(rows)}) {out} UNION ALL SELECT {labels}, 'bucket', '+Inf', CAST(count(micros) AS BIGINT) FROM r GROUP BY ALL
+      UNION ALL SELECT {labels}, 'sum', NULL, CAST(sum(micros) AS BIGINT) FROM r GROUP BY ALL UNION ALL SELECT {labels}, 'count', NULL, CAST(count(micros) AS BIGINT) FROM r GROUP BY ALL"""
+
+
+@R.add(_series_sql(_REQUESTS, "method, route, status", X.REQUEST_BOUNDS))
+def a3_a4_request_histogram(spark: SparkSession, folder: str) -> DataFrame:
+    return X.histogram_series(portable(spark, folder, _REQUESTS), ["method", "route", "status"], "micros", X.REQUEST_BOUNDS)
 
 
 _BOUNDS = tuple(b * 10 for b in X.TRANSFER_BOUNDS)
@@ -359,10 +497,25 @@ def a5_prefetch_outcomes(spark: SparkSession, folder: str) -> DataFrame:
     return portable(spark, folder, _STATUS).groupBy(X.fetch_outcome(F.col("status")).alias("outcome")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@R.add("SELECT user_id, CAST(count(*) AS BIGINT) AS chunks, CAST(sum(CAST(round(value * 100) AS BIGINT)) AS BIGINT) AS bytes, CASE WHEN max_by(event_type, event_id) = 'error' THEN 'cancelled' ELSE 'completed' END AS outcome FROM events GROUP BY 1")
+#: Chunks of response bodies; a body (a user's day) that ends with an error was cancelled.
+_CHUNKS = "SELECT user_id * 100 + extract(DAY FROM ts) AS transfer, event_id, ts, CAST(round(value * 100) AS BIGINT) AS bytes, event_type <> 'error' AS good FROM {events}"
+_TRANSFERS = f"SELECT transfer, count(*) AS chunks, sum(bytes) AS bytes, CASE WHEN max_by(good, event_id) THEN 'completed' ELSE 'cancelled' END AS outcome, epoch_us(max(ts)) - epoch_us(min(ts)) AS micros FROM ({plain(_CHUNKS)}) GROUP BY 1"
+
+
+def _transfers(spark: SparkSession, folder: str) -> DataFrame:
+    return X.transfers(portable(spark, folder, _CHUNKS), "transfer", "event_id", "ts")
+
+
+@R.add(f"SELECT CAST(transfer AS BIGINT) AS transfer, CAST(chunks AS BIGINT) AS chunks, CAST(bytes AS BIGINT) AS bytes, outcome, CAST(micros AS BIGINT) AS micros FROM ({_TRANSFERS})")
 def a6_t14_prefetch_bodies(spark: SparkSession, folder: str) -> DataFrame:
-    rows = table(spark, folder, "events").groupBy("user_id").agg(F.count(F.lit(1)).alias("chunks"), F.sum(F.round(F.col("value") * 100).cast("bigint")).alias("bytes"), F.max_by("event_type", "event_id").alias("_last"))
-    return rows.select("user_id", "chunks", "bytes", F.when(F.col("_last") == "error", "cancelled").otherwise("completed").alias("outcome"))
+    return _transfers(spark, folder).withColumn("transfer", F.col("transfer").cast("bigint"))
+
+
+@R.add(_series_sql(f"SELECT outcome, CAST(micros // 1000 AS BIGINT) AS micros FROM ({_TRANSFERS})", "outcome", X.TRANSFER_BOUNDS))
+def a6_transfer_durations(spark: SparkSession, folder: str) -> DataFrame:
+    """Durations in thousandths, so that days fall between the bounds of seconds."""
+    rows = _transfers(spark, folder).withColumn("micros", F.expr("micros div 1000"))
+    return X.histogram_series(rows, ["outcome"], "micros", X.TRANSFER_BOUNDS)
 
 
 @R.add("SELECT event_type, CAST(round(1000000.0 * count(*) FILTER (value > 20) / count(*)) AS BIGINT) AS occupancy_ppm FROM events GROUP BY 1")
@@ -371,9 +524,10 @@ def a17_occupancy(spark: SparkSession, folder: str) -> DataFrame:
     return shares.select("event_type", F.round(F.col("r") * 1000000.0).cast("bigint").alias("occupancy_ppm"))
 
 
-@R.add(f"SELECT '# TYPE ' || name || ' counter' || chr(10) || name || ' ' || CAST(value AS VARCHAR) AS value FROM ({SQL['a1_a7_counters']})")
+@R.add(f"""SELECT name, '# TYPE ' || name || ' ' || kind || chr(10) || string_agg(name || CASE WHEN labels <> '' THEN '{{' || labels || '}}' ELSE '' END || ' ' || CAST(value AS VARCHAR), chr(10)
+  ORDER BY name || CASE WHEN labels <> '' THEN '{{' || labels || '}}' ELSE '' END || ' ' || CAST(value AS VARCHAR)) AS text FROM ({_REPLICA_SQL}) GROUP BY name, kind""")
 def w21_exposition(spark: SparkSession, folder: str) -> DataFrame:
-    return X.exposition(a1_a7_counters(spark, folder))
+    return X.exposition(a1_replica_metrics(spark, folder))
 
 
 @R.add("SELECT CAST(time_bucket(INTERVAL 1 HOUR, ts) AS TIMESTAMP) AS start, event_type AS kind, CAST(count(*) AS BIGINT) AS n FROM events GROUP BY 1, 2")

@@ -29,14 +29,3 @@ class Settings:
             raise ValueError("thresholds can't be negative")
         if self.high < self.low:
             raise ValueError("the upper threshold is below the lower one")
-
-
-def refresh_bounds(ttl: float, least: float, most: float) -> tuple[float, float]:
-    """Between which a refresh is due: 0.7 to 0.9 of the lifetime, which is kept within its limits."""
-    kept = min(max(ttl, least), most)
-    return 0.7 * kept, 0.9 * kept
-
-
-def next_backoff(current: float, most: float) -> float:
-    """A failed refresh waits twice as long, up to a limit."""
-    return min(2 * current, most)

@@ -12,7 +12,8 @@ from marlstone.functions import rewriting as W
 from marlstone.functions import spelling as S
 from marlstone.operators.manifest import module_path
 from marlstone.operators.ring import ring_owners, ring_points
-from marlstone.settings import Settings, next_backoff, refresh_bounds
+from marlstone.functions.timing import backoff_after, next_backoff, refresh_bounds
+from marlstone.settings import Settings
 
 FIXTURES = (Path(__file__).resolve().parent.parent / "FIXTURES.md").read_text()
 A = "0f7fe6f9a72d9298a0295e64c400b485b0a4118bcdcd7d100e9d9c1a1ea115c5"
@@ -215,5 +216,10 @@ def test_settings():
     for bad in ({"low": 9 << 30}, {"extent": 0}, {"headroom": -1}):
         with pytest.raises(ValueError):
             Settings(**bad)
-    assert refresh_bounds(1, 10, 100) == (7.0, 9.0)
-    assert next_backoff(40, 60) == 60
+
+
+def test_refreshes(spark):
+    assert [one(spark, c) for c in refresh_bounds(F.lit(1), 10, 100)] == [7_000, 9_000]
+    assert [one(spark, c) for c in refresh_bounds(F.lit(500), 10, 100)] == [70_000, 90_000]
+    assert one(spark, next_backoff(F.lit(40), 60)) == 60
+    assert [one(spark, backoff_after(F.lit(n), 1, 60)) for n in (0, 1, 2, 6, 7, 10_000)] == [None, 1, 2, 32, 60, 60]

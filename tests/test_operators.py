@@ -281,7 +281,41 @@ def test_metrics(spark):
     spans = spark.createDataFrame([(1, i, s, e) for i, (s, e) in enumerate([(0, 5), (1, 3), (3, 4), (5, 6)])], "group bigint, id bigint, start bigint, end bigint")
     assert S.concurrency(spans, "group", "start", "end").first().asDict() == {"group": 1, "peak": 2, "spans": 4}
     assert [r["admitted"] for r in S.admissions(spans, 1).orderBy("id").collect()] == [True, False, False, True]
-    assert X.exposition(spark.createDataFrame([("n", 3)], "name string, value bigint")).first()["value"] == "# TYPE n counter\nn 3"
+    exported = X.exposition(spark.createDataFrame([("n", "gauge", 'b="2"', 3), ("n", "gauge", 'b="1"', 4)], "name string, kind string, labels string, value bigint"))
+    assert exported.first()["text"] == '# TYPE n gauge\nn{b="1"} 4\nn{b="2"} 3'
+
+
+LOG = "seq bigint, event string, amount bigint, status int, completed boolean, free bigint, reserved bigint, committed bigint"
+
+
+def test_metrics_of_nothing_and_of_one(spark):
+    none = {(r["name"], r["labels"]): r["value"] for r in X.replica_metrics(spark.createDataFrame([], LOG), 7).collect()}
+    assert len(none) == 19
+    assert {n for n, v in none.items() if v} == {("foreground_concurrency_limit", "")}
+    rows = [(1, "prefetch", 0, None, None, 0, 0, 0), (2, "prefetch_response", 0, 404, None, 0, 0, 0), (3, "prefetch_end", 9, None, False, 0, 0, 0), (5, "space", 0, None, None, 1, 2, 3), (4, "space", 0, None, None, 7, 7, 7)]
+    found = {(r["name"], r["labels"]): r["value"] for r in X.replica_metrics(spark.createDataFrame(rows, LOG), 7).collect()}
+    assert found["foreground_concurrency_limit", ""] == 7
+    assert found["prefetch_responses_total", 'outcome="miss"'] == found["prefetch_transfers_total", 'outcome="cancelled"'] == 1
+    assert ("prefetch_responses_total", 'outcome="hit"') not in found
+    assert (found["prefetch_in_flight", ""], found["prefetch_response_bytes_total", ""]) == (0, 9)
+    assert (found["free_observed_bytes", ""], found["committed_since_bytes", ""]) == (1, 3)
+
+
+def test_assembling(spark):
+    import hashlib
+
+    big = [("a", i, bytes([i % 251]) * 1_000) for i in range(300)]
+    chunks = spark.createDataFrame([*big, ("b", 0, b""), ("c", 1, b"y"), ("c", 0, b"x"), ("d", 0, None), (None, 0, b"n")], "upload_id string, seq int, chunk binary").repartition(5)
+    found = {r["upload_id"]: (r["content_len"], r["digest"]) for r in B.assemble(chunks).collect()}
+    whole = {"a": b"".join(c for _, _, c in big), "b": b"", "c": b"xy", "d": b"", None: b"n"}
+    assert found == {k: (len(v), hashlib.sha256(v).hexdigest()) for k, v in whole.items()}
+    assert B.assemble(chunks.limit(0)).count() == 0
+
+
+def test_readiness(spark):
+    rows = [(1, "metadata", 1, True), (1, "files", 1, True), (1, "space", 1, False), (1, "space", 2, True), (2, "metadata", 1, False), (3, "metadata", 1, True)]
+    checks = spark.createDataFrame(rows, "replica bigint, part string, seq bigint, good boolean")
+    assert {tuple(r) for r in E.readiness(checks).collect()} == {(1, True, None), (2, False, "metadata"), (3, False, "files")}
 
 
 def test_through_distinct(spark):
