@@ -7,17 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Distinct values that are broadcast at most.
-MOST_VALUES = 50_000
 
+def through_distinct(df: DataFrame, column: str, name: str, expression: Callable[[Column], Column]) -> DataFrame:
+    """df with `name`: the expression of `column`, worked out once for each distinct value. Nulls are a value like others.
 
-def through_distinct(df: DataFrame, column: str, name: str, expression: Callable[[Column], Column], most: int = MOST_VALUES) -> DataFrame:
-    """df with `name`: the expression of `column`, worked out once for each distinct value where there are at most `most`.
-
-    Their number is counted first; beyond `most` the expression is worked out row by row. Nulls are a value like others.
+    The values are joined back as their number allows, which the planner sees when they have been counted: few are broadcast.
     """
     values = df.select(F.col(column).alias("_value")).distinct()
-    if values.limit(most + 1).count() > most:
-        return df.withColumn(name, expression(F.col(column)))
     mapped = values.select("_value", expression(F.col("_value")).alias(name))
-    return df.join(F.broadcast(mapped), F.col(column).eqNullSafe(F.col("_value")), "left").drop("_value")
+    return df.join(mapped, F.col(column).eqNullSafe(F.col("_value")), "left").drop("_value")

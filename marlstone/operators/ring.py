@@ -8,9 +8,7 @@ from pyspark.sql import functions as F
 from marlstone.functions.identity import VIRTUAL_NODES, member_point
 from marlstone.operators.running import running_last, running_sums
 
-#: Keys are matched with arcs by the first hex digits of a position: 16^3 buckets.
-BUCKET_DIGITS = 3
-#: Members that a ring is meant for; a ring is broadcast, so its size is checked.
+#: Members that a ring is meant for; a ring is broadcast, two rows an arc at most, so its size is checked.
 MOST_MEMBERS = 10_000
 
 
@@ -33,15 +31,17 @@ def ring_owners(keys: DataFrame, members: DataFrame, nodes: int = VIRTUAL_NODES,
     """keys (with a column `position`) and their owner: the member of the first point not before the position, around the ring.
 
     Keys without a position, and all keys of an empty ring, have a null owner. The ring is broadcast by buckets of
-    positions, so the as-of join is a hash join with few candidates; more than `most` members are refused.
+    positions, no more of them than arcs, so the as-of join is a hash join with few candidates at any size; more than `most`
+    members are refused.
     """
     distinct = members.select("member").distinct()
-    if distinct.limit(most + 1).count() > most:
+    n = distinct.limit(most + 1).count()
+    if n > most:
         raise ValueError(f"a ring of more than {most} members")
-    size = 16**BUCKET_DIGITS
-    number = lambda c: F.conv(F.substring(c, 1, BUCKET_DIGITS), 16, 10).cast("int")
-    low = F.when(F.col("low") == "", 0).otherwise(number(F.col("low")))
-    high = F.when(F.col("high") == "g", size - 1).otherwise(number(F.col("high")))
+    bits = max(1, min(31, (n * nodes).bit_length() - 1))
+    number = lambda c: F.shiftright(F.conv(F.substring(c, 1, 8), 16, 10).cast("bigint"), 32 - bits)
+    low = F.when(F.col("low") == "", F.lit(0).cast("bigint")).otherwise(number(F.col("low")))
+    high = F.when(F.col("high") == "g", F.lit((1 << bits) - 1).cast("bigint")).otherwise(number(F.col("high")))
     spread = ring_arcs(distinct, nodes).select("low", "high", F.col("member").alias("owner"), F.explode(F.sequence(low, high)).alias("_bucket"))
     bucketed = keys.withColumn("_bucket", number(F.col("position")))
     inside = (F.col("position") > F.col("low")) & (F.col("position") <= F.col("high"))
@@ -63,7 +63,7 @@ def remapped(before: DataFrame, after: DataFrame, key: str) -> DataFrame:
     both = before.select(key, F.col("owner").alias("_was")).join(after.select(key, F.col("owner").alias("_is")), key)
     stays = after.select(F.col("owner").alias("_was")).distinct().withColumn("_stays", F.lit(True))
     changed = ~F.col("_was").eqNullSafe(F.col("_is"))
-    return both.join(F.broadcast(stays), "_was", "left").agg(
+    return both.join(stays, "_was", "left").agg(
         F.count(F.lit(1)).alias("keys"), F.count_if(changed).alias("moved"), F.count_if(changed & F.coalesce("_stays", F.lit(False))).alias("moved_needlessly")
     )
 
