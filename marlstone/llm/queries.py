@@ -31,6 +31,9 @@ DAY = 86_400
 CHECKED_TUPLES = 40
 #: The public vocabulary that measures texts; executors read it from the same place.
 VOCABULARY = os.environ.get("MARLSTONE_VOCABULARY", "/opt/tokenizers/byte_bpe_50k.tiktoken")
+#: Words of the blocks of documents that are looked for in items letter for letter.
+VERBATIM_WORDS = 30
+_JAVA_SPACE = " \\t\\n\\x0b\\f\\r"
 #: A text with a smaller share of prose is none.
 PROSE_LEAST = 0.5
 
@@ -173,6 +176,20 @@ def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     return leaks(table(spark, folder, "eval_item"), _texts(spark, folder))
 
 
+def p7_verbatim_check(spark: SparkSession, folder: str) -> DataFrame:
+    """Of all pairs in which one of the document's blocks of VERBATIM_WORDS words is in the item letter for letter, those that are found."""
+    split = lambda c: F.split(c, f"[{_JAVA_SPACE}]+")
+    gram = lambda at: F.array_join(F.slice("words", at, F.lit(VERBATIM_WORDS)), " ")
+    items = table(spark, folder, "eval_item").select("item_id", split(F.col("text")).alias("words"))
+    of_items = items.filter(F.size("words") >= VERBATIM_WORDS).select("item_id", F.explode(F.transform(F.sequence(F.lit(1), F.size("words") - VERBATIM_WORDS + 1), gram)).alias("block"))
+    texts = table(spark, folder, "documents").select("doc_id", split(F.col("text")).alias("words"))
+    blocks = texts.filter(F.size("words") >= VERBATIM_WORDS).select(
+        "doc_id", F.explode(F.transform(F.sequence(F.lit(0), F.expr(f"size(words) div {VERBATIM_WORDS} - 1")), lambda i: gram(i * VERBATIM_WORDS + 1))).alias("block")
+    )
+    verbatim = blocks.join(of_items, "block").select("item_id", "doc_id").distinct()
+    return verbatim.join(p7_found(spark, folder), ["item_id", "doc_id"], "left_semi")
+
+
 def p7_leaked_items(spark: SparkSession, folder: str) -> DataFrame:
     """Each item that leaked, with the number of documents and sources it leaked into."""
     documents = table(spark, folder, "documents").select("doc_id", "source")
@@ -201,13 +218,12 @@ def p8_statistics(spark: SparkSession, folder: str) -> DataFrame:
     return texts.select("doc_id", *(c.alias(n) for n, c in statistics(F.col("text")).items())).select("doc_id", *rounded.values())
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_top_outputs, p2_found, p2_error_rate, p2_error_check, p3_percentiles, p3_day_percentiles, p3_day_extremes, p3_rank_check, p3_day_rank_check, p6_packing, p6_fill, p6_check, p7_found, p7_leaked_items, p8_found, p8_quality, p8_statistics)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_top_outputs, p2_found, p2_error_rate, p2_error_check, p3_percentiles, p3_day_percentiles, p3_day_extremes, p3_rank_check, p3_day_rank_check, p6_packing, p6_fill, p6_check, p7_found, p7_verbatim_check, p7_leaked_items, p8_found, p8_quality, p8_statistics)}
 
 _DIGEST = digest_sql("digest")
 _LONG = f"""WITH long AS (
           SELECT {encoding_sql("encoding")} AS encoding, CAST(floor(created_at / {DAY}.0) AS BIGINT) AS day, 'content_len' AS metric, content_len AS v FROM artifact_metadata
           UNION ALL SELECT {encoding_sql("encoding")}, CAST(floor(created_at / {DAY}.0) AS BIGINT), 'stored_len', stored_len FROM artifact_metadata)"""
-_JAVA_SPACE = " \\t\\n\\x0b\\f\\r"
 
 SQL = {
     "p1_found": f"""SELECT output FROM (SELECT {digest_sql("output")} AS output FROM manifest_entry) WHERE output IS NOT NULL GROUP BY output
@@ -228,6 +244,11 @@ SQL = {
     "p6_check": f"""SELECT spec_id, capacity_tokens, (SELECT CAST(count(*) AS BIGINT) FROM documents WHERE regexp_matches(text, '[^{SPACE_RE2}]')) AS n_documents, TRUE AS whole, TRUE AS cut_only_beyond,
         TRUE AS capacity_kept, TRUE AS near_least FROM container_spec""",
     "p3_day_extremes": f"""{_LONG} SELECT encoding, day, metric, CAST(count(*) AS BIGINT) AS n, min(v) AS smallest, max(v) AS largest FROM long WHERE v >= 0 GROUP BY ALL""",
+    "p7_verbatim_check": f"""WITH d AS (SELECT doc_id, regexp_split_to_array(text, '[{_JAVA_SPACE}]+') AS w FROM documents WHERE text IS NOT NULL),
+        b AS (SELECT doc_id, array_to_string(w[i * {VERBATIM_WORDS} + 1 : i * {VERBATIM_WORDS} + {VERBATIM_WORDS}], ' ') AS g FROM (SELECT doc_id, w, unnest(range(len(w) // {VERBATIM_WORDS})) AS i FROM d)),
+        t AS (SELECT item_id, regexp_split_to_array(text, '[{_JAVA_SPACE}]+') AS w FROM eval_item WHERE text IS NOT NULL),
+        g AS (SELECT item_id, array_to_string(w[i + 1 : i + {VERBATIM_WORDS}], ' ') AS g FROM (SELECT item_id, w, unnest(range(len(w) - {VERBATIM_WORDS - 1})) AS i FROM t WHERE len(w) >= {VERBATIM_WORDS}))
+        SELECT DISTINCT item_id, doc_id FROM b JOIN g USING (g)""",
     "p8_statistics": f"""WITH t AS (
           SELECT doc_id, text, regexp_replace(text, '^[{_JAVA_SPACE}]+|[{_JAVA_SPACE}]+$', '', 'g') AS bare FROM documents
         ), w AS (
