@@ -16,11 +16,14 @@ SLICES = 1_024
 
 
 def _sliced(df: DataFrame, order: str, slices: int) -> DataFrame:
-    ends = df.agg(F.min(order).alias("low"), F.max(order).alias("high")).first()
-    if ends["low"] is None:
+    """df with `_slice`: stretches of equal width between the ends that nearly all rows lie within, so that a few far rows
+    don't push all others into one.
+    """
+    low, high = df.agg(F.percentile_approx(order, [0.001, 0.999], 10_000).alias("ends")).first()["ends"] or (None, None)
+    if low is None:
         return df.withColumn("_slice", F.lit(-1).cast("bigint"))
-    width = (int(ends["high"]) - int(ends["low"])) // slices + 1
-    number = F.expr(f"(cast(`{order}` as bigint) - {int(ends['low'])}) div {width}")
+    low, width = int(low), (int(high) - int(low)) // max(1, slices - 2) + 1
+    number = F.expr(f"least(greatest((cast(`{order}` as bigint) - {low}) div {width} + if(cast(`{order}` as bigint) < {low}, 0, 1), 0), {slices - 1})")
     return df.withColumn("_slice", F.coalesce(number, F.lit(-1).cast("bigint")))  # rows without an order come first
 
 
