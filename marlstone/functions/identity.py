@@ -41,6 +41,32 @@ def is_channel_id(value: Column) -> Column:
     return F.coalesce(value.rlike(r"\A[0-7][0-9A-HJKMNP-TV-Z]{25}\z"), F.lit(False))
 
 
+# Fixed value: Crockford's digits.
+CROCKFORD = "0123456789ABCDEFGHJKMNPQRSTVWXYZ"
+
+
+def _crockford(number: Column, digits: int) -> list[Column]:
+    return [F.substring(F.lit(CROCKFORD), (F.shiftright(number, 5 * i).bitwiseAND(F.lit(31)) + 1).cast("int"), F.lit(1)) for i in range(digits - 1, -1, -1)]
+
+
+def channel_ulid(millis: Column, high: Column, low: Column) -> Column:
+    """A ULID of its time and 80 random bits, given as two numbers below 2^40. The default channel's is no new one: null.
+
+    What is random is an input, so that a plan that is run again makes the same ids.
+    """
+    made = F.concat(*_crockford(millis, 10), *_crockford(high, 8), *_crockford(low, 8))
+    return F.nullif(made, F.lit(DEFAULT_CHANNEL))
+
+
+#: Fixed value: stripes that writes of equal artifacts are kept apart by.
+STRIPES = 512
+
+
+def stripe(channel: Column, digest: Column) -> Column:
+    """The stripe of an artifact: the same for equal ones, 0 to STRIPES - 1."""
+    return F.pmod(F.xxhash64(channel, digest), F.lit(STRIPES)).cast("int")
+
+
 def is_reference_name(value: Column) -> Column:
     return F.coalesce(value.rlike(r"\A[A-Za-z0-9._~-]{1,512}\z"), F.lit(False))
 

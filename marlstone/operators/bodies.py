@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -60,6 +61,30 @@ def staging(chunks: DataFrame, limit: int, extent: int, upload: str = "upload_id
     )
 
 
+def encoded(bodies: DataFrame, body: str = "body", encoding: str = "encoding", level: int = 3) -> DataFrame:
+    """bodies with `stored` and `stored_len`: zstd-compressed where the encoding is `zstd`, as they are where it is `identity`;
+    null for a null body or any other encoding. How long a compressed body is depends on the library.
+    """
+    return _coded(bodies, body, encoding, "stored", lambda zstd: zstd.ZstdCompressor(level=level).compress).withColumn("stored_len", F.octet_length("stored").cast("bigint"))
+
+
+def decoded(bodies: DataFrame, stored: str = "stored", encoding: str = "encoding") -> DataFrame:
+    """bodies with `content`, the logical bytes of what is stored; null as in encoded."""
+    return _coded(bodies, stored, encoding, "content", lambda zstd: zstd.ZstdDecompressor().decompress)
+
+
+def _coded(bodies: DataFrame, source: str, encoding: str, name: str, coder: Callable) -> DataFrame:
+    @F.pandas_udf("binary")
+    def code(body: pd.Series) -> pd.Series:
+        import zstandard
+
+        work = coder(zstandard)
+        return pd.Series([None if b is None else work(bytes(b)) for b in body], dtype=object)
+
+    zstd = F.when(F.col(encoding) == "zstd", F.col(source).cast("binary"))  # only those go to Python
+    return bodies.withColumn(name, F.when(F.col(encoding) == "identity", F.col(source).cast("binary")).otherwise(code(zstd)))
+
+
 def publish_bodies(uploads: DataFrame, existing: DataFrame) -> DataFrame:
     """uploads with `outcome`: mismatch where the declared digest isn't the body's, existing where the file is there, else created.
 

@@ -45,6 +45,24 @@ def allowed_origins(*sources: DataFrame) -> DataFrame:
     return out.filter("origin is not null").distinct()
 
 
+#: Fixed value: seconds for which an empty answer without a lifetime of its own holds.
+EMPTY_TTL = 5
+
+
+def resolved(answers: DataFrame) -> DataFrame:
+    """answers with `records` and `ttl` as a resolver gives them, and `failed`.
+
+    answers: status (`found`, `empty`, anything else: failed), records, ttl, of a lookup. An empty answer names no members, which is
+    an answer; a failed one tells nothing.
+    """
+    empty = F.col("status") == "empty"
+    failed = ~F.coalesce(empty | (F.col("status") == "found"), F.lit(False))
+    none = F.array().cast(answers.schema["records"].dataType)
+    return answers.withColumns({
+        "failed": failed, "records": F.when(~failed, F.when(empty, none).otherwise(F.coalesce("records", none))), "ttl": F.when(~failed, F.when(empty, F.coalesce("ttl", F.lit(EMPTY_TTL))).otherwise(F.col("ttl"))),
+    })
+
+
 def follow_redirects(requests: DataFrame, responses: DataFrame, hops: int = MAX_REDIRECTS) -> DataFrame:
     """request, url, status, hops of where each request ends: at a response that is no redirect, at a missing one (status
     null), or after `hops` redirects (the redirect itself).

@@ -137,3 +137,28 @@ def admissions(spans: DataFrame, permits: int) -> DataFrame:
 
     ordered = spans.select("group", "id", "start", "end").repartition("group").sortWithinPartitions("group", "start", "id")
     return ordered.mapInPandas(run, "group bigint, id bigint, admitted boolean")
+
+
+def bounded_schedule(tasks: DataFrame, permits: int) -> DataFrame:
+    """group, id, start, stop of tasks (group, id, took) that wait for one of a group's permits, in order of id.
+
+    The next task begins when the first running one ends, so `permits` run at most; a group's tasks go in sequence, streamed
+    through one task in Arrow batches.
+    """
+    import heapq
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        current, ends = None, []
+        for frame in frames:
+            starts, stops = [], []
+            for group, took in zip(frame["group"].tolist(), frame["took"].tolist(), strict=True):
+                if group != current:
+                    current, ends = group, []
+                start = heapq.heappop(ends) if len(ends) >= permits else 0
+                heapq.heappush(ends, start + took)
+                starts.append(start)
+                stops.append(start + took)
+            yield pd.DataFrame({"group": frame["group"], "id": frame["id"], "start": starts, "stop": stops})
+
+    ordered = tasks.select("group", "id", "took").repartition("group").sortWithinPartitions("group", "id")
+    return ordered.mapInPandas(run, "group bigint, id bigint, start bigint, stop bigint")

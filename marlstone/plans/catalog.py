@@ -13,6 +13,7 @@ from marlstone.operators import tables as T
 from marlstone.operators.health import readiness
 from marlstone.plans.registry import Registry, plain, portable
 from marlstone.session import cut_lineage
+from marlstone.settings import first_error
 from marlstone.sources.tables import table
 
 R = Registry()
@@ -180,6 +181,18 @@ def s21_health(spark: SparkSession, folder: str) -> DataFrame:
     return readiness(portable(spark, folder, _CHECKS))
 
 
+_CONFIGS = """SELECT event_id, CAST(value AS BIGINT) AS max_upload_bytes, 7 AS default_expiry_seconds, 64 AS proxy_concurrency, user_id - 3 AS upstream_timeout_seconds, 256 AS foreground_concurrency, 1 AS reservation_extent_bytes, CAST(value * 2 AS BIGINT) - 5 AS bloom_bits,
+  256 AS reclaim_candidate_limit, 10 AS low_watermark_bytes, user_id AS high_watermark_bytes, CASE event_type WHEN 'error' THEN 'no url' ELSE 'https://proxy.example/' || event_type END AS upstream,
+  CASE event_type WHEN 'view' THEN 'ftp://files.example' WHEN 'click' THEN 'https://files.example:8443' WHEN 'signup' THEN 'https:///path' END AS origin FROM {events}"""
+
+
+@R.add(f"""SELECT event_id, CASE WHEN max_upload_bytes <= 0 THEN 'max_upload_bytes' WHEN upstream_timeout_seconds <= 0 THEN 'upstream_timeout_seconds' WHEN high_watermark_bytes < low_watermark_bytes THEN 'high_watermark_bytes' WHEN bloom_bits <= 0 THEN 'bloom_bits'
+  WHEN upstream = 'no url' THEN 'upstream' WHEN origin IN ('ftp://files.example', 'https:///path') THEN 'allowed_origin' END AS error FROM (SELECT event_id, CAST(trunc(value) AS BIGINT) AS max_upload_bytes, user_id - 3 AS upstream_timeout_seconds, CAST(trunc(value * 2) AS BIGINT) - 5 AS bloom_bits,
+  10 AS low_watermark_bytes, user_id AS high_watermark_bytes, CASE event_type WHEN 'error' THEN 'no url' END AS upstream, CASE event_type WHEN 'view' THEN 'ftp://files.example' WHEN 'signup' THEN 'https:///path' END AS origin FROM events)""")
+def proj_p18_config_rules(spark: SparkSession, folder: str) -> DataFrame:
+    return portable(spark, folder, _CONFIGS).select("event_id", first_error(F.col("upstream"), F.col("origin")).alias("error"))
+
+
 @R.add(f"SELECT channel_id, digest, content_len FROM {ARTIFACTS} WHERE content_len IS NULL OR content_len < 0")
 def s21_damaged_records(spark: SparkSession, folder: str) -> DataFrame:
     return artifacts(spark, folder).filter(~F.coalesce(F.col("content_len") >= 0, F.lit(False))).select(*_KEY, "content_len")
@@ -213,6 +226,16 @@ def w1_assemble_chunks(spark: SparkSession, folder: str) -> DataFrame:
     return B.assemble(chunks)
 
 
+@R.add("SELECT doc_id, CASE WHEN lang = 'en' THEN 'zstd' WHEN lang IS NULL THEN NULL ELSE 'identity' END AS encoding, CASE WHEN lang IS NOT NULL THEN CAST(octet_length(encode(text)) AS BIGINT) END AS content_len, CASE WHEN lang IS NOT NULL THEN sha256(text) END AS digest, CASE WHEN lang IS NOT NULL AND lang <> 'en' THEN CAST(octet_length(encode(text)) AS BIGINT) END AS identity_len FROM documents WHERE text IS NOT NULL")
+def w20_encoded_bodies(spark: SparkSession, folder: str) -> DataFrame:
+    """Bodies stored in either encoding and read back; identity is over the logical bytes, whatever is stored."""
+    encoding = F.when(F.col("lang") == "en", "zstd").when(F.col("lang").isNotNull(), "identity")
+    bodies = table(spark, folder, "documents").filter("text is not null").select("doc_id", F.col("text").cast("binary").alias("body"), encoding.alias("encoding"))
+    stored = B.encoded(bodies).select("doc_id", "encoding", "stored", "stored_len")
+    content = B.decoded(stored)
+    return content.select("doc_id", "encoding", F.octet_length("content").cast("bigint").alias("content_len"), F.sha2("content", 256).alias("digest"), F.when(F.col("encoding") == "identity", F.col("stored_len")).alias("identity_len"))
+
+
 _STAGED = "SELECT doc_id AS upload_id, CASE WHEN n_chars >= 0 AND doc_id % 2 = 0 THEN n_chars END AS declared, coalesce(length(text), 0) AS size FROM {documents}"
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marlstone.functions import identity as I
+from marlstone.functions.spelling import channel_key, channel_sql, digest_hex, digest_sql
 from marlstone.plans.registry import Registry, plain, portable
 from marlstone.sources.tables import table
 
@@ -150,3 +151,25 @@ def s9_decode_queue_key(spark: SparkSession, folder: str) -> DataFrame:
 def f42_empty_outputs(spark: SparkSession, folder: str) -> DataFrame:
     rows = table(spark, folder, "manifest_entry").filter("size = 0")
     return rows.agg(F.count(F.lit(1)).alias("n_elided"), F.count_if(F.col("output") == I.body_digest(F.lit(""))).alias("n_empty_digest"))
+
+
+_ULIDS = "SELECT event_id, epoch_us(ts) // 1000 AS millis, (event_id * 7919) % 1000003 * 1000003 AS high, user_id * 104729 + event_id AS low FROM {events}"
+_DIGITS = "0123456789ABCDEFGHJKMNPQRSTVWXYZ"
+
+
+def _digits_sql(number: str, digits: int) -> str:
+    return " || ".join(f"substr('{_DIGITS}', CAST(({number} >> {5 * i}) & 31 AS INT) + 1, 1)" for i in range(digits - 1, -1, -1))
+
+
+@R.add(f"SELECT event_id, {_digits_sql('millis', 10)} || {_digits_sql('high', 8)} || {_digits_sql('low', 8)} AS channel_id FROM ({plain(_ULIDS)})")
+def f5_channel_ulid(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "events").select("event_id", F.unix_millis(F.col("ts").cast("timestamp")).alias("millis"), F.expr("(event_id * 7919) % 1000003 * 1000003 AS high"), F.expr("user_id * 104729 + event_id AS low"))
+    return rows.select("event_id", I.channel_ulid(F.col("millis"), F.col("high"), F.col("low")).alias("channel_id"))
+
+
+@R.add(f"SELECT DISTINCT {channel_sql('channel_id')} AS channel_id, {digest_sql('digest')} AS digest, CAST(1 AS BIGINT) AS stripes, TRUE AS in_range FROM put_record WHERE channel_id IS NOT NULL AND {digest_sql('digest')} IS NOT NULL")
+def f43_stripes(spark: SparkSession, folder: str) -> DataFrame:
+    """Which stripe is of no consequence; that equal artifacts have the same one is."""
+    rows = table(spark, folder, "put_record").select(channel_key(F.col("channel_id")).alias("channel_id"), digest_hex(F.col("digest")).alias("digest")).filter("channel_id is not null and digest is not null")
+    striped = rows.withColumn("_stripe", I.stripe(F.col("channel_id"), F.col("digest")))
+    return striped.groupBy("channel_id", "digest").agg(F.countDistinct("_stripe").alias("stripes"), F.every(F.col("_stripe").between(0, I.STRIPES - 1)).alias("in_range"))

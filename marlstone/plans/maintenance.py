@@ -331,3 +331,17 @@ def o12_peak_concurrency(spark: SparkSession, folder: str) -> DataFrame:
 def t10_admissions(spark: SparkSession, folder: str) -> DataFrame:
     """A rejected request frees a permit for the next one."""
     return S.admissions(portable(spark, folder, _SPANS_SPARK).withColumn("end", F.col("stop")), permits=4)
+
+
+_TASKS = "SELECT user_id AS \"group\", event_id AS id, 1 + event_id * 31 % 70 AS took FROM {events}"
+_PERMITS = 3
+
+
+@R.add(f"""WITH RECURSIVE v AS (SELECT "group", id, CAST(took AS BIGINT) AS took, row_number() OVER (PARTITION BY "group" ORDER BY id) AS n FROM ({plain(_TASKS)})),
+  s AS (SELECT "group", 0 AS n, CAST(NULL AS BIGINT) AS id, CAST(0 AS BIGINT) AS start, CAST(0 AS BIGINT) AS stop, CAST([] AS BIGINT[]) AS ends FROM (SELECT DISTINCT "group" FROM v)
+    UNION ALL SELECT "group", n, id, start, start + took, list_sort(list_append(CASE WHEN len(ends) >= {_PERMITS} THEN ends[2:] ELSE ends END, start + took))
+    FROM (SELECT v."group", v.n, v.id, v.took, s.ends, CASE WHEN len(s.ends) >= {_PERMITS} THEN s.ends[1] ELSE 0 END AS start FROM s JOIN v ON v."group" = s."group" AND v.n = s.n + 1))
+  SELECT "group", id, start, stop FROM s WHERE n > 0""")
+def t11_bounded_downloads(spark: SparkSession, folder: str) -> DataFrame:
+    """Downloads of each session through a pool of a few permits: when each begins and ends."""
+    return S.bounded_schedule(portable(spark, folder, _TASKS.replace('"group"', "`group`")), _PERMITS)

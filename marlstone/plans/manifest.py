@@ -388,6 +388,18 @@ def t12_last_good_snapshot(spark: SparkSession, folder: str) -> DataFrame:
     return running_last(rows, ["service"], "event_id", {"snapshot": F.col("snapshot")}).select("event_id", "snapshot")
 
 
+_ANSWERS = "SELECT event_id, user_id % 10 AS service, CASE event_type WHEN 'error' THEN 'failed' WHEN 'click' THEN 'empty' ELSE 'found' END AS status, CASE WHEN event_type IN ('view', 'signup', 'purchase') THEN 'shard-' || CAST(user_id AS STRING) END AS name, CASE WHEN event_type <> 'click' OR value > 20 THEN event_id % 90 END AS ttl FROM {events}"
+
+
+@R.add(f"""WITH a AS (SELECT *, CASE status WHEN 'found' THEN name WHEN 'empty' THEN '' END AS named, CASE status WHEN 'found' THEN ttl WHEN 'empty' THEN coalesce(ttl, {Y.EMPTY_TTL}) END AS kept FROM ({plain(_ANSWERS)}))
+  SELECT event_id, last_value(named IGNORE NULLS) OVER (PARTITION BY service ORDER BY event_id) AS members, CAST(kept AS BIGINT) AS ttl, status = 'failed' AS failed FROM a""")
+def s17_resolver_answers(spark: SparkSession, folder: str) -> DataFrame:
+    """The members of each service after each lookup: an empty answer empties the ring, a failed one leaves it."""
+    rows = portable(spark, folder, _ANSWERS).withColumn("records", F.when(F.col("name").isNotNull(), F.array("name")))
+    known = running_last(Y.resolved(rows), ["service"], "event_id", {"members": F.array_join("records", ",")})
+    return known.select("event_id", "members", F.col("ttl").cast("bigint").alias("ttl"), "failed")
+
+
 _REFRESHES = "SELECT event_id, user_id AS service, event_type = 'error' AS failed, event_id % 700 AS ttl FROM {events}"
 
 

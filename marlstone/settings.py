@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
 
 @dataclass(frozen=True)
 class Settings:
@@ -29,3 +32,21 @@ class Settings:
             raise ValueError("thresholds can't be negative")
         if self.high < self.low:
             raise ValueError("the upper threshold is below the lower one")
+
+
+#: Settings of a configuration table that must be positive, in the order in which they are looked at.
+POSITIVE = ("max_upload_bytes", "default_expiry_seconds", "proxy_concurrency", "upstream_timeout_seconds", "foreground_concurrency", "reservation_extent_bytes", "bloom_bits", "reclaim_candidate_limit")
+#: The place of the comparison of thresholds among them.
+_THRESHOLDS_AT = 6
+
+
+def first_error(upstream: Column, origin: Column) -> Column:
+    """The first rule that a configuration (a row with POSITIVE, low_watermark_bytes and high_watermark_bytes) breaks, or null.
+
+    upstream must be an absolute URL; origin, where given, one of http or https with a host.
+    """
+    rules = [(n, ~F.coalesce(F.col(n) > 0, F.lit(False))) for n in POSITIVE]
+    rules.insert(_THRESHOLDS_AT, ("high_watermark_bytes", ~F.coalesce(F.col("high_watermark_bytes") >= F.col("low_watermark_bytes"), F.lit(False))))
+    rules.append(("upstream", ~F.coalesce(upstream.rlike(r"\A[A-Za-z][A-Za-z0-9+.-]*:\S*\z"), F.lit(False))))
+    rules.append(("allowed_origin", origin.isNotNull() & ~F.coalesce(origin.rlike(r"(?i)\Ahttps?://(?:[^/?#@\s]*@)?[^/?#@:\s]+(?::[0-9]+)?(?:[/?#]\S*)?\z"), F.lit(False))))
+    return F.coalesce(*(F.when(broken, n) for n, broken in rules))

@@ -380,3 +380,25 @@ def test_encoded_records(spark, tmp_path):
     assert {r["record_error"] for r in T.decode_records(stored, 1).collect()} == {"version"}
     with pytest.raises(ValueError, match="schema_version"):
         T.encode_records(stored, 2)
+
+
+def test_bodies_in_either_encoding(spark):
+    rows = [(1, b"a" * 10_000, "zstd"), (2, b"abc", "identity"), (3, None, "zstd"), (4, b"x", None), (5, b"", "zstd"), (6, b"", "identity")]
+    stored = B.encoded(spark.createDataFrame(rows, "id int, body binary, encoding string"))
+    found = {r["id"]: r for r in B.decoded(stored).collect()}
+    assert {i: r["content"] and bytes(r["content"]) for i, r in found.items()} == {1: b"a" * 10_000, 2: b"abc", 3: None, 4: None, 5: b"", 6: b""}
+    assert found[1]["stored_len"] < 100
+    assert (found[2]["stored_len"], found[3]["stored_len"], found[6]["stored_len"]) == (3, None, 0)
+
+
+def test_bounded_schedule(spark):
+    tasks = spark.createDataFrame([(1, i, t) for i, t in enumerate([5, 1, 1, 9, 2])] + [(2, 0, 4)], "group bigint, id bigint, took bigint")
+    found = S.bounded_schedule(tasks, 2)
+    assert [(r["start"], r["stop"]) for r in found.filter("group = 1").orderBy("id").collect()] == [(0, 5), (0, 1), (1, 2), (2, 11), (5, 7)]
+    assert S.concurrency(found, "group", "start", "stop").agg(F.max("peak")).first()[0] == 2
+
+
+def test_resolved_answers(spark):
+    rows = [(1, "found", ["a"], 9), (2, "empty", None, None), (3, "empty", ["x"], 7), (4, "failed", ["y"], 1), (5, None, None, None), (6, "found", None, 3)]
+    found = {r["id"]: (r["records"], r["ttl"], r["failed"]) for r in Y.resolved(spark.createDataFrame(rows, "id int, status string, records array<string>, ttl int")).collect()}
+    assert found == {1: (["a"], 9, False), 2: ([], 5, False), 3: ([], 7, False), 4: (None, None, True), 5: (None, None, True), 6: ([], 3, False)}
