@@ -46,7 +46,7 @@ def unsigned(text: Column) -> Column:
 
 def byte_range(header: Column, length: Column) -> dict[str, Column]:
     """kind (full, partial, unsatisfiable), start and end (inclusive) of a Range value for a body of `length` bytes."""
-    spec = F.substring(header, 7, 1 << 20)
+    spec = F.substr(header, F.lit(7))
     applies = header.startswith("bytes=") & ~spec.contains(",") & spec.contains("-")
     left, right = F.regexp_extract(spec, r"(?s)\A([^-]*)-", 1), F.regexp_extract(spec, r"(?s)\A[^-]*-(.*)\z", 1)
     first, last, size = unsigned(left), unsigned(right), length.cast("decimal(20,0)")
@@ -76,7 +76,7 @@ def _ranges(accept: Column) -> Column:
     """type and quality of each media range, in order."""
     def parse(text: Column) -> Column:
         fields = F.split(text, ";")
-        named = F.filter(F.slice(fields, 2, 1 << 20), lambda f: F.lower(F.trim(F.split(f, "=", 2)[0])) == "q")
+        named = F.filter(F.slice(fields, F.lit(2), F.size(fields)), lambda f: F.lower(F.trim(F.split(f, "=", 2)[0])) == "q")
         values = F.filter(F.transform(named, lambda f: F.trim(F.get(F.split(f, "=", 2), 1)).try_cast("float")), lambda v: v.isNotNull())
         quality = F.coalesce(F.get(values, 0), F.lit(1.0).cast("float"))
         return F.struct(F.lower(F.trim(fields[0])).alias("type"), F.least(F.greatest(quality, F.lit(0.0).cast("float")), F.lit(1.0).cast("float")).alias("quality"))

@@ -119,11 +119,11 @@ def token_matches(candidate: Column, stored: Column) -> Column:
 
 def credential(authorization: Column, prefix: str = TOKEN_PREFIX) -> Column:
     """The token of an Authorization value: after "Bearer ", the password of "Basic ", or a bare token."""
-    decoded = F.try_to_binary(F.substring(authorization, 7, 1 << 20), F.lit("base64"))
+    decoded = F.try_to_binary(F.substr(authorization, F.lit(7)), F.lit("base64"))
     basic = F.regexp_extract(F.decode(decoded, "UTF-8"), r"(?s)\A[^:]*:(.*)\z", 1)
     has_colon = F.decode(decoded, "UTF-8").contains(":")
     return (
-        F.when(authorization.startswith("Bearer "), F.substring(authorization, 8, 1 << 20))
+        F.when(authorization.startswith("Bearer "), F.substr(authorization, F.lit(8)))
         .when(authorization.startswith("Basic "), F.when(has_colon, basic))
         .when(authorization.startswith(prefix), authorization)
     )

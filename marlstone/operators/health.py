@@ -60,11 +60,11 @@ def ejections(events: DataFrame, limit: int, retry: int) -> DataFrame:
         current, state = None, Health()
         for frame in frames:
             out = []
-            for r in frame.itertuples(index=False):
-                if r.member != current:
-                    current, state = r.member, Health()
-                ejected = state.apply(r.event, int(r.now), limit, retry)
-                out.append((r.member, r.seq, state.failures, ejected, state.next_retry))
+            for member, seq, now, event in zip(*(frame[c].tolist() for c in ("member", "seq", "now", "event")), strict=True):
+                if member != current:
+                    current, state = member, Health()
+                ejected = state.apply(event, int(now), limit, retry)
+                out.append((member, seq, state.failures, ejected, state.next_retry))
             yield pd.DataFrame(out, columns=_NAMES).astype({"next_retry": "Int64"})
 
     ordered = events.select("member", "seq", "now", "event").repartition("member").sortWithinPartitions("member", "seq")

@@ -132,14 +132,14 @@ def flights(requests: DataFrame, ttl: int) -> DataFrame:
         current, fetched_at = None, None
         for frame in frames:
             out = []
-            for r in frame.itertuples(index=False):
-                if r.key != current:
-                    current, fetched_at = r.key, None
-                ask = fetched_at is None or max(r.at - fetched_at, 0) >= ttl
-                if ask and r.ok:
-                    fetched_at = r.at
-                out.append((r.key, r.id, ask))
-            yield pd.DataFrame(out, columns=["key", "id", "fetched"])
+            for key, at, ok in zip(*(frame[c].tolist() for c in ("key", "at", "ok")), strict=True):
+                if key != current:
+                    current, fetched_at = key, None
+                ask = fetched_at is None or max(at - fetched_at, 0) >= ttl
+                if ask and ok:
+                    fetched_at = at
+                out.append(ask)
+            yield pd.DataFrame({"key": frame["key"], "id": frame["id"], "fetched": out})
 
     ordered = requests.select("key", "id", "at", "ok").repartition("key").sortWithinPartitions("key", "at", "id")
     return ordered.mapInPandas(run, "key string, id bigint, fetched boolean")

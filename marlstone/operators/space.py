@@ -83,12 +83,12 @@ def ledger(ops: DataFrame, headroom: int = 0) -> DataFrame:
         current, book = None, Ledger(headroom)
         for frame in frames:
             out = []
-            for r in frame.itertuples(index=False):
-                if r.replica != current:
-                    current, book = r.replica, Ledger(headroom)
-                ok = book.apply(r.op, r.bytes)
-                out.append((r.replica, r.seq, r.op, r.bytes, ok, *book.state()))
-            yield pd.DataFrame(out, columns=["replica", "seq", "op", "bytes", "ok", "free", "reserved", "committed_since", "degraded"])
+            for replica, op, size in zip(*(frame[c].tolist() for c in ("replica", "op", "bytes")), strict=True):
+                if replica != current:
+                    current, book = replica, Ledger(headroom)
+                out.append((book.apply(op, size), *book.state()))
+            state = pd.DataFrame(out, columns=["ok", "free", "reserved", "committed_since", "degraded"], index=frame.index)
+            yield pd.concat([frame, state], axis=1)
 
     return ordered.mapInPandas(run, _LEDGER)
 
@@ -124,16 +124,16 @@ def admissions(spans: DataFrame, permits: int) -> DataFrame:
         current, open_until = None, []
         for frame in frames:
             out = []
-            for r in frame.itertuples(index=False):
-                if r.group != current:
-                    current, open_until = r.group, []
-                while open_until and open_until[0] <= r.start:
+            for group, start, end in zip(*(frame[c].tolist() for c in ("group", "start", "end")), strict=True):
+                if group != current:
+                    current, open_until = group, []
+                while open_until and open_until[0] <= start:
                     heapq.heappop(open_until)
                 admitted = len(open_until) < permits
                 if admitted:
-                    heapq.heappush(open_until, r.end)
-                out.append((r.group, r.id, admitted))
-            yield pd.DataFrame(out, columns=["group", "id", "admitted"])
+                    heapq.heappush(open_until, end)
+                out.append(admitted)
+            yield pd.DataFrame({"group": frame["group"], "id": frame["id"], "admitted": out})
 
     ordered = spans.select("group", "id", "start", "end").repartition("group").sortWithinPartitions("group", "start", "id")
     return ordered.mapInPandas(run, "group bigint, id bigint, admitted boolean")
