@@ -12,7 +12,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from math import ceil
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: A key is heavy from this share of all reference rows on, less than one of thousands of tasks has; so there are at most
@@ -72,6 +72,11 @@ def reference_rows(df: DataFrame, src: str, row_id: str, period: str, channel, d
     ).filter(F.col("_digest").isNotNull())
 
 
+def _keyed() -> Column:
+    """Whether a reference names an artifact at all: no part of its key is null."""
+    return F.col("_channel").isNotNull() & F.col("_eligible").isNotNull()
+
+
 def pre_aggregated(refs: DataFrame) -> DataFrame:
     """_src, the key, _period, _chunk, _rows: the distinct row ids by key, period and range of ids.
 
@@ -83,20 +88,22 @@ def pre_aggregated(refs: DataFrame) -> DataFrame:
     )
 
 
-def heavy_keys(refs: DataFrame, share: float = HEAVY_SHARE) -> list[tuple]:
-    """The keys with at least `share` of all rows, two rows at least: at most 1 / share of them, whatever the data.
+def heavy_keys(refs: DataFrame, share: float = HEAVY_SHARE) -> tuple[list[tuple], bool]:
+    """The keys with at least `share` of all rows, two rows at least: at most 1 / share of them, whatever the data; and whether
+    any row's key has a null.
 
     One count by hash bucket (at most 2^BUCKET_BITS numbers) shows the only buckets that can hold a heavy key; keys and
     periods are counted in those alone.
     """
-    bucket = F.shiftrightunsigned(F.xxhash64(*_KEY), 64 - BUCKET_BITS)
+    bucket = F.when(_keyed(), F.shiftrightunsigned(F.xxhash64(*_KEY), 64 - BUCKET_BITS))
     counts = {r["_b"]: r["_n"] for r in refs.groupBy(bucket.alias("_b")).agg(F.count(F.lit(1)).alias("_n")).collect()}
+    keyless = counts.pop(None, 0) > 0
     bound = max(2, ceil(share * sum(counts.values())))
     if not (full := [b for b, n in counts.items() if n >= bound]):  # at most 1 / share
-        return []
+        return [], keyless
     by_period = refs.filter(bucket.isin(full)).groupBy(*_KEY, "_period").agg(F.count(F.lit(1)).alias("_n"))
     found = by_period.groupBy(*_KEY).agg(F.sum("_n").alias("_n")).filter(F.col("_n") >= bound).select(*_KEY).collect()
-    return [tuple(bytes(v) if isinstance(v, bytearray) else v for v in r) for r in found]
+    return [tuple(bytes(v) if isinstance(v, bytearray) else v for v in r) for r in found], keyless
 
 
 def _same(refs: DataFrame, keys: DataFrame, names: tuple[str, ...], how: str) -> DataFrame:
@@ -125,10 +132,10 @@ def _of_either(groups: DataFrame, live: Live) -> DataFrame:
 def orphan_groups(refs: DataFrame, live: Live, share: float = HEAVY_SHARE) -> DataFrame:
     """_src, _period, _rows of the groups of references (see pre_aggregated) whose key isn't live."""
     spark = refs.sparkSession
-    keyed = F.col("_channel").isNotNull() & F.col("_eligible").isNotNull()
-    keyless, light = refs.filter(~keyed), refs.filter(keyed)
-    parts = [pre_aggregated(keyless)]
-    if heavy := heavy_keys(light, share):
+    heavy, keyless = heavy_keys(refs, share)
+    light = refs.filter(_keyed())
+    parts = [pre_aggregated(refs.filter(~_keyed()))] if keyless else []
+    if heavy:
         hot = F.broadcast(spark.createDataFrame(heavy, light.select(*_KEY).schema))  # at most 1 / share rows
         artifact = F.broadcast(hot.select(*_ARTIFACT).distinct())
         among = Live(_same(live.publications, artifact, _ARTIFACT, "left_semi"), _same(live.removals, artifact, _ARTIFACT, "left_semi"))

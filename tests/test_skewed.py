@@ -55,8 +55,10 @@ def test_orphans_against_brute_force(spark):
 def test_heavy_keys_are_found(spark):
     refs = spark.createDataFrame([(i, "A", digest(1 if i < 50 else i), 0, 0, "") for i in range(100)], REFS)
     rows = reference_rows(refs, "t", "ref_row", "updated_at", channel_key, digest_hex)
-    assert [k[1] for k in heavy_keys(rows, share=0.1)] == [digest(1)]
-    assert heavy_keys(rows, share=0.9) == []
+    assert [k[1] for k in heavy_keys(rows, share=0.1)[0]] == [digest(1)]
+    assert heavy_keys(rows, share=0.9) == ([], False)
+    nameless = reference_rows(spark.createDataFrame([(1, None, digest(1), 0, 0, "")], REFS), "t", "ref_row", "updated_at", channel_key, digest_hex)
+    assert heavy_keys(rows.unionByName(nameless), share=0.9) == ([], True)
 
 
 def test_orphan_edge_cases(spark):
