@@ -302,9 +302,10 @@ def shape(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     tagged = [0] * len(texts)
     for t, text in enumerate(texts):
         blank = True
-        if text and "<" in (text := visible(text)):
+        text = visible(text) if text else ""
+        if "<" in text:
             text = TAG.sub(lambda tag: " ".join(tag[0].splitlines()), text)  # a tag over several lines is one of the first
-        for line in visible(text).splitlines() if text else ():
+        for line in text.splitlines():
             bare = TAG.sub(" ", line) if "<" in line else line
             found = _split(bare)
             if not found:
