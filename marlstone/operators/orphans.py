@@ -23,6 +23,9 @@ BUCKET_BITS = 16
 #: A group holds the row ids of one range, of 2^CHUNK_BITS numbers.
 CHUNK_BITS = 12
 
+#: Prefixes of removals' hashes that tell which publications can have one, in bits; so many numbers are broadcast at most.
+PREFIX_BITS = 20
+
 #: Stands for the deadline of references that name none.
 UNTIMED = -(2**63)
 
@@ -114,14 +117,21 @@ def _gone(timed: bool, groups: DataFrame, live: Live) -> DataFrame:
     """The groups, all timed or all untimed, for whose key nothing is live.
 
     Publications are combined by the key that references name, and only the latest counts: it outlives the removals if
-    any does. Timed groups meet the removals, which don't name a deadline, after they met their publication.
+    any does. Timed groups meet the removals, which don't name a deadline, after they met their publication. Of those that have
+    one, only the groups that share a hash prefix with some removal are brought together once more: the others are live.
     """
     names = (*_ARTIFACT, "_eligible") if timed else _ARTIFACT
     latest = live.publications.groupBy(*names).agg(F.max("_created").alias("_created"))
     removed = live.removals.groupBy(*_ARTIFACT).agg(F.max("_removed").alias("_removed"))
-    met = groups.join(latest, list(names), "left").join(removed, list(_ARTIFACT), "left")
+    met = groups.join(latest, list(names), "left")
+    if timed:
+        prefix = F.shiftrightunsigned(F.xxhash64(*_ARTIFACT), 64 - PREFIX_BITS).alias("_prefix")
+        suspects = F.broadcast(live.removals.select(prefix).distinct().withColumn("_suspect", F.lit(True)))  # at most 2^PREFIX_BITS numbers
+        marked = met.withColumn("_prefix", prefix).join(suspects, "_prefix", "left")
+        met = marked.filter(F.col("_created").isNull() | F.col("_suspect"))
+    found = met.join(removed, list(_ARTIFACT), "left")
     there = F.col("_created").isNotNull() & (F.col("_removed").isNull() | (F.col("_removed") < F.col("_created")))
-    return met.filter(~there).select(*groups.columns)
+    return found.filter(~there).select(*groups.columns)
 
 
 def _of_either(groups: DataFrame, live: Live) -> DataFrame:
