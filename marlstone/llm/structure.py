@@ -414,11 +414,11 @@ def statistics(text: Column) -> dict[str, Column]:
     """Basic counts of a text as expressions: words, mean word length, and shares of symbols, of lines that end in
     punctuation and of common words. Null for a null text; shares of nothing (no words, no lines) are null.
     """
-    bare = F.regexp_replace(text, r"^[\s]+|[\s]+$", "")
+    bare = F.btrim(text, F.lit(" \t\n\x0b\f\r"))  # what \s stands for
     blank = bare == ""
     words = F.when(~blank, F.split(bare, r"\s+")).when(blank, F.array().cast("array<string>"))
     n_words = F.when(text.isNotNull(), F.size(words)).cast("bigint")
-    letters = F.length(F.regexp_replace(text, r"\s+", ""))
+    letters = F.length(F.array_join(words, ""))
     symbols = F.length(F.regexp_replace(text, r"[\p{L}\p{N}\p{M}\s]+", ""))
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"\S"))
     ended = F.filter(lines, lambda x: x.rlike(r"[.!?:;…][\"'”’»)\]]*\s*$"))
