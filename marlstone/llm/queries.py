@@ -16,7 +16,7 @@ from marlstone.llm.packing import fill, pack, token_lengths
 from marlstone.llm.quantiles import TUPLES, answers, merge_days, rank_summaries
 from marlstone.llm.seen import Layout, derived_wrong, measured_wrong, seen_before, seen_seqs
 from marlstone.llm.seen import answers as answers_of
-from marlstone.llm.structure import COMMON, statistics, structure
+from marlstone.llm.structure import COMMON, STATISTICS, statistics, structure
 from marlstone.session import cut_lineage, shared_folder, spread
 from marlstone.sources.tables import table
 
@@ -197,25 +197,21 @@ def p7_leaked_items(spark: SparkSession, folder: str) -> DataFrame:
     return found.groupBy("item_id").agg(F.countDistinct("doc_id").alias("n_documents"), F.countDistinct("source").alias("n_sources"))
 
 
-def _quality(spark: SparkSession, folder: str) -> DataFrame:
-    texts = _texts(spark, folder)
-    return texts.select("doc_id", *(c.alias(n) for n, c in statistics(F.col("text")).items()), structure("text").alias("shape"))
-
-
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:
-    return _quality(spark, folder).filter(F.col("shape.prose_share") < PROSE_LEAST).select("doc_id")
+    shaped = _texts(spark, folder).select("doc_id", structure("text").alias("shape"))
+    return shaped.filter(F.col("shape.prose_share") < PROSE_LEAST).select("doc_id")
 
 
 def p8_quality(spark: SparkSession, folder: str) -> DataFrame:
     """Basic counts, the nearest profile and the share of prose of every document."""
-    return _quality(spark, folder).select("doc_id", *statistics(F.lit("")), "shape.*")
+    shaped = statistics(_texts(spark, folder)).select("doc_id", *STATISTICS, structure("text").alias("shape"))
+    return shaped.select("doc_id", *STATISTICS, "shape.*")
 
 
 def p8_statistics(spark: SparkSession, folder: str) -> DataFrame:
     """The basic counts alone."""
-    texts = _texts(spark, folder)
-    rounded = {"n_words": F.col("n_words")} | {n: F.round(F.col(n), 9).alias(n) for n in statistics(F.lit("")) if n != "n_words"}
-    return texts.select("doc_id", *(c.alias(n) for n, c in statistics(F.col("text")).items())).select("doc_id", *rounded.values())
+    shares = {n: F.round(F.col(n), 9) for n in STATISTICS if n != "n_words"}
+    return statistics(_texts(spark, folder)).withColumns(shares).select("doc_id", *STATISTICS)
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_top_outputs, p2_found, p2_error_rate, p2_error_check, p3_percentiles, p3_day_percentiles, p3_day_extremes, p3_rank_check, p3_day_rank_check, p6_packing, p6_fill, p6_check, p7_found, p7_verbatim_check, p7_leaked_items, p8_found, p8_quality, p8_statistics)}

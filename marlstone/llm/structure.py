@@ -18,7 +18,7 @@ from itertools import islice
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -410,29 +410,35 @@ def structure(texts: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["profile", "prose_share", "profile_share"])
 
 
-def statistics(text: Column) -> dict[str, Column]:
-    """Basic counts of a text as expressions: words, mean word length, and shares of symbols, of lines that end in
-    punctuation and of common words. Null for a null text; shares of nothing (no words, no lines) are null.
+#: The basic counts of a text.
+STATISTICS = ("n_words", "mean_word_length", "symbol_share", "ended_line_share", "common_word_share")
+
+
+def statistics(df: DataFrame, text: str = "text") -> DataFrame:
+    """df with basic counts of a text: words, mean word length, and shares of symbols, of lines that end in punctuation and of
+    common words. Null for a null text; shares of nothing (no words, no lines) are null. All are JVM expressions, each worked
+    out once. Columns of df of the same names are replaced.
     """
-    bare = F.btrim(text, F.lit(" \t\n\x0b\f\r"))  # what \s stands for
-    blank = bare == ""
-    words = F.when(~blank, F.split(bare, r"\s+")).when(blank, F.array().cast("array<string>"))
-    n_words = F.when(text.isNotNull(), F.size(words)).cast("bigint")
-    letters = F.length(F.array_join(words, ""))
-    symbols = F.length(F.regexp_replace(text, r"[\p{L}\p{N}\p{M}\s]+", ""))
-    lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"\S"))
-    ended = F.filter(lines, lambda x: x.rlike(r"[.!?:;…][\"'”’»)\]]*\s*$"))
+    given = F.col(text)
+    bare = F.btrim(given, F.lit(" \t\n\x0b\f\r"))  # what \s stands for
     # Signs around words go in one pass over the text; each run of signs is looked at once.
     sign = r"[^\p{L}\p{N}\s]"
-    plain = F.split(F.lower(F.regexp_replace(bare, rf"(?<!\S){sign}++|(?<!{sign}){sign}++(?!\S)", "")), r"\s+")
-    share = lambda a, b: F.when(b > 0, a / b)
-    return {
-        "n_words": n_words,
-        "mean_word_length": share(letters, n_words),
-        "symbol_share": share(symbols, letters),
-        "ended_line_share": share(F.size(ended), F.size(lines)),
-        "common_word_share": share(F.size(F.filter(plain, lambda w: w.isin(*COMMON))), n_words),
-    }
+    plain = F.lower(F.regexp_replace(bare, rf"(?<!\S){sign}++|(?<!{sign}){sign}++(?!\S)", ""))
+    words = lambda c: F.when(bare != "", F.split(c, r"\s+")).when(bare == "", F.array().cast("array<string>"))
+    lines = F.filter(F.split(given, "\n"), lambda x: x.rlike(r"\S"))
+    split = df.withColumns({"_words": words(bare), "_plain": words(plain), "_lines": lines})
+    counted = split.withColumns({
+        "n_words": F.when(given.isNotNull(), F.size("_words")).cast("bigint"),
+        "_letters": F.length(F.array_join("_words", "")),
+        "_symbols": F.length(F.regexp_replace(given, r"[\p{L}\p{N}\p{M}\s]+", "")),
+        "_n_lines": F.size("_lines"),
+        "_ended": F.size(F.filter("_lines", lambda x: x.rlike(r"[.!?:;…][\"'”’»)\]]*\s*$"))),
+        "_common": F.size(F.filter("_plain", lambda w: w.isin(*COMMON))),
+    })
+    share = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b))
+    return counted.withColumns({
+        "mean_word_length": share("_letters", "n_words"), "symbol_share": share("_symbols", "_letters"), "ended_line_share": share("_ended", "_n_lines"), "common_word_share": share("_common", "n_words"),
+    }).drop("_words", "_plain", "_lines", "_letters", "_symbols", "_n_lines", "_ended", "_common")
 
 
 #: Common words of four languages together, in the order of the alphabet.

@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from marlstone.llm.prose import LANGUAGES, SAMPLES, zipf_profiles
-from marlstone.llm.structure import _NUMBERS, NAMES, PROSE, divergence, languages, shape, statistics, structure
+from marlstone.llm.structure import _NUMBERS, NAMES, PROSE, STATISTICS, divergence, languages, shape, statistics, structure
 
 PROSE_TEXTS = [
     "The server was restarted before lunch because it had run out of memory. Nobody noticed until the next day, when most of the builds failed.",
@@ -145,7 +145,9 @@ def test_frame(spark):
 def test_statistics(spark):
     rows = [(1, "The cat sat. And\nthen it left!\n\nx=1"), (2, None), (3, ""), (4, " \n")]
     df = spark.createDataFrame(rows, "doc_id bigint, text string")
-    got = {r["doc_id"]: r for r in df.select("doc_id", *(c.alias(n) for n, c in statistics(F.col("text")).items())).collect()}
+    found = statistics(df.withColumn("n_words", F.lit("x")))
+    assert sorted(found.columns) == sorted(["doc_id", "text", *STATISTICS])
+    got = {r["doc_id"]: r for r in found.collect()}
     assert got[1]["n_words"] == 8
     assert got[1]["mean_word_length"] == 27 / 8
     assert got[1]["symbol_share"] == 3 / 27
