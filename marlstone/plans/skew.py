@@ -30,6 +30,16 @@ def p4_orphan_counts(spark: SparkSession, folder: str) -> DataFrame:
     return orphan_counts(_orphans(spark, folder)).select("src", F.col("period").cast("string").alias("period"), "n_orphans")
 
 
+def p4_channel_orphans(spark: SparkSession, folder: str) -> DataFrame:
+    """Rows whose channel isn't an active one, by table and day: few channels, so nearly all rows refer to heavy keys."""
+    whole = lambda _: F.lit("")  # noqa: E731  (a channel is all of the key)
+    active = table(spark, folder, "channel_record").filter("state = 'active'").select("channel_id", F.lit("").alias("digest"), F.lit(None).cast("bigint").alias("eligible_at"), "created_at")
+    live = live_artifacts(active, active.limit(0).withColumn("removed_at", F.col("created_at")), channel_key, whole)
+    refs = reference_rows(table(spark, folder, "reference_record"), "reference_record", "ref_row", "updated_at", channel_key, whole)
+    refs = refs.unionByName(reference_rows(table(spark, folder, "eviction_queue"), "eviction_queue", "queue_row", "eligible_at", channel_key, whole))
+    return orphan_counts(orphan_groups(refs, live)).select("src", F.col("period").cast("string").alias("period"), "n_orphans")
+
+
 def _channels(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "artifact_metadata")
 
@@ -49,7 +59,7 @@ def p5_channel_histogram(spark: SparkSession, folder: str) -> DataFrame:
     return value_histogram(_channels(spark, folder), channel_key(F.col("channel_id")), F.col("content_len")).withColumnRenamed("key", "channel_id")
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p4_orphan_counts, p5_found, p5_channel_statistics, p5_channel_histogram)}
+QUERIES = {f.__name__: f for f in (p4_found, p4_orphan_counts, p4_channel_orphans, p5_found, p5_channel_statistics, p5_channel_histogram)}
 
 _CHANNEL, _DIGEST = channel_sql("channel_id"), digest_sql("digest")
 
@@ -86,6 +96,9 @@ SQL = {
     "p4_orphan_counts": f"""{_ORPHANS}
         SELECT src, CAST(CAST(DATE '1970-01-01' + CAST(floor(t / 86400.0) AS INTEGER) AS DATE) AS VARCHAR) AS period, CAST(count(DISTINCT row_id) AS BIGINT) AS n_orphans
         FROM orphans GROUP BY 1, 2""",
+    "p4_channel_orphans": f"""WITH r AS (SELECT 'reference_record' AS src, ref_row AS row_id, {_CHANNEL} AS c, updated_at AS t FROM reference_record UNION ALL SELECT 'eviction_queue', queue_row, {_CHANNEL}, eligible_at FROM eviction_queue)
+        SELECT src, CAST(CAST(DATE '1970-01-01' + CAST(floor(t / 86400.0) AS INTEGER) AS DATE) AS VARCHAR) AS period, CAST(count(DISTINCT row_id) AS BIGINT) AS n_orphans
+        FROM r WHERE NOT EXISTS (SELECT 1 FROM channel_record k WHERE k.channel_id = r.c AND k.state = 'active') GROUP BY 1, 2""",
     "p5_found": f"""SELECT {_CHANNEL} AS channel_id FROM artifact_metadata WHERE channel_id IS NOT NULL GROUP BY 1
         HAVING count(*) * {DOMINANT_ONE_IN} >= (SELECT count(*) FROM artifact_metadata)""",
     "p5_channel_statistics": f"""{_RANKED}
