@@ -11,7 +11,7 @@ within its edit distance must be in that passage.
 from __future__ import annotations
 
 from bisect import bisect_left
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from itertools import repeat
@@ -257,8 +257,8 @@ def retrieve(index: ItemIndex, documents: list[np.ndarray]) -> Iterator[tuple[in
     for s in starts[reach[starts + width] - reach[starts] >= REACHED - 1e-6].tolist():
         passage = terms[s : s + width]
         known = np.flatnonzero(passage != none)
-        asked, times = np.unique(passage[known], return_counts=True)
-        items = wand(index, asked.tolist(), times.tolist())
+        asked = Counter(passage[known].tolist())
+        items = wand(index, list(asked), list(asked.values()))
         if items:
             owner = int(np.searchsorted(begins, s + known[0], side="right")) - 1
             for i in items:

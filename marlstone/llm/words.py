@@ -14,8 +14,10 @@ _INLINE_TAG = re.compile(rf"</?+(?:a|b|i|u|s|em|strong|span|code|tt|sub|sup|mark
 # Also addresses in angle brackets, and declarations.
 TAG = re.compile(rf"</?+[A-Za-z][\w:.-]*+{_REST}|<[A-Za-z][\w+.-]*+:[^\s<>]*+>|<[^\s<>@]++@[^\s<>]++>|<[!?][A-Za-z][^<>]*+>")
 _COMMENT = re.compile(r"<!--.*?-->", re.DOTALL)
-# A hyphen between word characters, also with a line break (and a quote mark) behind it, holds one word together.
-_JOINED = re.compile(r"(?<=\w)[-‐‑]+(?:[ \t]*\r?\n[ \t>|]*)?(?=\w)|(?<=\w)['’ʼ](?=\w)")
+# A hyphen between word characters, also with a line break (and a quote mark) behind it, holds one word together; so does an
+# apostrophe. What stands before is looked at once one is found.
+_JOINED = re.compile(r"[-‐‑]++(?:[ \t]*+\r?+\n[ \t>|]*+)?+(?=\w)|['’ʼ](?=\w)")
+_ASCII = str.maketrans({chr(c): " " for c in range(128) if not chr(c).isalnum()})
 _WORD = re.compile(r"[^\W_]+")
 _INVISIBLE = re.compile("[­͏؜ᅟᅠ឴឵᠋-᠎​-‏‪-‮⁠-⁯︀-️﻿￹-￻\U000e0000-\U000e0fff]")
 
@@ -43,4 +45,11 @@ def words(text: str | None) -> list[str]:
         text = _INVISIBLE.sub("", unicodedata.normalize("NFKC", text))
     if "<" in text:
         text = without_tags(text)
-    return _WORD.findall(_JOINED.sub("", text.casefold()))
+    text = text.casefold()
+
+    def join(found: re.Match) -> str:
+        before = text[found.start() - 1 : found.start()]
+        return "" if before.isalnum() or before == "_" else found[0]
+
+    joined = _JOINED.sub(join, text)
+    return joined.translate(_ASCII).split() if joined.isascii() else _WORD.findall(joined)
