@@ -59,6 +59,8 @@ PRIOR_WORDS = 300
 #: The general profile: words of up to SHORT letters stand for function words.
 _OTHER_KINDS = {"function": 20, "plain": 61, "title": 5, "ending": 9, "number": 3, "name": 1, "mark": 0.5, "odd": 0.5}
 SHORT = 3
+#: Function words in the language's own shares that are added to those of a text or paragraph.
+SMOOTHING = 10
 #: How many words of a paragraph the whole text weighs as much as, where they tell of different languages.
 TEXT_WORDS = 6
 #: A text is in none of the languages if the nearest one's function words are a smaller share of its words, and if so many
@@ -276,7 +278,8 @@ _KIND_PROFILES, _CLASS_PROFILES = _estimated()
 
 def languages(functions: np.ndarray, group_of: np.ndarray, n_groups: int) -> np.ndarray:
     """How far each group of words is from each language: words that are none of its function words are wholly apart (1 bit),
-    the others as far as their shares, one by one, diverge from the language's.
+    the others as far as their shares, one by one, diverge from the language's. To the group's function words SMOOTHING more are
+    added that have the language's own shares, so that few words don't tell more than they can.
 
     functions: the number of each word among function words, or -1; group_of: the group of each word.
     """
@@ -288,10 +291,12 @@ def languages(functions: np.ndarray, group_of: np.ndarray, n_groups: int) -> np.
     columns = lambda x: np.stack([np.bincount(group, weights=x[:, j], minlength=n_groups) for j in range(OTHER)], axis=1)
     own = np.where(q > 0, often[:, None], 0)
     total = columns(own)
-    p = own / np.maximum(total, 1)[group]
+    p = (own + SMOOTHING * q) / (total + SMOOTHING)[group]
     logs = lambda x, y: x * np.log2(np.maximum(x, 1e-12) / np.maximum(y, 1e-12))
-    # What the group's own words add; the language's other words add half a bit of their share.
-    single = columns((logs(p, (p + q) / 2) + logs(q, (p + q) / 2) - q) / 2) + 0.5
+    # What the group's own words add; of the language's other words each has the same fraction of its share.
+    left = SMOOTHING / (total + SMOOTHING)
+    others = (logs(left, (left + 1) / 2) + logs(1, (left + 1) / 2)) / 2
+    single = columns((logs(p, (p + q) / 2) + logs(q, (p + q) / 2)) / 2) + (1 - columns(q)) * others
     return 1 - total / size * (1 - single)
 
 
