@@ -84,6 +84,7 @@ def replica_metrics(log: DataFrame, foreground_limit: int) -> DataFrame:
     """
     last = lambda c: F.coalesce(F.max_by(c, F.when(F.col("event") == "space", F.col("seq"))), F.lit(0))
     counter, gauge = "counter", "gauge"
+    # The names of the metrics, their kinds and labels.
     return _collected(log, [
         ("requests_total", counter, "", _times("request")),
         ("artifact_hits_total", counter, "", _times("hit")),
@@ -116,6 +117,7 @@ def agent_metrics(log: DataFrame, ring: DataFrame) -> DataFrame:
     unavailable; ejected; prefetch, prefetch_response and prefetch_end. ring: one row of members and ejected.
     """
     counter, gauge = "counter", "gauge"
+    # As above.
     counted = _collected(log, [
         ("requests_total", counter, "", _times("request")),
         ("forwarded_total", counter, "", _times("forwarded")),

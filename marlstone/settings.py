@@ -34,7 +34,7 @@ class Settings:
             raise ValueError("the upper threshold is below the lower one")
 
 
-#: Settings of a configuration table that must be positive, in the order in which they are looked at.
+# Settings of a configuration table that must be positive, in the order in which they are looked at.
 POSITIVE = ("max_upload_bytes", "default_expiry_seconds", "proxy_concurrency", "upstream_timeout_seconds", "foreground_concurrency", "reservation_extent_bytes", "bloom_bits", "reclaim_candidate_limit")
 #: The place of the comparison of thresholds among them.
 _THRESHOLDS_AT = 6
